@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
+from linkloom.llm.packing import op8_best_fit_packing
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
+QUERIES = {"op8_best_fit_packing": op8_best_fit_packing, "op9_line_dedup": op9_line_dedup}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
