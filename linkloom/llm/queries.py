@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from linkloom.llm.decontam import op10_benchmark_decontamination
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from linkloom.llm.packing import op8_best_fit_packing
+from linkloom.llm.toxicity import op4_toxicity
 
-QUERIES = {"op8_best_fit_packing": op8_best_fit_packing, "op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
