@@ -5,12 +5,14 @@ from __future__ import annotations
 from linkloom.llm.decontam import op10_benchmark_decontamination
 from linkloom.llm.langid import op1_language_id
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
+from linkloom.llm.ngram_join import op5_ngram_jaccard_join
 from linkloom.llm.packing import op8_best_fit_packing
 from linkloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
