@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words that a worker remembers before it starts again.
 MEMORY_CHUNKS, MEMORY_WORDS = 450_000, 450_000
 
-_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
+#: Words whose clean-up is done once they are in lower case, and the ASCII marks that may follow them as one token of the first split.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, WordCoder] = {}
 
 
@@ -49,9 +51,9 @@ class WordCoder:
 
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Chunks(self.chunk)
         self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
         # one character for each byte, as the byte-level step writes them
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {}
@@ -61,15 +63,24 @@ class WordCoder:
     def _whole(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        m = _PLAIN.match(chunk)
-        if not m:
-            return self._whole(chunk)
-        word, marks = m[1].lower(), m[2]
+    def _word(self, word: str) -> bytes | None:
+        if not _PLAIN.fullmatch(word):
+            return None
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+
+    def chunk(self, chunk: str) -> bytes:
+        letters = chunk.rstrip(MARKS)
+        word = letters.lower()
         ids = self.words.get(word)
         if ids is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+            ids = self._word(word)
+            if ids is None:
+                return self._whole(chunk)
+            self.words[word] = ids
+        if len(letters) == len(chunk):
+            return ids
+        marks = chunk[len(letters) :]
         end = self.marks.get(marks)
         if end is None:
             end = self.marks[marks] = self._whole(marks)
@@ -77,15 +88,24 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY_CHUNKS:
-            self.known = {"": b""}
+            self.known = Chunks(self.chunk)
         if len(self.words) + len(self.marks) > MEMORY_WORDS:
-            self.words, self.marks = {}, {"": b""}
-        for chunk in set().union(*chunks).difference(self.known):
-            self.known[chunk] = self._chunk(chunk)
+            self.words, self.marks = {}, {}
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+
+
+class Chunks(dict):
+    """Chunks that are known; others are encoded as they are asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
 
 
 def coder(path: str) -> WordCoder:
