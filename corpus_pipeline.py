@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from linkloom.llm.decontam import drop_leaks
+from linkloom.llm.line_dedup import drop_repeated_lines
+from linkloom.llm.ngram_join import keep_one_each
+from linkloom.llm.packing import pack_documents
+from linkloom.llm.tables import settle, table
+from linkloom.llm.toxicity import score_toxicity
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the model calls toxic go."""
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Repeated lines go; n_chars follows the text."""
+    found = drop_repeated_lines(docs)
+    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def ngram_jaccard(spark, docs, sf_dir):
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return keep_one_each(docs).select(*docs.columns)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a test item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packing(spark, docs, sf_dir):
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("packing", packing)]
+#: SQL can express neither the model of the first stage nor the tokens of the last.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir))
+    return docs

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from linkloom.llm.decontam import op10_benchmark_decontamination
+from linkloom.llm.html_mincut import op2_html_extraction
 from linkloom.llm.langid import op1_language_id
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
+from linkloom.llm.neardup import OP3_SQL, op3_embedding_near_dup
 from linkloom.llm.ngram_join import op5_ngram_jaccard_join
 from linkloom.llm.packing import op8_best_fit_packing
+from linkloom.llm.quality_lm import op7_quality_classifier
+from linkloom.llm.suffix_dedup import op6_suffix_array_dedup
 from linkloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_embedding_near_dup": op3_embedding_near_dup,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL}
