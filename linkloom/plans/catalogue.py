@@ -1,6 +1,434 @@
-"""The registered queries over the test tables, each with its DuckDB counterpart where SQL can express it."""
+"""The registered queries over the test tables, each with its DuckDB counterpart where SQL can express it.
+
+The tables hold no scanned pages, so inputs are made from their columns: file names from orders, rectangles from
+lineitem, probe results and result rows from the addresses of web pages.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from linkloom.functions import lexicon as lex
+from linkloom.functions import meta, urls
+from linkloom.operators import codes, report, rows, status
+from linkloom.sources import files, workbook
+from linkloom.streaming import progress
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages_of(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+HOST = "split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1)"
+NO_BLOG = "url NOT LIKE '%://blog.%'"
+
+
+@query(f"""
+SELECT source, count(*) AS n_urls, count(DISTINCT lower(url)) AS n_distinct FROM (
+  SELECT 'hyperlink' AS source, url FROM pages WHERE {NO_BLOG}
+  UNION ALL SELECT 'text', regexp_replace(regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1), '^blog\\.', '') FROM pages
+) GROUP BY source""")
+def page_link_summary(spark, sf_dir):
+    found = rows.extract(files.html_pages(pages_of(spark, sf_dir)))
+    return found.groupBy("source").agg(F.count("*").alias("n_urls"), F.count_distinct(F.lower("url")).alias("n_distinct"))
+
+
+@query(f"""SELECT page_id, lower({HOST}) AS host, split_part({HOST}, '.', -1) AS tld, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*', '') AS path FROM pages""")
+def url_host_tld(spark, sf_dir):
+    host = urls.host_of(F.col("url"))
+    return pages_of(spark, sf_dir).select("page_id", F.lower(host).alias("host"), urls.tld_of(host).alias("tld"), urls.path_of(F.col("url")).alias("path"))
+
+
+def _extracted(spark, sf_dir, before, after, where):
+    text = F.concat(F.lit(before), F.col("url"), F.lit(after))
+    return pages_of(spark, sf_dir).where(where).select("page_id", F.explode(urls.extract_urls(text)).alias("x")).select("page_id", F.col("x.url").alias("url"), F.col("x.start").alias("start"))
+
+
+@query(f"SELECT page_id, url, 6 AS start FROM pages WHERE {NO_BLOG}")
+def extract_text_urls(spark, sf_dir):
+    return _extracted(spark, sf_dir, "Visit ", "", NO_BLOG)
+
+
+@query("SELECT page_id, regexp_replace(url, '^[a-z]+://blog\\.', '') AS url, length(regexp_extract(url, '^[a-z]+://', 0)) + 10 AS start FROM pages WHERE url LIKE '%://blog.%' AND NOT regexp_matches(url, '://blog\\.[a-z]+-')")
+def extract_split_hosts(spark, sf_dir):
+    return _extracted(spark, sf_dir, "See ", "", "url LIKE '%://blog.%' AND NOT url RLIKE '://blog[.][a-z]+-'")
+
+
+@query(f"SELECT page_id, url || 'now' AS url, 4 AS start FROM pages WHERE {NO_BLOG} AND url LIKE '%/'")
+def extract_slash_glue(spark, sf_dir):
+    return _extracted(spark, sf_dir, "See ", " now", f"{NO_BLOG} AND url LIKE '%/'")
+
+
+@query("SELECT lang, count(*) AS n_docs, 0 AS n_mail_hosts FROM documents WHERE text LIKE '%@mail%' GROUP BY lang")
+def email_negative(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text LIKE '%@mail%'")
+    hosts = F.filter(urls.extract_urls(F.col("text")), lambda x: x["url"].rlike(r"(?i)^mail\d+\.example\.com$"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(hosts)).cast("int").alias("n_mail_hosts"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1), '^blog\\.', '') AS url FROM pages")
+def footer_bare_hosts(spark, sf_dir):
+    return rows.text_occurrences(files.html_pages(pages_of(spark, sf_dir))).select(F.col("file_idx").alias("page_id"), "url")
+
+
+@query("""SELECT page_id, unnest(range(len(l))) AS ord, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
+def html_hyperlinks(spark, sf_dir):
+    return files.html_links(pages_of(spark, sf_dir))
+
+
+def _file_names(spark, sf_dir, year):
+    day, month = F.expr("format_string('%02d', day(o_orderdate))"), F.expr("format_string('%02d', month(o_orderdate))")
+    name = F.concat(day, F.lit("-"), month, F.lit("-"), F.date_format("o_orderdate", year), F.lit(" "), F.expr("format_string('%016d', o_orderkey * 7919 + o_custkey)"), F.lit(".pdf"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
+
+
+def _file_meta(named):
+    return named.select("o_orderkey", meta.file_date(F.col("name")).alias("file_date"), meta.file_last4(F.col("name")).alias("last4"))
+
+
+DIGITS = "right(lpad((o_orderkey * 7919 + o_custkey)::VARCHAR, 16, '0'), 4) AS last4"
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%y') AS file_date, {DIGITS} FROM orders")
+def filename_meta(spark, sf_dir):
+    return _file_meta(_file_names(spark, sf_dir, "yy"))
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS file_date, {DIGITS} FROM orders")
+def filename_meta_yyyy(spark, sf_dir):
+    return _file_meta(_file_names(spark, sf_dir, "yyyy"))
+
+
+@query("SELECT p_partkey, (2100 + p_partkey % 7000)::VARCHAR AS client_id, chr((65 + p_size % 26)::INT) || (p_partkey % 10)::VARCHAR || 'X' AS form_type FROM part")
+def footer_ids(spark, sf_dir):
+    code = F.concat(F.expr("char(65 + p_size % 26)"), (F.col("p_partkey") % 10).cast("string"), F.lit("X"))
+    text = F.concat(F.lit("2024 page of "), (2100 + F.col("p_partkey") % 7000).cast("string"), F.lit(" / "), code)
+    found = meta.footer_ids(text)
+    return table(spark, sf_dir, "part").select("p_partkey", found["client_id"].alias("client_id"), found["form_type"].alias("form_type"))
+
+
+LINE = "l_orderkey, l_linenumber"
+
+
+@query(f"SELECT {LINE}, CASE WHEN l_quantity * 16 + 8 <= 0.12 * 800 THEN 'header' WHEN l_quantity * 16 >= 0.88 * 800 THEN 'footer' ELSE 'body' END AS location FROM lineitem")
+def location_class(spark, sf_dir):
+    top = F.col("l_quantity") * 16
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", meta.location_class(top, top + 8, F.lit(800.0)).alias("location"))
+
+
+@query(f"""SELECT {LINE}, CASE WHEN w * h < 0.15 * 480000 AND (w / h >= 1.7 OR w / h <= 0.6 OR least(w, h) < 90) THEN 'logo' ELSE 'image' END AS source,
+  (w * h / 480000 BETWEEN 0.04 AND 0.96 AND least(w, h) >= 70 AND greatest(w, h) >= 120) AS may_hide
+  FROM (SELECT {LINE}, l_quantity * 11 AS w, 30.0 + l_suppkey % 400 AS h FROM lineitem)""")
+def image_class(spark, sf_dir):
+    w, h, page = F.col("l_quantity") * 11, 30.0 + F.col("l_suppkey") % 400, F.lit(480000.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", meta.picture_source(w, h, page).alias("source"), meta.may_hide_code(w, h, page).alias("may_hide"))
+
+
+def _event_rows(spark, sf_dir):
+    source = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "view", "hyperlink").otherwise("image")
+    return table(spark, sf_dir, "events").select(F.lit(0).alias("file_idx"), F.col("user_id").alias("page_number"), F.col("event_id").alias("seq"), source.alias("source"), F.concat(F.lit("acme"), (F.col("event_id") % 3).cast("string"), F.lit(".com")).alias("url"))
+
+
+EVENT_ROWS = """(SELECT user_id AS page_number, event_id AS seq, CASE event_type WHEN 'click' THEN 'text' WHEN 'view' THEN 'hyperlink' ELSE 'image' END AS source,
+  'acme' || (event_id % 3)::VARCHAR || '.com' AS url FROM events)"""
+
+
+@query(f"""SELECT seq, page_number, source, url FROM (SELECT *,
+  row_number() OVER (PARTITION BY page_number, url, source = 'image' ORDER BY seq) AS nth,
+  greatest(count(*) FILTER (WHERE source = 'text') OVER p, count(*) FILTER (WHERE source = 'hyperlink') OVER p) AS cap
+  FROM {EVENT_ROWS} WINDOW p AS (PARTITION BY page_number, url)) WHERE source = 'image' OR nth <= cap""")
+def occurrence_cap(spark, sf_dir):
+    return rows.cap_occurrences(_event_rows(spark, sf_dir)).select("seq", "page_number", "source", "url")
+
+
+@query(f"""WITH r AS (
+  SELECT page_id AS file_idx, 1 AS seq, 'image' AS source, {HOST} AS url FROM pages WHERE {NO_BLOG}
+  UNION ALL SELECT page_id, 2, 'text', regexp_replace(url, '^[a-z]+://', '') FROM pages WHERE {NO_BLOG})
+SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.file_idx = a.file_idx AND lower(b.url) <> lower(a.url) AND starts_with(lower(b.url), rtrim(lower(a.url), '/') || '/'))""")
+def embedded_host_drop(spark, sf_dir):
+    own = pages_of(spark, sf_dir).where(NO_BLOG).select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    made = own.select("*", F.lit(1).alias("seq"), F.lit("image").alias("source"), F.substring_index("path", "/", 1).alias("url")).unionByName(own.select("*", F.lit(2).alias("seq"), F.lit("text").alias("source"), F.col("path").alias("url")))
+    text = own.select("file_idx", "page_number", F.col("path").alias("page_text"))
+    return rows.drop_embedded_hosts(made.drop("path"), text).select("file_idx", "seq", "source", "url")
+
+
+@query("""WITH RECURSIVE i AS (
+  SELECT l_orderkey, s, s + w AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, w DESC) AS n
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber * 10 AS s, l_quantity::BIGINT AS w FROM lineitem)
+), sweep AS (
+  SELECT l_orderkey, n, s, e, e AS last, true AS kept FROM i WHERE n = 1
+  UNION ALL SELECT i.l_orderkey, i.n, i.s, i.e, CASE WHEN i.s >= w.last THEN i.e ELSE w.last END, i.s >= w.last FROM sweep w JOIN i ON i.l_orderkey = w.l_orderkey AND i.n = w.n + 1
+) SELECT l_orderkey, s AS start, e AS stop FROM sweep WHERE kept""")
+def greedy_intervals(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("w")).distinct()
+    spans = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("w")).alias("stop"))).alias("found"))
+    return spans.select("l_orderkey", F.inline(rows.greedy_intervals(F.col("found"))))
+
+
+@query("""SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS page_text FROM (
+  SELECT conv_id, turn, string_agg(CASE WHEN pos > 1 AND (pos % 2 = 0) THEN ' ' ELSE '' END || word, '' ORDER BY pos) AS line FROM (
+    SELECT conv_id, turn, unnest(string_split(t, ' ')) AS word, unnest(range(1, len(string_split(t, ' ')) + 1)) AS pos
+    FROM (SELECT conv_id, turn, any_value(regexp_replace(lower(text), '[^a-z ]', '', 'g')) AS t FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1)
+  ) GROUP BY conv_id, turn) GROUP BY conv_id""")
+def span_join(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"), F.count("*").alias("n")).where("n = 1")
+    words = turns.select(F.col("conv_id").alias("file_idx"), F.lit(1).alias("page_number"), F.col("turn").alias("line"), F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("ord", "text"))
+    # every second gap is wide
+    x0 = F.col("ord") * 10.0
+    spans = words.withColumns({"x0": x0, "x1": x0 + F.when(F.col("ord") % 2 == 0, 5.0).otherwise(9.5), "size": F.lit(10.0)})
+    return rows.join_spans(spans).select(F.col("file_idx").alias("conv_id"), "page_text")
+
+
+MIXED = "(SELECT page_id AS seq, CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE url END AS url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages)"
+
+
+def _mixed(spark, sf_dir):
+    p = pages_of(spark, sf_dir)
+    return p.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.col("url")).alias("url")).unionByName(p.select((F.col("page_id") + 1000000).alias("seq"), "url"))
+
+
+@query(f"SELECT lower(url) AS url_key, arg_min(url, seq) AS url, count(*) AS n_rows FROM {MIXED} GROUP BY lower(url)")
+def distinct_first_casing(spark, sf_dir):
+    return rows.distinct_links(_mixed(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT page_id, url, regexp_replace(url, '[;#].*$', '') AS plain, CASE WHEN url LIKE 'https:%' THEN 'https' ELSE 'http' END AS a, CASE WHEN url LIKE 'https:%' THEN 'http' ELSE 'https' END AS b FROM pages)
+SELECT page_id, 0 AS pos, url AS candidate FROM c UNION ALL SELECT page_id, 1, regexp_replace(url, '^[a-z]+', b) FROM c
+UNION ALL SELECT page_id, 2, regexp_replace(plain, '^[a-z]+://', a || '://www.') FROM c WHERE {HOST} NOT LIKE 'www.%'
+UNION ALL SELECT page_id, 3, regexp_replace(plain, '^[a-z]+://', b || '://www.') FROM c WHERE {HOST} NOT LIKE 'www.%'""")
+def url_candidates(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", F.posexplode(urls.candidates(urls.normalize(F.col("url")))).alias("pos", "candidate"))
+
+
+ERRORS = ("HTTPSConnectionPool: Read timed out", "SSLError: bad certificate", "Connection refused", "Connection reset by peer", "Failed to resolve host", "Max retries exceeded", "odd failure")
+
+
+def _probes(spark, sf_dir):
+    """Made-up probe results, by page: codes or errors that its number decides."""
+    p, k = pages_of(spark, sf_dir), F.col("page_id") * 4 + F.col("pos")
+    tried = p.select("page_id", urls.link_key(F.col("url")).alias("url_key"), F.posexplode(urls.candidates(urls.normalize(F.col("url")))).alias("pos", "candidate"))
+    code = F.element_at(F.array(*(F.lit(c) for c in (404, 500, 503, 200, 403, 410))), (k % 6 + 1).cast("int"))
+    error = F.element_at(F.array(*map(F.lit, ERRORS)), (k % 7 + 1).cast("int"))
+    has_code = F.col("page_id") % 3 == 0
+    return tried.withColumns({"dns_ok": F.col("page_id") % 5 == 0, "http_code": F.when(has_code, code), "error_text": F.when(~has_code, error)})
+
+
+_TRIED = f"""tried AS (SELECT page_id, 0 AS pos, url AS candidate, url FROM pages UNION ALL SELECT page_id, 1, 'x', url FROM pages
+  UNION ALL SELECT page_id, 2, 'x', url FROM pages WHERE {HOST} NOT LIKE 'www.%' UNION ALL SELECT page_id, 3, 'x', url FROM pages WHERE {HOST} NOT LIKE 'www.%'),
+probe AS (SELECT *, page_id % 5 = 0 AS dns_ok, CASE WHEN page_id % 3 = 0 THEN ([404, 500, 503, 200, 403, 410])[((page_id * 4 + pos) % 6 + 1)::INT] END AS code,
+  CASE WHEN page_id % 3 <> 0 THEN (page_id * 4 + pos) % 7 END AS e FROM tried),
+judged AS (SELECT *, CASE WHEN code IS NOT NULL THEN code < 400 OR code IN (401, 403) OR (dns_ok AND code < 500) ELSE e = 3 OR (e = 1 AND dns_ok) END AS works,
+  (['Timeout', 'SSL Error', 'Connection refused', 'Connection reset', 'DNS lookup failed', 'Connection failed', 'odd failure'])[(e + 1)::INT] AS reason FROM probe),
+folded AS (SELECT page_id, any_value(url) AS url, CASE WHEN bool_or(works) THEN 'Working' ELSE 'Not Working- error ' || coalesce(arg_max(code, pos)::VARCHAR,
+  arg_max(reason, pos) || CASE WHEN any_value(url) LIKE 'https:%' THEN ' port 443' ELSE ' port 80' END) END AS status FROM judged GROUP BY page_id)"""
+
+
+@query(f"WITH {_TRIED} SELECT page_id, pos, works, reason FROM judged")
+def status_class(spark, sf_dir):
+    works = status.probe_works(F.col("http_code"), F.col("error_text"), F.col("dns_ok"))
+    return _probes(spark, sf_dir).select("page_id", "pos", works.alias("works"), status.short_reason(F.col("error_text")).alias("reason"))
+
+
+@query(f"WITH {_TRIED} SELECT lower(url) AS url_key, status FROM folded")
+def status_fold(spark, sf_dir):
+    return status.fold_probes(_probes(spark, sf_dir))
+
+
+@query(f"""WITH {_TRIED}, own AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'upi://pay?pa=1' WHEN 1 THEN 'ftp://acme.com/x' WHEN 2 THEN '' WHEN 3 THEN upper(url) ELSE url END AS url, url AS whole FROM pages)
+SELECT o.page_id, o.url, CASE page_id % 7 WHEN 0 THEN 'Working' WHEN 1 THEN 'Not Working- error FTP URLs are not HTTP-checked' WHEN 2 THEN '' ELSE f.status END AS status FROM own o JOIN folded f USING (page_id)""")
+def status_join(spark, sf_dir):
+    k = F.col("page_id") % 7
+    own = pages_of(spark, sf_dir).select("page_id", F.when(k == 0, "upi://pay?pa=1").when(k == 1, "ftp://acme.com/x").when(k == 2, "").when(k == 3, F.upper("url")).otherwise(F.col("url")).alias("url"))
+    return status.attach_status(own, _probes(spark, sf_dir))
+
+
+def _results(spark, sf_dir):
+    """Made-up result rows, one for each web page."""
+    k = F.col("page_id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    return pages_of(spark, sf_dir).select(
+        (k % 20).alias("file_idx"), F.concat(F.lit("file"), (F.floor(k % 20 / 2)).cast("string"), F.lit(".pdf")).alias("file_name"), F.floor(k / 40).alias("page_number"), k.alias("seq"),
+        pick(("qr", "hyperlink", "logo", "text", "image"), k % 5).alias("source"), pick(("header", "body", "footer"), k % 3).alias("location"), "url",
+        pick(("Working", "Not Working- error 404", "", "Not Working- error Timeout port 443"), k % 4).alias("status"),
+    )
+
+
+RESULTS = """r AS (SELECT page_id % 20 AS file_idx, 'file' || (page_id % 20 // 2)::VARCHAR || '.pdf' AS file_name, page_id // 40 AS page_number, page_id AS seq,
+  (['qr', 'hyperlink', 'logo', 'text', 'image'])[(page_id % 5 + 1)::INT] AS source, (['header', 'body', 'footer'])[(page_id % 3 + 1)::INT] AS location, url,
+  (['Working', 'Not Working- error 404', '', 'Not Working- error Timeout port 443'])[(page_id % 4 + 1)::INT] AS status FROM pages)"""
+STATS = """count(*) AS urls_found, count_if(location = 'header')::BIGINT AS header_urls, count_if(location = 'footer')::BIGINT AS footer_urls, count_if(source = 'qr')::BIGINT AS qr_urls,
+  count_if(source IN ('image', 'logo'))::BIGINT AS image_urls, count_if(status = 'Working')::BIGINT AS working_urls, count_if(contains(lower(status), 'not working'))::BIGINT AS failed_urls,
+  count_if(status <> '')::BIGINT AS urls_checked, count(DISTINCT file_idx) AS files, count(DISTINCT (file_idx, page_number)) AS pages"""
+
+
+@query(f"WITH {RESULTS} SELECT {STATS} FROM r")
+def job_stats(spark, sf_dir):
+    return report.job_stats(_results(spark, sf_dir))
+
+
+@query(f"WITH {RESULTS} SELECT file_idx, file_name, count(*) AS n_urls, count(DISTINCT page_number) AS n_pages, count_if(status = 'Working')::BIGINT AS n_working FROM r GROUP BY 1, 2")
+def file_summary(spark, sf_dir):
+    return report.file_summary(_results(spark, sf_dir))
+
+
+@query(f"""WITH {RESULTS} SELECT 'all' AS filter, count(*) AS n_rows FROM r UNION ALL SELECT 'working', count(*) FROM r WHERE status = 'Working'
+UNION ALL SELECT 'failed', count(*) FROM r WHERE status LIKE 'Not Working%' UNION ALL SELECT 'qr', count(*) FROM r WHERE source = 'qr'
+UNION ALL SELECT 'image', count(*) FROM r WHERE source IN ('image', 'logo') UNION ALL SELECT 'header', count(*) FROM r WHERE location = 'header'
+UNION ALL SELECT 'footer', count(*) FROM r WHERE location = 'footer'""")
+def ui_filters(spark, sf_dir):
+    return report.filter_counts(_results(spark, sf_dir))
+
+
+@query(f"WITH {RESULTS} SELECT file_idx, source, location, count(*) AS n_urls, count_if(status = 'Working')::BIGINT AS n_working, grouping_id(file_idx, source, location) AS level FROM r GROUP BY ROLLUP (file_idx, source, location)")
+def rollup_report(spark, sf_dir):
+    return report.rollup_report(_results(spark, sf_dir))
+
+
+@query(f"WITH {RESULTS} SELECT * FROM r ORDER BY file_idx, page_number, seq LIMIT 120")
+def preview_120(spark, sf_dir):
+    return report.preview(_results(spark, sf_dir))
+
+
+@query(f"WITH {RESULTS} SELECT * FROM r ORDER BY file_idx DESC, page_number DESC, seq DESC LIMIT 10")
+def recent_10(spark, sf_dir):
+    return report.recent(_results(spark, sf_dir))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus || '.pdf' AS file_name FROM orders), m AS (
+  SELECT *, CASE WHEN lag(file_name) OVER w = file_name THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey, o_orderkey, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS island, CASE WHEN new = 1 THEN file_name END AS shown FROM m""")
+def same_file_islands(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat("o_orderstatus", F.lit(".pdf")).alias("file_name"))
+    return report.merge_file_cells(orders, "file_name", ["o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey", "island", "shown")
+
+
+@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%.com'")
+def ocr_repair(spark, sf_dir):
+    host = urls.host_of(F.col("url"))
+    wrong = F.regexp_replace(host, r"\.com$", ".corn")
+    return pages_of(spark, sf_dir).where(host.endswith(".com")).select("page_id", urls.repair_ocr(wrong).alias("host"))
+
+
+@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%e%'")
+def confusable_snap(spark, sf_dir):
+    host = urls.host_of(F.col("url"))
+    misread = F.regexp_replace(host, "^([^e]*)e", "$1c")
+    return pages_of(spark, sf_dir).where(F.contains(host, F.lit("e"))).select("page_id", urls.snap_host(misread, F.array(F.lit("other.net"), host)).alias("host"))
+
+
+@query(f"""SELECT page_id, arg_max(payload, (s, d, length(payload), -seq)) AS payload, count(*) AS n_hits FROM (
+  SELECT *, (payload LIKE '%://%')::INT AS s, (payload LIKE '%.%')::INT AS d FROM (
+    SELECT page_id, 1 AS seq, {HOST} AS payload FROM pages UNION ALL SELECT page_id, 2, 'PAY' FROM pages UNION ALL SELECT page_id, 3, url FROM pages WHERE page_id % 2 = 0
+  )) GROUP BY page_id""")
+def qr_best_payload(spark, sf_dir):
+    p = pages_of(spark, sf_dir)
+    hit = lambda n, c, d=p: d.select("page_id", F.lit(n).alias("seq"), c.alias("payload"))
+    hits = hit(1, urls.host_of(F.col("url"))).unionByName(hit(2, F.lit("PAY"))).unionByName(hit(3, F.col("url"), p.where("page_id % 2 = 0")))
+    return rows.best_payload(hits, ["page_id"])
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 90 AS x0, l_suppkey % 90 AS y0, l_partkey % 90 + l_quantity AS x1, l_suppkey % 90 + 20.0 AS y1 FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
+WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.3 * (a.x1 - a.x0) * (a.y1 - a.y0)""")
+def rect_coverage(spark, sf_dir):
+    x, y = F.col("l_partkey") % 90, F.col("l_suppkey") % 90
+    box = F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("l_quantity")).alias("x1"), (y + 20.0).alias("y1"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    other = lines.select("l_orderkey", F.col("l_linenumber").alias("line_b"), F.col("box").alias("box_b"))
+    return lines.join(other, "l_orderkey").where((F.col("l_linenumber") < F.col("line_b")) & meta.is_covered(F.col("box"), F.col("box_b"), 0.3)).select("l_orderkey", F.col("l_linenumber").alias("line_a"), "line_b")
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS page, floor((l_partkey % 300) / 10)::BIGINT AS cx, floor((l_quantity * 6) / 10)::BIGINT AS cy FROM lineitem WHERE l_linenumber = 1),
+reach AS (SELECT page, cx, cy, cx AS ox, cy AS oy FROM c UNION SELECT r.page, n.cx, n.cy, r.ox, r.oy FROM reach r JOIN c n ON n.page = r.page AND abs(n.cx - r.cx) <= 1 AND abs(n.cy - r.cy) <= 1),
+low AS (SELECT page, cx, cy, min((ox, oy)) AS root FROM reach GROUP BY page, cx, cy)
+SELECT page, count(*) AS n_cells, min(cx) AS x0, min(cy) AS y0, max(cx) AS x1, max(cy) AS y1 FROM low GROUP BY page, root""")
+def grid_components(spark, sf_dir):
+    marks = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 6).alias("y"))
+    return codes.grid_components(codes.cells_of(marks, ["page"]), "page").select("page", F.col("n_cells").cast("long").alias("n_cells"), "x0", "y0", "x1", "y1")
+
+
+BITS = "(SELECT user_id, event_id AS x, (hash_bit)::INT AS bit FROM (SELECT *, (value * 100)::BIGINT % 2 AS hash_bit FROM events))"
+RUNS = f"""runs AS (SELECT user_id, run, any_value(bit) AS bit, min(x) AS start, count(*) AS length FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(bit) OVER (PARTITION BY user_id ORDER BY x) = bit THEN 0 ELSE 1 END AS new FROM {BITS})) GROUP BY user_id, run)"""
+
+
+def _runs(spark, sf_dir):
+    bits = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.round(F.col("value") * 100).cast("long") % 2).cast("int").alias("bit"))
+    return codes.run_lengths(bits, ["user_id"])
+
+
+@query(f"WITH {RUNS} SELECT * FROM runs")
+def run_length(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+@query(f"""WITH {RUNS}, five AS (SELECT *, length AS n0, lead(length, 1) OVER w AS n1, lead(length, 2) OVER w AS n2, lead(length, 3) OVER w AS n3, lead(length, 4) OVER w AS n4 FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+u AS (SELECT *, (n0 + n1 + n2 + n3 + n4) / 7.0 AS unit FROM five)
+SELECT user_id, start + n0 + n1 + n2 / 2.0 AS centre, unit::DOUBLE AS unit FROM u WHERE bit = 1 AND n4 IS NOT NULL AND abs(n0 - unit) <= 0.5 * unit AND abs(n1 - unit) <= 0.5 * unit
+  AND abs(n2 - 3 * unit) <= 1.5 * unit AND abs(n3 - unit) <= 0.5 * unit AND abs(n4 - unit) <= 0.5 * unit""")
+def finder_ratio(spark, sf_dir):
+    return codes.finder_centres(_runs(spark, sf_dir), ["user_id"])
+
+
+_WORDS = ", ".join(f"'{w}'" for w in lex.TEXT_WORDS)
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents WHERE lang = 'en') WHERE word IN ({_WORDS}) GROUP BY word")
+def lexicon_semi(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("word"))
+    return words.where(F.col("word").isin(*lex.TEXT_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RESULTS}, p AS (SELECT file_idx, page_number, count(*) AS n_urls FROM r GROUP BY 1, 2)
+SELECT file_idx, page_number, n_urls, (sum(n_urls) OVER w)::BIGINT AS urls_so_far, row_number() OVER w AS pages_done FROM p WINDOW w AS (PARTITION BY file_idx ORDER BY page_number)""")
+def progress_curve(spark, sf_dir):
+    return report.progress_curve(_results(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 40 + 1 > 25 THEN 'too many files' WHEN o_orderkey % 9 = 0 THEN 'not a PDF' WHEN o_custkey % 11 = 0 THEN 'empty' WHEN (o_custkey % 11) * 10000000 > 52428800 THEN 'too large' END AS reason FROM orders""")
+def upload_validate(spark, sf_dir):
+    name = F.when(F.col("o_orderkey") % 9 == 0, "notes.txt").otherwise("Scan.PDF")
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.upload_reason(name, F.col("o_custkey") % 11 * 10000000, F.col("o_orderkey") % 40 + 1).alias("reason"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://' || h || '/a' WHEN 1 THEN 'http://' || h || ':8080/a' WHEN 2 THEN NULL ELSE 'https://' || h || '/a?x=1' END AS url
+FROM (SELECT page_id, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS h FROM pages)""")
+def normalize_links(spark, sf_dir):
+    h, k = urls.host_of(F.col("url")), F.col("page_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit(" https://"), F.upper(h), F.lit(":443 /a"))).when(k == 1, F.concat(F.lit("http://"), h, F.lit(":8080/a."))).when(k == 2, F.concat(F.lit("mailto:x@"), h)).otherwise(F.concat(F.lit("'"), h, F.lit("/a?x=1'")))
+    return pages_of(spark, sf_dir).select("page_id", urls.normalize(raw).alias("url"))
+
+
+@query(f"""WITH {RESULTS}, s AS (SELECT {STATS} FROM r) SELECT to_json(s)::VARCHAR AS snapshot FROM s""")
+def job_snapshot(spark, sf_dir):
+    return report.snapshot_json(_results(spark, sf_dir))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return progress.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n_events", F.round("total", 2).alias("total"))
+
+
+@query()
+def report_workbooks(spark, sf_dir):
+    """The report as workbooks, one for each file: sizes and digests of their bytes."""
+    made = _results(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("file_date", "last4", "client_id", "form_type")})
+    books = workbook.workbooks(report.result_columns(made).drop("Last 4 Digits"), "Filename", ["file_idx", "Page Number", "seq"])
+    return books.select("Filename", "part", "n_rows", F.octet_length("content").alias("n_bytes"))
