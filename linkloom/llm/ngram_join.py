@@ -230,10 +230,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit sketches of the members of open runs. Rows come sorted by rep, so each text is read once for all of its runs."""
+    last, tokens, bits = None, None, {}
     for batch in batches:
+        rows = []
         for part, rep, component, group, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            tokens = shingles(text)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rep]), pa.array([component]), pa.array([len(tokens)]), pa.array([bits_of(tokens, group).tobytes()])], names=["part", "rep", "component", "n", "bits"])
+            if rep != last:
+                last, tokens, bits = rep, shingles(text), {}
+            if group not in bits:
+                bits[group] = bits_of(tokens, group).tobytes()
+            rows.append((part, rep, component, len(tokens), bits[group]))
+        for k in range(0, len(rows), 1000):
+            columns = zip(*rows[k : k + 1000], strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "rep", "component", "n", "bits"])
 
 
 def _across(percent: int):
@@ -304,7 +314,7 @@ def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # runs that still hold several components
     placed = members.join(found, members.rep == found.node, "left").select("part", "grp", "rep", F.coalesce("component", "rep").alias("component"))
     open_runs = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part")
-    rest = settle(placed.join(open_runs, "part").join(texts, "rep").select("part", "rep", "component", "grp", "text").mapInArrow(_sketches, "part long, rep long, component long, n long, bits binary"))
+    rest = settle(placed.join(open_runs, "part").join(texts, "rep").select("part", "rep", "component", "grp", "text").sortWithinPartitions("rep").mapInArrow(_sketches, "part long, rep long, component long, n long, bits binary"))
     more = rest.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = settle(_verified(settle(more), texts, percent))
     if more.limit(1).count():
