@@ -172,8 +172,10 @@ def _joined_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: s
         .select("id", "text_hash", "item_id", "item_hash")
         .distinct()
     )
-    texts = pairs.join(right.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("text").alias("item_text")).distinct(), ["item_id", "item_hash"]).join(left, [pairs.id.eqNullSafe(left.id), pairs.text_hash == left.text_hash])
-    return texts.select(pairs.id, "item_id", left.text, "item_text").mapInArrow(tiles, T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(HITS).elementType.fields]))
+    items = right.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("text").alias("item_text")).distinct()
+    whole = left.toDF("__id", "__hash", "__text")
+    texts = pairs.join(items, ["item_id", "item_hash"]).join(whole, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    return texts.select("id", "item_id", "__text", "item_text").mapInArrow(tiles, T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(HITS).elementType.fields]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
