@@ -85,7 +85,7 @@ def email_negative(spark, sf_dir):
 
 @query("SELECT page_id, regexp_replace(regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1), '^blog\\.', '') AS url FROM pages")
 def footer_bare_hosts(spark, sf_dir):
-    return rows.text_occurrences(files.html_pages(pages_of(spark, sf_dir))).select(F.col("file_idx").alias("page_id"), "url")
+    return rows.text_occurrences(files.html_footers(pages_of(spark, sf_dir))).select(F.col("file_idx").alias("page_id"), "url")
 
 
 @query("""SELECT page_id, unnest(range(len(l))) AS ord, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")

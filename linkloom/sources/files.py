@@ -23,8 +23,51 @@ def upload_reason(name: Column, length: Column, position: Column) -> Column:
     )
 
 
+#: Named entities that links or their surroundings need. Every other one becomes U+FFFD, which is neither a blank nor part of a host.
+ENTITIES = {" ": "nbsp|ensp|emsp|thinsp", ".": "period", "/": "sol", ":": "colon", "@": "commat", "<": "lt|LT", ">": "gt|GT", '"': "quot|QUOT", "'": "apos", "": "shy"}
+#: What a page does not show; a part that is never closed reaches to the page's end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+QUOTED = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+TAG = rf"<[/!?a-zA-Z]{QUOTED}|<[/!?a-zA-Z][^>]*>"
+#: Tags inside running text, which show no gap. All others end the text before them.
+INLINE = rf"(?i)</?(?:abbr|acronym|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?=[\s/>]){QUOTED}"
+#: Between blocks: the address pattern ends there, and sanitize() joins nothing over it, as it is no blank to its rules.
+BLOCK = "\u2029"
+HREF = r"""(?i)(?<=[\s"'])href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _decoded(text: Column) -> Column:
+    """Text with its entities put right, each once."""
+    pieces = F.split(text, "&#(?=[0-9]|[xX][0-9a-fA-F])")
+
+    def numeric(p: Column) -> Column:
+        number = F.regexp_extract(p, r"^([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).try_cast("int")
+        mark = F.when(code == 38, "&amp;").when(code == 160, " ").when(code.between(32, 126), F.chr(code)).otherwise("\ufffd")
+        return F.concat(mark, F.regexp_replace(p, r"^(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+
+    text = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), numeric), ""))
+    for mark, names in ENTITIES.items():
+        text = F.regexp_replace(text, f"&(?:{names});", mark)
+    return F.regexp_replace(F.regexp_replace(text, r"&(?!amp;|AMP;)[a-zA-Z][a-zA-Z0-9]*;", "\ufffd"), "(?i)&amp;", "&")
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
-    """Web pages (page_id, url, html) as pages to extract from: the page's address as a hyperlink, the footer as text."""
+    """Web pages (page_id, url, html) as pages to extract from: the page's address and its hrefs as hyperlinks, all that it shows as text.
+
+    An href without a scheme, // or www. names a place on the page's own host, so it is no link by itself.
+    """
+    shown = F.regexp_replace("html", HIDDEN, " ")
+    written = F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(TAG), 0), lambda tag: F.regexp_extract_all(tag, F.lit(HREF), 0)))
+    hrefs = F.transform(written, lambda h: F.trim(_decoded(F.regexp_replace(h, r"(?i)^href\s*=\s*[\"']?|[\"']$", ""))))
+    whole = F.filter(F.transform(hrefs, lambda h: F.regexp_replace(h, "^//", "https://")), lambda h: h.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*://|www\.)"))
+    text = _decoded(F.regexp_replace(F.regexp_replace(shown, INLINE, ""), TAG, BLOCK))
+    uris = F.concat(F.array("url"), F.coalesce(whole, F.array().cast("array<string>")))
+    return pages.select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), text.alias("page_text"), uris.alias("uris"))
+
+
+def html_footers(pages: DataFrame) -> DataFrame:
+    """Web pages (page_id, url, html) as pages whose text is the first footer alone."""
     footer = F.regexp_extract("html", r"(?s)<footer[^>]*>(.*?)</footer>", 1)
     plain = F.regexp_replace(F.regexp_replace(footer, r"<[^>]*>", " "), r"&[a-z]+;", " ")
     return pages.select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), plain.alias("page_text"), F.array("url").alias("uris"))

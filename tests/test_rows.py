@@ -81,6 +81,24 @@ def test_discovery(spark, tmp_path):
     assert [r.file_name for r in files.discover(spark, str(tmp_path)).orderBy("file_idx").collect()] == ["a.pdf", "b.pdf"]
 
 
+WHOLE_PAGE = """<html><head><style>a{b:url(style.com/x)}</style><script>var x = "https://script.com/x";</script></head><body><!-- https://hidden.com/x -->
+<nav><a href="/about">About</a><a class=x href='http://nav.com/a?x=1&amp;y=2'>Go</a><a href=//cdn.com/lib title="a > b">Lib</a><a data-href="https://data.com/x">D</a></nav>
+<article><p>Read www.body.com/doc, or mail bob@mail.com.</p><p>This ends here.</p><ul><li>list.com/one</li><li>www.bo<b>ld.org</b>/two</li></ul><p>Slash &#104;ttps://glue.com/</p><p>After it caf&eacute;.com</p></article>
+<footer>&copy; first.com</footer><footer>second.com</footer></body></html>"""
+
+
+def test_links_of_whole_web_pages(spark):
+    pages = spark.createDataFrame([(1, "https://own.com/p", WHOLE_PAGE), (2, "https://bare.com/p", "acme.com/a"), (3, "https://none.com/p", None)], "page_id int, url string, html string")
+    got = {}
+    for r in rows.extract(files.html_pages(pages)).orderBy("file_idx", "seq").collect():
+        got.setdefault((r.file_idx, r.source), []).append(r.url)
+    assert got == {
+        (1, "hyperlink"): ["https://own.com/p", "http://nav.com/a?x=1&y=2", "https://cdn.com/lib"],
+        (1, "text"): ["www.body.com/doc", "list.com/one", "www.bold.org/two", "https://glue.com/", "first.com", "second.com"],
+        (2, "hyperlink"): ["https://bare.com/p"], (2, "text"): ["acme.com/a"], (3, "hyperlink"): ["https://none.com/p"],
+    }
+
+
 def test_stream_of_pages(spark, sf_dir, tmp_path):
     pages = files.html_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     pages.write.parquet(str(tmp_path / "in"))
