@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import SparkSession
+from importlib import resources
 
 # Results depend on these words being exactly so.
 MULTI_PART_TLDS = """
@@ -36,33 +34,36 @@ OCR_TLD_FIX = {
 }
 CONFUSABLE_PAIRS = ("fl", "il", "1l", "1i", "0o", "ce", "5s", "8b", "6g", "2z")
 
-#: Top-level domains of more than two letters that are taken for such unless a caller gives others.
-GENERIC_TLDS = """
-com org net edu gov mil int info biz name pro aero coop museum asia cat jobs mobi tel travel arpa app dev xyz one bank
-academy agency art audio auto band bar beauty beer best bet bid bike bio blog blue book bot box build business buy cab
-cafe call camera camp capital car cards care career cars cash center chat cheap church city claims click clinic cloud
-club coach codes coffee college community company computer consulting contact cool coupon credit data date deal deals
-delivery dental design digital direct discount docs doctor dog download drive earth eco education email energy events
-exchange expert express farm fashion film finance fit flights fun fund fyi games gift global gold group guide guru
-health help here homes host hosting house how ink institute land law legal life link live llc loan love market media
-network news now online open page partners photos pizza plus press read report restaurant review rocks run safe sale
-save school search secure services shop show site solutions store studio style support systems team tech tips today
-tools top tours town training video vip watch web website wiki win work works world yoga you zone
-""".split()
-#: In use beside the countries of ISO 3166.
-OTHER_COUNTRY_TLDS = "ac eu su uk".split()
+#: The top-level domains that are taken for such, one a line; callers can add to them.
+TLDS = frozenset(resources.files(__package__).joinpath("tlds.txt").read_text("ascii").split())
 
 TAIL_WORDS = sorted({*SENTENCE_WORDS, *FUNCTION_WORDS, *TAIL_EXTRA})
 TEXT_WORDS = sorted({*SENTENCE_WORDS, *FUNCTION_WORDS})
 
 
-@lru_cache
 def top_level_domains(extra: tuple[str, ...] = ()) -> tuple[str, ...]:
-    """GENERIC_TLDS, the countries that the JVM knows, and the caller's own."""
-    countries = SparkSession.getActiveSession()._jvm.java.util.Locale.getISOCountries()
-    return tuple(sorted({*GENERIC_TLDS, *OTHER_COUNTRY_TLDS, *(str(c).lower() for c in countries), *(x.lower() for x in extra)}))
+    """TLDS and the caller's own."""
+    return tuple(sorted({*TLDS, *(x.lower() for x in extra)}))
 
 
 def one_of(words) -> str:
     """A group that matches any of the words, the longest first."""
-    return "(?:" + "|".join(w.replace(".", r"\.") for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+    return _branches(tree)
+
+
+def _branches(node: dict) -> str:
+    """The words of a tree of letters. As they share their beginnings, a place that holds none fails at its first letters."""
+    ways = []
+    for letter in sorted(k for k in node if k):
+        tail, below = letter.replace(".", r"\."), node[letter]
+        while len(below) == 1 and "" not in below:
+            ((letter, below),) = below.items()
+            tail += letter.replace(".", r"\.")
+        ways.append(tail + (_branches(below) if any(below) else ""))
+    return "(?:" + "|".join(ways) + ")" + ("?" if "" in node else "")

@@ -90,7 +90,9 @@ def tld_of(host: Column, tlds: tuple[str, ...] = ()) -> Column:
     labels = F.filter(F.split(F.lower(F.btrim(host, F.lit("."))), r"\."), lambda x: x != "")
     last = F.try_element_at(labels, F.lit(-1))
     two = F.concat_ws(".", F.try_element_at(labels, F.lit(-2)), last)
-    return F.when((F.size(labels) >= 3) & two.isin(*lex.MULTI_PART_TLDS), two).when((F.size(labels) >= 2) & last.isin(*lex.top_level_domains(tlds)), last)
+    # one pattern, as a long list of literals would be planned again at every use
+    known = last.rlike(rf"^{lex.one_of(lex.top_level_domains(tlds))}\z")
+    return F.when((F.size(labels) >= 3) & two.isin(*lex.MULTI_PART_TLDS), two).when((F.size(labels) >= 2) & known, last)
 
 
 def is_noise(url: Column, tlds: tuple[str, ...] = ()) -> Column:

@@ -24,6 +24,10 @@ FOUND = {
     "https://acme.com/info.html.": ["https://acme.com/info"],
     "(https://acme.com/pay).": ["https://acme.com/pay"],
     "www.acme.co.uk/x, www.acme.org": ["www.acme.co.uk/x", "www.acme.org"],
+    "https://acme.berlin/x": ["https://acme.berlin/x"],
+    "from acme.supply and www.acme.co.casa": ["acme.supply", "www.acme.co.casa"],
+    "https://my-rings.acme.diamonds": ["https://my-rings.acme.diamonds"],
+    "acme.airforce:8080/x": ["acme.airforce:8080/x"],
     "": [],
     "no link here": [],
 }
