@@ -18,8 +18,6 @@ ADDRESS = r"(?iU)(?:https?|ftp)://[^\s<>\[\]()\"']+|(?<![@\w./-])(?:[a-z0-9](?:[
 IPV4 = r"^\d{1,3}(?:\.\d{1,3}){3}"
 #: Stand-ins for decided dots, from the private use area: joined, left alone, end of a sentence.
 JOINED, LEFT, ENDED = "\ue000", "\ue001", "\ue002"
-#: How often the clean-up is repeated; a link is stable after two unless several sentences stick to it.
-ROUNDS = 3
 
 
 def let(value: Column, f) -> Column:
@@ -47,7 +45,7 @@ def sanitize(text: Column, tlds: tuple[str, ...] = ()) -> Column:
 
 
 def clean(url: Column, tlds: tuple[str, ...] = ()) -> Column:
-    """A link without the punctuation, numbers and words of a sentence that stick to its end."""
+    """A link without the punctuation, numbers and words of a sentence that stick to its end; the rules repeat until nothing changes."""
     tld, tail, exts = lex.one_of(lex.top_level_domains(tlds)), lex.one_of(lex.TAIL_WORDS), lex.one_of(lex.FILE_EXTS)
     titled = rf"(?!(?i:{tld})$)[A-Z][a-z]*"
     camel = "(?:" + "|".join(f"{w[0].upper()}(?i:{w[1:]})" for w in lex.TAIL_WORDS if len(w) > 2) + ")"
@@ -65,10 +63,12 @@ def clean(url: Column, tlds: tuple[str, ...] = ()) -> Column:
         u = F.regexp_replace(u, rf"\.(?!(?i:{exts})$)(?:(?i:{tail})|{titled})$", "")
         return F.regexp_replace(u, r"(?i)^(?!(?:https?|ftp)://)([^/]+)/$", "$1")
 
-    url = F.regexp_extract(F.trim(sanitize(url, tlds)), r"^\S+", 0)
-    for _ in range(ROUNDS):
-        url = once(url)
-    return url
+    head = lambda u: F.regexp_extract(F.trim(sanitize(u, tlds)), r"^\S+", 0)
+    # a round that changes a link takes off a letter at least (or, once, writes www. small), so this ends when nothing changes
+    rounds = lambda u: F.sequence(F.lit(0), F.char_length(u) + 1)
+    state = lambda u, done: F.struct(u.alias("url"), done.alias("done"))
+    again = lambda x: let(once(head(x["url"])), lambda v: state(v, v == x["url"]))
+    return let(head(url), lambda u: F.aggregate(rounds(u), state(u, F.lit(False)), lambda x, _: F.when(x["done"], x).otherwise(again(x)), lambda x: x["url"]))
 
 
 def host_of(url: Column) -> Column:

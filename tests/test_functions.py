@@ -28,6 +28,8 @@ FOUND = {
     "from acme.supply and www.acme.co.casa": ["acme.supply", "www.acme.co.casa"],
     "https://my-rings.acme.diamonds": ["https://my-rings.acme.diamonds"],
     "acme.airforce:8080/x": ["acme.airforce:8080/x"],
+    "acme.com/doc1.Apples.Pears.Plums.Cherries": ["acme.com/doc1"],
+    "www.acme.com/doc1" + ".Plum" * 40: ["www.acme.com/doc1"],
     "": [],
     "no link here": [],
 }
