@@ -6,6 +6,7 @@ lineitem, probe results and result rows from the addresses of web pages.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import lexicon as lex
@@ -189,6 +190,17 @@ def greedy_intervals(spark, sf_dir):
   ) GROUP BY conv_id, turn) GROUP BY conv_id""")
 def span_join(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"), F.count("*").alias("n")).where("n = 1")
+    return _joined(turns)
+
+
+@query()
+def span_join_every_turn(spark, sf_dir):
+    # turns of one number stand in the order of their texts
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text", "role"))
+    return _joined(table(spark, sf_dir, "conversations").withColumn("turn", order))
+
+
+def _joined(turns):
     words = turns.select(F.col("conv_id").alias("file_idx"), F.lit(1).alias("page_number"), F.col("turn").alias("line"), F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("ord", "text"))
     # every second gap is wide
     x0 = F.col("ord") * 10.0
@@ -321,16 +333,33 @@ def same_file_islands(spark, sf_dir):
 
 @query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%.com'")
 def ocr_repair(spark, sf_dir):
-    host = urls.host_of(F.col("url"))
-    wrong = F.regexp_replace(host, r"\.com$", ".corn")
-    return pages_of(spark, sf_dir).where(host.endswith(".com")).select("page_id", urls.repair_ocr(wrong).alias("host"))
+    return _repaired(pages_of(spark, sf_dir).where(urls.host_of(F.col("url")).endswith(".com")))
+
+
+@query()
+def ocr_repair_every_host(spark, sf_dir):
+    return _repaired(pages_of(spark, sf_dir))
+
+
+def _repaired(pages):
+    wrong = F.regexp_replace(urls.host_of(F.col("url")), r"\.com$", ".corn")
+    return pages.select("page_id", urls.repair_ocr(wrong).alias("host"))
 
 
 @query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%e%'")
 def confusable_snap(spark, sf_dir):
+    return _snapped(pages_of(spark, sf_dir).where(F.contains(urls.host_of(F.col("url")), F.lit("e"))))
+
+
+@query()
+def confusable_snap_every_host(spark, sf_dir):
+    return _snapped(pages_of(spark, sf_dir))
+
+
+def _snapped(pages):
     host = urls.host_of(F.col("url"))
     misread = F.regexp_replace(host, "^([^e]*)e", "$1c")
-    return pages_of(spark, sf_dir).where(F.contains(host, F.lit("e"))).select("page_id", urls.snap_host(misread, F.array(F.lit("other.net"), host)).alias("host"))
+    return pages.select("page_id", urls.snap_host(misread, F.array(F.lit("other.net"), host)).alias("host"))
 
 
 @query(f"""SELECT page_id, arg_max(payload, (s, d, length(payload), -seq)) AS payload, count(*) AS n_hits FROM (
@@ -360,7 +389,16 @@ reach AS (SELECT page, cx, cy, cx AS ox, cy AS oy FROM c UNION SELECT r.page, n.
 low AS (SELECT page, cx, cy, min((ox, oy)) AS root FROM reach GROUP BY page, cx, cy)
 SELECT page, count(*) AS n_cells, min(cx) AS x0, min(cy) AS y0, max(cx) AS x1, max(cy) AS y1 FROM low GROUP BY page, root""")
 def grid_components(spark, sf_dir):
-    marks = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 6).alias("y"))
+    return _components(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def grid_components_every_line(spark, sf_dir):
+    return _components(table(spark, sf_dir, "lineitem"))
+
+
+def _components(lines):
+    marks = lines.select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 6).alias("y"))
     return codes.grid_components(codes.cells_of(marks, ["page"]), "page").select("page", F.col("n_cells").cast("long").alias("n_cells"), "x0", "y0", "x1", "y1")
 
 

@@ -28,3 +28,35 @@ def test_the_others_run(spark, sf_dir):
     for name in QUERIES:
         if name not in ORACLE_SQL:
             assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_every_line_makes_components(spark, sf_dir):
+    con, cells = duckdb.connect(), {}
+    for page, x, y in con.execute(f"select distinct l_suppkey, l_partkey % 300 // 10, floor(l_quantity * 6 / 10)::bigint from '{sf_dir}/lineitem.parquet'").fetchall():
+        cells.setdefault(page, set()).add((x, y))
+    want = []
+    for page, left in cells.items():
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                x, y = todo.pop()
+                part.append((x, y))
+                near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            xs, ys = zip(*part, strict=True)
+            want.append((page, len(part), min(xs), min(ys), max(xs), max(ys)))
+    assert sorted(map(tuple, QUERIES["grid_components_every_line"](spark, sf_dir).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["ocr_repair_every_host", "confusable_snap_every_host"])
+def test_every_host_comes_back(spark, sf_dir, name):
+    hosts = duckdb.execute(f"select page_id, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) from '{sf_dir}/pages.parquet'").fetchall()
+    assert sorted(map(tuple, QUERIES[name](spark, sf_dir).collect())) == sorted(hosts)
+
+
+def test_repeated_turns_stay(spark, tmp_path):
+    rows = [("c", 1, "user", "b c"), ("c", 1, "user", "a d"), ("c", 0, "user", "e"), ("c", 1, "user", "a d")]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["span_join_every_turn"](spark, str(tmp_path)).collect()
+    assert [(r.conv_id, r.page_text) for r in got] == [("c", "e\na d\na d\nb c")]
