@@ -4,6 +4,9 @@ A document and a test item that share a seed of min_match words are tiled: their
 are still unmarked is marked, again and again, down to min_match words. Matches are found with Karp-Rabin hashes of
 min_match words, run on along their diagonals. The share of the item's words that tiles cover decides, so a passage
 is caught when its parts come in another order.
+
+Test items are taken in blocks of bounded size. A block is joined to the documents where they are: every task holds the
+block's seeds, so no document is shuffled, and a seed that a third of all documents share costs nothing more.
 """
 
 from __future__ import annotations
@@ -11,20 +14,21 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+
+from linkloom.llm.tables import settle, table, unused
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
-#: The seeds go to the executors as a whole only up to so many bytes of test texts; beyond, seeds are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: An item of fewer than min_match words is matched as a whole if it has so many characters; a shorter one matches nothing.
+MIN_CHARS = 20
+#: A block of test items has about so many bytes of text, or is a single item.
+BLOCK_BYTES = 16 << 20
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<item_id:long,n_item_words:int,n_covered:int,n_tiles:int,tiles:array<struct<doc_word:int,item_word:int,n_words:int>>>>"
@@ -81,58 +85,65 @@ def tile(doc: list, item: list, seeds: list[tuple[int, int]], min_match: int) ->
 
 
 class Items:
-    """Test items with an index of their seeds, as every task holds them when they are few."""
-
-    def __init__(self, rows: list[tuple[int, str]], min_match: int, min_coverage: float):
-        self.min_match, self.min_coverage = min_match, min_coverage
-        self.items = {i: w for i, t in rows if len(w := words_of(t)) >= min_match}
-        self.codes = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.items.values() for w in ws))}
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, ws in self.items.items():
-            for q, h in enumerate(rolling(np.array([self.codes[w] for w in ws], np.uint64), min_match).tolist()):
-                self.at[h].append((i, q))
-        self.seeds = np.sort(np.fromiter(self.at, np.uint64, len(self.at)))
+    """A block of test items (item_id, text) with an index of their seeds."""
+
+    def __init__(self, rows: list[tuple[int | None, str]], min_match: int, min_coverage: float):
+        self.min_coverage = min_coverage
+        words = [(i, words_of(t)) for i, t in rows]
+        self.items = [(i, w) for i, w in words if len(w) >= min_match or sum(map(len, w)) >= MIN_CHARS]
+        self.seed_words = [min(min_match, len(w)) for _, w in self.items]
+        self.codes = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
+        # by the number of words of a seed: sorted hashes, and the item and the place of each
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(self.seed_words)):
+            own = [(k, rolling(np.array([self.codes[w] for w in ws], np.uint64), n)) for k, (_, ws) in enumerate(self.items) if self.seed_words[k] == n]
+            h = np.concatenate([x for _, x in own])
+            order = np.argsort(h, kind="stable")
+            item, place = np.repeat([k for k, _ in own], [len(x) for _, x in own]), np.concatenate([np.arange(len(x)) for _, x in own])
+            self.seeds[n] = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
 
     def hits(self, text: str | None) -> list[dict]:
         words = words_of(text)
-        if len(words) < self.min_match or not len(self.seeds):
-            return []
         ids = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(ids < 0)
-        reach = np.zeros(len(ids) + 1, np.int64)
-        reach[missing + 1] = 1
-        reach = np.cumsum(reach)
-        whole = np.flatnonzero(reach[self.min_match :] == reach[: -self.min_match])
-        if not len(whole):
-            return []
-        hashes = rolling(ids.astype(np.uint64), self.min_match)[whole]
-        near = self.seeds[np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)] == hashes
+        missing = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(ids < 0, out=missing[1:])
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, h in zip(whole[near].tolist(), hashes[near].tolist(), strict=True):
-            for i, q in self.at[h]:
-                found[i].append((p, q))
-        return [hit for i in sorted(found) if (hit := self.judge(i, words, self.items[i], found[i]))]
-
-    def judge(self, i: int, words: list[str], item: list[str], seeds: list[tuple[int, int]]) -> dict | None:
-        return judge(i, words, item, seeds, self.min_match, self.min_coverage)
-
-
-def judge(i: int, words: list[str], item: list[str], seeds: list[tuple[int, int]], min_match: int, min_coverage: float) -> dict | None:
-    tiles = tile(words, item, seeds, min_match)
-    covered = sum(n for _, _, n in tiles)
-    if covered < min_coverage * len(item):
-        return None
-    return {"item_id": i, "n_item_words": len(item), "n_covered": covered, "n_tiles": len(tiles), "tiles": [{"doc_word": p, "item_word": q, "n_words": n} for p, q, n in tiles]}
-
-
-def _few(benchmark: DataFrame, limit: int) -> list[tuple[int, str]] | None:
-    """The test items if their texts have at most limit bytes."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    return [tuple(r) for r in benchmark.select("item_id", "text").collect()] if size <= limit else None
-
-
-def _with_hits(docs: DataFrame, text_col: str, rows: list[tuple[int, str]], min_match: int, min_coverage: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+        for n, (seeds, item, place) in self.seeds.items():
+            whole = np.flatnonzero(missing[n:] == missing[:-n])
+            if not len(whole):
+                continue
+            hashes = rolling(ids.astype(np.uint64), n)[whole]
+            first, last = np.searchsorted(seeds, hashes), np.searchsorted(seeds, hashes, "right")
+            for j in np.flatnonzero(last > first).tolist():
+                p = int(whole[j])
+                for k, q in zip(item[first[j] : last[j]].tolist(), place[first[j] : last[j]].tolist(), strict=True):
+                    found[k].append((p, q))
+        return [hit for k in sorted(found) if (hit := self.judge(words, k, found[k]))]
+
+    def judge(self, words: list[str], k: int, seeds: list[tuple[int, int]]) -> dict | None:
+        i, item = self.items[k]
+        tiles = tile(words, item, seeds, self.seed_words[k])
+        covered = sum(n for _, _, n in tiles)
+        if covered < self.min_coverage * len(item):
+            return None
+        return {"item_id": i, "n_item_words": len(item), "n_covered": covered, "n_tiles": len(tiles), "tiles": [{"doc_word": p, "item_word": q, "n_words": n} for p, q, n in tiles]}
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The distinct test items, in blocks whose texts have about block_bytes at most; an item that is longer is one alone."""
+    items = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("size", F.octet_length("text") + F.lit(16))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    n = max(1, -(-2 * total // block_bytes))
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        sizes = items.groupBy(block.alias("block")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        if all(r["size"] <= block_bytes or r["n"] == 1 for r in sizes):
+            return [items.where(block == r["block"]).select("item_id", "text") for r in sizes]
+        n *= 2
+
+
+def _with_hits(docs: DataFrame, text_col: str, block: DataFrame, min_match: int, min_coverage: float, name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] is None, r)))
     state: dict = {}
 
     @F.pandas_udf(HITS)
@@ -141,75 +152,43 @@ def _with_hits(docs: DataFrame, text_col: str, rows: list[tuple[int, str]], min_
             state["items"] = Items(shared.value, min_match, min_coverage)
         return pd.Series([state["items"].hits(t) for t in texts], dtype=object)
 
-    return docs.withColumn("__hits", hits(F.col(f"`{text_col}`")))
-
-
-def _joined_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, min_match: int, min_coverage: float) -> DataFrame:
-    """The same hits for any number of test items: seeds meet in a join, and only pairs that share one are tiled."""
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = np.unique(rolling(np.array([xxh64_intdigest(w) for w in words_of(t)], np.uint64), min_match)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([h] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["id", "text_hash", "seed"])
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, item_id, text, item_text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                hit = next(iter(Items([(item_id, item_text)], min_match, min_coverage).hits(text)), None)
-                if hit:
-                    out.append(hit | {"id": i})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    arrow = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("n_item_words", pa.int32()), ("n_covered", pa.int32()), ("n_tiles", pa.int32()), ("tiles", pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())])))])
-    kind = "id long, text_hash long, seed long"
-    left = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    right = benchmark.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text").where("id is not null and text is not null")
-    pairs = (
-        left.mapInArrow(seeds, kind)
-        .join(right.mapInArrow(seeds, kind).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "seed"), "seed")
-        .select("id", "text_hash", "item_id", "item_hash")
-        .distinct()
-    )
-    items = right.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("text").alias("item_text")).distinct()
-    whole = left.toDF("__id", "__hash", "__text")
-    texts = pairs.join(items, ["item_id", "item_hash"]).join(whole, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    return texts.select("id", "item_id", "__text", "item_text").mapInArrow(tiles, T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(HITS).elementType.fields]))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return docs.withColumn(name, hits(F.col(f"`{text_col}`")))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and test item of which tiles cover at least min_coverage: id_col, item_id, n_item_words, n_covered, n_tiles, tiles, coverage.
 
-    Words are runs of \\w, in lower case; tiles have min_match words at least. benchmark has item_id and text. Up to
-    broadcast_bytes of test texts every task holds them all; beyond, a join of seeds finds the pairs, with equal results.
+    Words are runs of \\w, in lower case; tiles have min_match words at least, or are a shorter item as a whole.
+    benchmark has item_id and text; beyond block_bytes of text it is taken in several blocks, each in a pass of its own
+    over docs, with equal results.
 
-    Defined cases: null and empty texts, and items of fewer than min_match words, match nothing; a null id is returned
-    as it is; rows that repeat are judged one by one; items with equal texts each give a row; items with a null
-    item_id are left out; empty tables give an empty table; other columns are not returned, whatever their names.
+    Defined cases: null and empty texts, and items of fewer than min_match words and MIN_CHARS characters, match
+    nothing; a text of any length is read whole; a null id is returned as it is; rows of docs that repeat are judged one
+    by one; an item is a pair of item_id and text: rows of benchmark that repeat one count once, other texts under the
+    same item_id are items of their own, and a null item_id is returned as it is; of tiles of one length the first in
+    the document is marked first; empty tables give an empty table; other columns are not returned, whatever their names.
     """
-    items = benchmark.where("item_id is not null and text is not null")
-    rows = _few(items, broadcast_bytes)
-    if rows is None:
-        found = _joined_hits(docs, items, id_col, text_col, min_match, min_coverage).withColumnRenamed("id", id_col)
-    else:
-        own = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
-        found = _with_hits(own, "__text", rows, min_match, min_coverage).select(id_col, F.inline("__hits"))
-    return found.withColumn("coverage", F.col("n_covered") / F.col("n_item_words"))
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the documents that find_leaks() reports; the same columns, and the same defined cases."""
-    items = benchmark.where("item_id is not null and text is not null")
-    rows = _few(items, broadcast_bytes)
-    if rows is None:
-        found = _joined_hits(docs, items, id_col, text_col, min_match, min_coverage).select(F.col("id").alias("__leak")).distinct()
-        return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__leak")), "left_anti")
-    return _with_hits(docs, text_col, rows, min_match, min_coverage).where(F.size("__hits") == 0).drop("__hits")
+    own = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
+    blocks = _blocks(benchmark, block_bytes)
+    parts = [_with_hits(own, "__text", b, min_match, min_coverage, "__hits").select(id_col, F.inline("__hits")) for b in blocks[:1] or [benchmark.select("item_id", "text").limit(0)]]
+    for b in blocks[1:]:  # one block at a time, so that the driver and the tasks never hold two
+        parts[-1] = settle(parts[-1])
+        parts.append(_with_hits(own, "__text", b, min_match, min_coverage, "__hits").select(id_col, F.inline("__hits")))
+    return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("n_covered") / F.col("n_item_words"))
 
 
-def op10_benchmark_decontamination(spark, sf_dir):
-    from linkloom.llm.tables import table
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that find_leaks() reports, each judged by its own text; the same columns, and the same defined cases.
 
+    Clean rows stay whatever their id, null or repeated ones too. id_col is not read: it is there for the same call.
+    """
+    name = unused("hits", docs)
+    for k, b in enumerate(_blocks(benchmark, block_bytes)):
+        left = settle(docs) if k else docs
+        docs = _with_hits(left, text_col, b, min_match, min_coverage, name).where(F.size(name) == 0).drop(name)
+    return docs
+
+
+def op10_benchmark_decontamination(spark, sf_dir):
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item_words", "n_covered", "n_tiles", "coverage", F.lit(True).alias("contaminated"))

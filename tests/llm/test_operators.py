@@ -131,15 +131,53 @@ def test_vectors(spark):
     assert got == {k: (len(links.get(k, [])), low[k]) for k, *_ in rows}
 
 
+def brute_tiles(doc, item, n):
+    """Greedy string tiling as it is defined: mark the longest unmarked match, the first in the document, until none is left."""
+    in_doc, in_item, covered = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best = (n - 1, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                k = 0
+                while p + k < len(doc) and q + k < len(item) and doc[p + k] == item[q + k] and not in_doc[p + k] and not in_item[q + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, p, q)
+        k, p, q = best
+        if k < n:
+            return covered
+        in_doc[p : p + k], in_item[q : q + k] = [True] * k, [True] * k
+        covered += k
+
+
+def test_tiles_are_those_of_the_definition():
+    r = random.Random(8)
+    for _ in range(60):
+        item = [r.choice("abcdefgh") for _ in range(r.randint(8, 24))]
+        doc = [r.choice("abcdefgh") for _ in range(10)]
+        for _ in range(4):
+            a = r.randrange(len(item))
+            doc += item[a : a + r.randint(3, 12)] + [r.choice("xyz")]
+        hit = decontam.Items([(7, " ".join(item))], 3, 0.0).hits(" ".join(doc))
+        assert (hit[0]["n_covered"] if hit else 0) == brute_tiles(doc, item, 3)
+
+
 def test_tiles_catch_reordered_passages(spark):
-    item = [f"w{k}" for k in range(24)]
-    rows = [(1, " ".join(["x"] * 9 + item[12:] + ["y"] * 9 + item[:12])), (2, " ".join(item[:10])), (3, None), (4, ""), (5, "x " * 50), (None, " ".join(item))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    test = spark.createDataFrame([(0, " ".join(item)), (1, "too few words"), (2, None), (None, " ".join(item))], "item_id long, text string")
-    shape = lambda df: sorted((r.doc_id or -1, r.item_id, r.n_covered, r.n_tiles) for r in df.collect())
-    assert shape(decontam.find_leaks(docs, test)) == [(-1, 0, 24, 1), (1, 0, 24, 2)]
-    assert shape(decontam.find_leaks(docs, test, broadcast_bytes=0)) == shape(decontam.find_leaks(docs, test))
-    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, test).collect()) == [2, 3, 4, 5]
+    item, other = [f"w{k}" for k in range(24)], [f"v{k}" for k in range(12)]
+    long = " ".join(["z"] * 200_000 + item)
+    rows = [(1, " ".join(["x"] * 9 + item[12:] + ["y"] * 9 + item[:12])), (2, " ".join(item[:10])), (3, None), (4, ""), (5, "x " * 50), (None, " ".join(item)), (None, "clean"), (1, "clean too"), (6, long), (7, " ".join(other)), (7, " ".join(other))]
+    rows += [(8, "they say that counterrevolutionaries misunderstand everything here"), (9, "too few words")]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, hits string")
+    test = [(0, " ".join(item)), (0, " ".join(other)), (0, " ".join(other)), (1, "too few words"), (2, None), (None, " ".join(item)), (3, "Counterrevolutionaries misunderstand everything")]
+    test = spark.createDataFrame(test, "item_id long, text string")
+    shape = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.item_id is None else r.item_id, r.n_covered, r.n_tiles) for r in df.collect())
+    want = sorted([(d, i, 24, 2 if d == 1 else 1) for d in (-1, 1, 6) for i in (0, -1)] + [(7, 0, 12, 1)] * 2 + [(8, 3, 3, 1)])
+    kept = [(i, t) for i, t in rows if t in (None, "", "clean", "clean too", "too few words") or i in (2, 5)]
+    for size in (decontam.BLOCK_BYTES, 200):
+        assert shape(decontam.find_leaks(docs, test, block_bytes=size)) == want
+        left = decontam.drop_leaks(docs, test, block_bytes=size)
+        assert left.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(kept, key=str)
 
 
 def test_packing_round_trip(spark, docs, texts):
