@@ -4,7 +4,8 @@ Every document is tokenised inside the scan; only (id, piece, start, length, che
 dealt into groups of a fixed mean size by a hash of their row number, so no group grows with the input, and each group
 is packed on its own by large-item matching: pieces above a third of the capacity are matched in pairs, two to a
 sequence at most, the largest first, each with the largest partner that fits; smaller pieces then go, largest first,
-into the tightest gap that holds them.
+into the tightest gap that holds them. Sequences that a group leaves with a gap are taken apart and their pieces packed
+again with those of other groups, in rounds, until they are one group or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from linkloom.llm.tables import settle, table
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2000
+#: Sequences with a larger gap than this share of the capacity are packed again, in so many rounds at most.
+GAP, ROUNDS = 0.002, 8
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words that a worker remembers before it starts again.
 MEMORY_CHUNKS, MEMORY_WORDS = 450_000, 450_000
@@ -203,19 +207,38 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own; equal lengths are packed in the order of id and piece; an empty table gives an empty table; other columns are
     not returned, whatever their names.
     """
-    pieces = settle(tokenise(docs, id_col, text_col, tokenizer, capacity, end_id)).withColumn("row", F.monotonically_increasing_id())
-    groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group_pieces))
-    schema = T.StructType([*pieces.drop("row").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "piece", "row"], kind="stable", ignore_index=True)
-        bins, offsets, _ = match_and_fit(rows["length"].to_numpy(), capacity)
-        # group g owns the numbers g, g + groups, g + 2 * groups, ...
-        return rows.assign(sequence_id=bins * groups + key[0], offset=offsets)[schema.fieldNames()]
-
-    full = pieces.where(F.col("length") == capacity).select(*schema.fieldNames()[:-2], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return full.unionByName(rest.groupBy("group").applyInPandas(pack, schema)).withColumnRenamed("id", id_col)
+    pieces = settle(tokenise(docs, id_col, text_col, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "used"))])
+
+    def packer(round_: int, groups: int):
+        def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["id", "piece", "row"], kind="stable", ignore_index=True)
+            bins, offsets, n = match_and_fit(rows["length"].to_numpy(), capacity)
+            used = np.bincount(bins, rows["length"].to_numpy(), n).astype(np.int64)
+            # group g owns the numbers g, g + groups, g + 2 * groups, ..., and each round those of its remainder
+            return rows.assign(sequence_id=(bins * groups + key[0]) * ROUNDS + round_, offset=offsets, used=used[bins])[schema.fieldNames()]
+
+        return pack
+
+    whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("used"))
+    done, rest, before = [whole], pieces.where(F.col("length") < capacity), None
+    for round_ in range(ROUNDS):
+        n, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, -(-n // group_pieces))
+        if before is not None and before <= -(-tokens // capacity):  # as few as can be
+            break
+        packed = settle(rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(groups))).groupBy("group").applyInPandas(packer(round_, groups), schema))
+        full = F.col("used") > capacity * (1 - GAP)
+        gaps, after = packed.where(~full & (F.col("offset") == 0)).count(), packed.where("offset = 0").count()
+        if before is not None and after >= before:  # the round before did as well
+            break
+        if done[1:]:
+            done[-1] = done[-1].where(F.col("used") > capacity * (1 - GAP))
+        done.append(packed)
+        if groups == 1:
+            break
+        rest, before = packed.where(~full).select(*pieces.columns), gaps
+    return reduce(DataFrame.unionByName, done).select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_best_fit_packing(spark, sf_dir):
