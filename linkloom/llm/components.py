@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import settle
+from linkloom.llm.tables import forget, settle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +58,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("at"), F.col("component").alias("above"))
         new = settle(new.join(up, F.col("component") == F.col("at"), "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
         changed = new.where("was <> component").limit(1).count()
+        forget(labels)
         labels = new.drop("was")
+        labels.settled_at = new.settled_at
         if not changed:
+            forget(links)
             return labels

@@ -2,17 +2,17 @@
 
 Equal shingle sets are one class from the start. A class's shingles are hashed into the parts of a sketch, and each
 part holds the XOR of its shingles' hashes, so the number of parts in which two sketches differ is at most the size
-of the symmetric difference. Within a band of sizes, a pair at the threshold must agree in a part that isn't empty;
-parts that agree bring pairs together, and shingles of the texts themselves decide.
+of the symmetric difference. Within a band of sizes a pair at the threshold differs in d parts at most, so of any d + 1
+parts, taken in one order that holds for all sets, one must agree in both (pigeonhole). Parts that agree bring pairs
+together, and shingles of the texts themselves decide; no link is missed, whatever the sizes.
 
-Sets of up to a few hundred shingles send d + 1 parts, d being the most that can differ, those with most shingles
-first; one of them must agree (pigeonhole). Larger sets have a third as many parts as shingles and send the first 64.
-A pair at the threshold agrees in each with a chance of 0.37 or more, so it agrees in 4 of them but for a chance of
-1e-9, about that of an accident among hashes; a pair above the threshold agrees in more.
+The order puts rare parts first, so a passage that many documents share is sent only by those that hold little else:
+the first pass over the texts counts the shingles that a task meets often, and a table of fixed size tells how common
+a shingle about is.
 
 In a run of classes with an equal part, each is compared with the first only. Runs that then still hold several
-components have the other pairs across components compared too, by bit sketches before texts; so no link is missed,
-and a large group of near copies takes one comparison for each member, not for each pair.
+components have the other pairs across components compared too, by bit sketches before texts, block against block; so
+a large group of near copies takes one comparison for each member, not for each pair.
 """
 
 from __future__ import annotations
@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from linkloom.llm.components import connected_components
-from linkloom.llm.tables import settle, table
+from linkloom.llm.tables import LAST_ID, forget, settle, table, unused
 
 SHINGLE, PERCENT = 5, 75
-TOKEN_GROUP, WHOLE_GROUP, PARTS = 16, 256, 64
-#: Parts that a pair of large sets must share.
-LEAST = 4
+#: Sets of groups up to this size are their own parts.
+TOKEN_GROUP = 16
 ENTRIES_PER_BUCKET = 1_000_000
-MEMORY_WORDS = 300_000
-LAST_ID = 2**63 - 1
+#: Shingles that a task meets in so many texts are counted; how common a shingle is, is told by so many cells.
+OFTEN, CELL_BITS = 32, 20
+#: Members of a run are compared in blocks of about this size.
+RUN_BLOCK = 1500
+MEMORY_WORDS, MEMORY_KEYS, MEMORY_SHINGLES = 300_000, 500_000, 2_000_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _words: dict[bytes, int] = {}
 
@@ -91,30 +93,20 @@ def groups_of(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def need(group: int) -> int:
-    return LEAST if largest(group) > WHOLE_GROUP else 1
-
-
-def parts_of(tokens: np.ndarray, group: int, differ: int) -> np.ndarray:
-    """What a sorted set sends to a group: one hash for each part that takes part, the group in the last 6 bits."""
-    top = largest(group)
+def parts_of(tokens: np.ndarray, group: int, differ: int, levels: np.ndarray) -> np.ndarray:
+    """What a sorted set sends to a group: the first differ + 1 parts in the order that all sets share, the group in the last 6 bits of each."""
+    top, level = largest(group), levels[tokens >> np.uint64(64 - CELL_BITS)]
     if top <= TOKEN_GROUP:
-        sent = tokens[: differ + 1]
+        sent = tokens[np.lexsort((tokens, level))[: differ + 1]]
     else:
-        high = tokens >> np.uint64(32)
-        m = 2 * top if top <= WHOLE_GROUP else -(-top // 3)
-        part = (high * np.uint64(m)) >> np.uint64(32)
-        if top > WHOLE_GROUP:
-            part = part[: np.searchsorted(part, PARTS)]
-        if not len(part):
-            return part
+        part = ((tokens >> np.uint64(32)) * np.array([2 * top], np.uint64)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sent = mix(np.bitwise_xor.reduceat(tokens[: len(part)], starts) + part[starts] * BASE)
-        if top <= WHOLE_GROUP:
-            count = np.diff(np.r_[starts, len(part)])
-            sent = sent[np.lexsort((sent, -count))[: differ + 1]]
-    sent = mix(sent + np.uint64(group) * BASE)
-    return (sent & ~np.uint64(63)) | np.uint64(group)
+        sent = mix(np.bitwise_xor.reduceat(tokens, starts) + part[starts] * BASE)
+        # rare ones first, then those with most shingles
+        rank = np.minimum.reduceat(level, starts).astype(np.int64) * 4 - np.minimum(np.diff(np.r_[starts, len(part)]), 4)
+        sent = sent[np.lexsort((sent, rank))[: differ + 1]]
+    sent = mix(sent + np.array([group], np.uint64) * BASE)
+    return (sent & ~np.uint64(63)) | np.array([group], np.uint64)
 
 
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -138,16 +130,41 @@ def bits_of(tokens: np.ndarray, group: int) -> np.ndarray:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and key of each text's set; and, as rows with a negative n_shingles, the shingles (k1) that the task meets often."""
+    names = ["id", "text_hash", "n_shingles", "k1", "k2"]
+    held, size = [], 0
+
+    def often() -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+        token, n = token[n >= OFTEN], n[n >= OFTEN]
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(-n), pa.array(token.view(np.int64)), none], names=names)
+
     for batch in batches:
         rows = []
         for text in batch.column(2).to_pylist():
             tokens = shingles(text)
             rows.append((len(tokens), *set_key(tokens)))
+            held.append(tokens)
+            size += len(tokens)
+            if size > MEMORY_SHINGLES:
+                yield often()
+                held, size = [], 0
         n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["id", "text_hash", "n_shingles", "k1", "k2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=names)
+    yield often()
+
 
+def _levels(often: DataFrame) -> np.ndarray:
+    """How common the shingles of each cell are at most, as a power of two; 2**CELL_BITS bytes, however many shingles there are."""
+    cell = F.shiftrightunsigned("k1", 64 - CELL_BITS)
+    total = often.groupBy("k1").agg(F.sum(-F.col("n_shingles")).alias("n")).groupBy(cell.alias("cell")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")).toArrow()
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[total.column("cell").to_numpy()] = np.minimum(total.column("level").to_numpy(), 60)
+    return levels
 
-def _sender(buckets: int):
+
+def _sender(buckets: int, levels):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts and their classes, packed by bucket."""
 
@@ -161,14 +178,18 @@ def _sender(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([s[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["bucket", "parts", "classes"])
 
         sent, keys, counts, held = [], [], [], 0
+        seen: set[tuple[int, int]] = set()  # copies that a task meets send once
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text)
-                if not len(tokens):
+                key, other = set_key(tokens)
+                if not len(tokens) or (key, other) in seen:
                     continue
-                key = set_key(tokens)[0]
+                if len(seen) > MEMORY_KEYS:
+                    seen.clear()
+                seen.add((key, other))
                 for group, differ in groups_of(len(tokens)):
-                    p = parts_of(tokens, group, differ)
+                    p = parts_of(tokens, group, differ, levels.value)
                     sent.append(p)
                     keys.append(key)
                     counts.append(len(p))
@@ -183,12 +204,9 @@ def _sender(buckets: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets, the parts that two classes or more hold."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, p, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            held.setdefault(bucket, []).append((p, c))
-    for pieces in held.values():
+    """Of each bucket, the parts that two classes or more hold. Rows come sorted by bucket."""
+
+    def shared(pieces: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = np.concatenate([np.frombuffer(p, np.uint64) for p, _ in pieces])
         classes = np.concatenate([np.frombuffer(c, np.int64) for _, c in pieces])
         order = np.lexsort((classes, parts))
@@ -196,12 +214,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.r_[True, (parts[1:] != parts[:-1]) | (classes[1:] != classes[:-1])]  # copies send the same
         parts, classes = parts[first], classes[first]
         starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
-        shared = np.repeat(np.diff(np.r_[starts, len(parts)]) > 1, np.diff(np.r_[starts, len(parts)]))
-        parts, classes = parts[shared], classes[shared]
+        size = np.diff(np.r_[starts, len(parts)])
+        several = np.repeat(size > 1, size)
+        parts, classes = parts[several], classes[several]
         for at in range(0, len(parts), 100_000):
             p = parts[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(classes[at : at + 100_000]), pa.array((p & np.uint64(63)).astype(np.int32))], names=["part", "class", "grp"])
 
+    held, last = [], None
+    for batch in batches:
+        for bucket, p, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if held and bucket != last:
+                yield from shared(held)
+                held = []
+            held.append((p, c))
+            last = bucket
+    if held:
+        yield from shared(held)
+
 
 def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,47 +255,51 @@ def _verifier(percent: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives that are linked."""
-    of = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit sketches of the members of open runs. Rows come sorted by rep, so each text is read once for all of its runs."""
-    last, tokens, bits = None, None, {}
+    """Bit sketches of the members of open runs: a row for each run of a node, whose text is read once."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        rows = []
-        for part, rep, component, group, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if rep != last:
-                last, tokens, bits = rep, shingles(text), {}
-            if group not in bits:
-                bits[group] = bits_of(tokens, group).tobytes()
-            rows.append((part, rep, component, len(tokens), bits[group]))
-        for k in range(0, len(rows), 1000):
-            columns = zip(*rows[k : k + 1000], strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "rep", "component", "n", "bits"])
+        for node, component, runs, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            tokens, bits = shingles(text), {}
+            rows = []
+            for run in runs:
+                if run["grp"] not in bits:
+                    bits[run["grp"]] = bits_of(tokens, run["grp"]).tobytes()
+                rows.append((run["part"], node, component, len(tokens), bits[run["grp"]]))
+            for k in range(0, len(rows), 1000):
+                columns = zip(*rows[k : k + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "node", "component", "n", "bits"])
 
 
 def _across(percent: int):
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a run, across components, whose bit sketches are near enough; rows come sorted by run."""
+        """Pairs of two blocks of a run, across components, whose bit sketches are near enough; rows come sorted by run and blocks."""
 
         def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            rep, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-            bits = np.stack([np.frombuffer(r[4], np.uint64) for r in rows])
+            node, comp, n, block = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 7))
+            bits = np.stack([np.frombuffer(r[6], np.uint64) for r in rows])
+            within = rows[0][1] == rows[0][2]
             a, b = [], []
             for k in range(len(rows) - 1):
-                differ = np.bitwise_count(bits[k] ^ bits[k + 1 :]).sum(axis=1)
-                m, o = n[k + 1 :], comp[k + 1 :] != comp[k]
-                near = np.flatnonzero(o & (np.minimum(m, n[k]) * 100 >= percent * np.maximum(m, n[k])) & (differ * (100 + percent) <= (m + n[k]) * (100 - percent))) + k + 1
-                a += [rep[k]] * len(near)
-                b += rep[near].tolist()
+                m, other = n[k + 1 :], comp[k + 1 :] != comp[k]
+                if not within:
+                    other &= block[k + 1 :] != block[k]
+                other &= np.minimum(m, n[k]) * 100 >= percent * np.maximum(m, n[k])
+                near = np.flatnonzero(other) + k + 1
+                differ = np.bitwise_count(bits[k] ^ bits[near]).sum(axis=1)
+                near = near[differ * (100 + percent) <= (n[near] + n[k]) * (100 - percent)]
+                a += [min(node[k], x) for x in node[near].tolist()]
+                b += [max(node[k], x) for x in node[near].tolist()]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if rows and rows[0][0] != row[0]:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if rows and rows[0][:3] != row[:3]:
                     yield pairs(rows)
                     rows = []
                 rows.append(row)
@@ -275,62 +309,92 @@ def _across(percent: int):
     return across
 
 
-def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id, and class_id, the smallest id with the same shingles.
+def _block_pairs(members: DataFrame, size: int) -> DataFrame:
+    """Members of runs, dealt into blocks of about size; each row once for each pair of blocks (i, j) that its own is in."""
+    sizes = members.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    own = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
-    A-Z are lower-cased; words are runs of anything but [\\x20\\x09-\\x0D]. A text's set holds its distinct runs of 5
-    words; with fewer words, the whole sequence. Two rows are linked when 100 * intersection >= percent * union of
-    their sets (percent is 75 or more); component_id is the smallest id that links reach. id_col is an integer column.
 
-    Defined cases: a null text, or one without words, has an empty set and is linked with nothing, its component_id
-    being its own id; a row with a null id takes part, but its id is never the smallest (if there is no other, class
-    and component are null); rows that repeat are linked copies; an empty table gives an empty table; other columns
-    are not returned, whatever their names.
-    """
+def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """id (LAST_ID for null), text_hash, n_shingles, class_id, component_id and first (the component's smallest (id, text_hash)) of each row."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
-    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = settle(own.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_classes, "id long, text_hash long, n_shingles long, k1 long, k2 long"))
-    real = rows.where("n_shingles > 0")
-    classes = settle(real.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n_shingles").alias("n")).select("k1", "k2", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "n"))
-
-    total = classes.agg(F.sum(F.least(F.col("n") / 2 + 2, F.lit(2.0 * PARTS)))).first()[0] or 1
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    every = settle(own.mapInArrow(_classes, "id long, text_hash long, n_shingles long, k1 long, k2 long"))
+    rows, real = every.where("n_shingles >= 0"), every.where("n_shingles > 0")
+    # a class is a node of its own, whatever the ids of its rows
+    classes = real.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    total = classes.agg(F.sum(F.col("n") * 0.6 + 2)).first()[0] or 1
     buckets = max(8, math.ceil(total / ENTRIES_PER_BUCKET))
-    sent = own.select("text").where("text is not null").mapInArrow(_sender(buckets), "bucket long, parts binary, classes binary")
-    shared = settle(sent.repartition(buckets, "bucket").mapInArrow(_runs, "part long, class long, grp int"))
-    # a class must share as many parts as a pair does
-    least = F.when(F.col("grp") >= next(g for g in range(60) if need(g) > 1), LEAST).otherwise(1)
-    alive = shared.groupBy("class", "grp").count().where(F.col("count") >= least).drop("count")
-    reps = classes.select(F.col("k1").alias("class"), "rep", "rep_hash")
-    alive = alive.join(reps, "class")
-    texts = settle(alive.select("rep", "rep_hash").distinct().join(own.select("id", F.xxhash64("text").alias("text_hash"), "text"), (F.col("rep") == F.col("id")) & (F.col("rep_hash") == F.col("text_hash"))).select("rep", "text").dropDuplicates(["rep"]))
-    members = settle(shared.join(alive.select("class", "grp", "rep"), ["class", "grp"]).select("part", "grp", "rep"))
-
-    leaders = members.groupBy("part").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
-    tried = settle(members.join(leaders, "part").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(every.where("n_shingles < 0")))
+    sent = own.select("text").where("text is not null").mapInArrow(_sender(buckets, levels), "bucket long, parts binary, classes binary")
+    shared = settle(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int"))
+    members = settle(shared.join(classes.select(F.col("k1").alias("class"), "node"), "class").select("part", "grp", "node"))
+    forget(shared)
+    alive = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash")
+    texts = settle(alive.join(own, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+
+    leaders = members.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    tried = settle(members.join(leaders, "part").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = settle(_verified(tried, texts, percent))
     found = connected_components(links)
 
     # runs that still hold several components
-    placed = members.join(found, members.rep == found.node, "left").select("part", "grp", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(found, "node", "left").select("part", "grp", "node", F.coalesce("component", "node").alias("component"))
     open_runs = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part")
-    rest = settle(placed.join(open_runs, "part").join(texts, "rep").select("part", "rep", "component", "grp", "text").sortWithinPartitions("rep").mapInArrow(_sketches, "part long, rep long, component long, n long, bits binary"))
-    more = rest.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    open_members = placed.join(open_runs, "part").groupBy("node").agg(F.first("component").alias("component"), F.collect_list(F.struct("part", "grp")).alias("runs"))
+    rest = settle(open_members.join(texts, "node").select("node", "component", "runs", "text").mapInArrow(_sketches, "part long, node long, component long, n long, bits binary"))
+    units = _block_pairs(rest, RUN_BLOCK).select("part", "i", "j", "node", "component", "n", "bits", "block")
+    units = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
+    more = units.mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = settle(_verified(settle(more), texts, percent))
+    forget(rest)
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
 
-    named = classes.join(found, classes.rep == found.node, "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["k1", "k2"], "left").select("id", "text_hash", "n_shingles", F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    # an id is looked up at the end only: the smallest of each class, and of each component
+    named = classes.join(found, "node", "left").select("k1", "k2", "first", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("low"))
+    named = named.join(lowest, "component").select("k1", "k2", F.col("first.id").alias("class_id"), F.col("low.id").alias("component_id"), F.col("low").alias("lowest"))
+    out = rows.join(named, ["k1", "k2"], "left")
+    return out.select("id", "text_hash", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("lowest", F.struct("id", "text_hash")).alias("first"))
+
+
+def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id, and class_id, the smallest id with the same shingles.
+
+    A-Z are lower-cased; words are runs of anything but [\\x20\\x09-\\x0D]. A text's set holds its distinct runs of 5
+    words; with fewer words, the whole sequence. Two rows are linked when 100 * intersection >= percent * union of
+    their sets (percent is 75 or more); component_id is the smallest id that links reach. id_col is an integer column.
+
+    Defined cases: a null text, or one without words, has an empty set and is linked with nothing, its component_id
+    being its own id; a text of any length is read whole; rows are linked by their texts alone, so rows whose ids are
+    null or repeat are linked only as their own texts are; a null id is never the smallest (if there is no other, class
+    and component are null); rows that repeat are linked copies; an empty table gives an empty table; other columns
+    are not returned, whatever their names.
+    """
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(known("id").alias(id_col), "n_shingles", known("component_id").alias("component_id"), known("class_id").alias("class_id"))
+    return _joined(docs, id_col, text_col, percent).select(known("id").alias(id_col), "n_shingles", known("component_id").alias("component_id"), known("class_id").alias("class_id"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; rows without an id stay if nothing is linked to them."""
-    found = join_near_duplicates(docs, id_col, text_col, percent)
-    gone = found.where(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """docs with one row of each component: that with the smallest id (of null or equal ids, with the smallest hash of its text).
+
+    Rows without words are linked with nothing, so they all stay; of rows that repeat one stays. The same columns, and
+    the same defined cases, as in join_near_duplicates().
+    """
+    i, h, n = (unused(c, docs) for c in ("row_id", "row_hash", "row_times"))
+    found = settle(_joined(docs, id_col, text_col, percent).where("n_shingles > 0").groupBy("id", "text_hash").agg(F.count("*").alias("times"), F.first("first").alias("first")))
+    goes = (F.col("first.id") != F.col("id")) | (F.col("first.text_hash") != F.col("text_hash"))
+    # few rows go or repeat beside those that stay, so only their keys are joined
+    marked = found.where(goes | (F.col("times") > 1)).select(F.col("id").alias(i), F.col("text_hash").alias(h), F.when(goes, 0).otherwise(F.col("times")).alias(n))
+    keyed = docs.withColumns({i: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)), h: F.xxhash64(f"`{text_col}`")}).join(marked, [i, h], "left")
+    once = keyed.where(F.col(n) > 1).dropDuplicates([i, h])
+    return keyed.where(F.col(n).isNull()).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):

@@ -87,6 +87,32 @@ def test_jaccard_join(docs, texts):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(texts)
 
 
+def test_jaccard_join_tells_rows_apart(spark, monkeypatch):
+    """Null and repeated ids, large sets near the threshold, a passage that most texts share; small blocks of runs."""
+    r = random.Random(12)
+    a, b, c, passage = sentence(r, 60), sentence(r, 60), sentence(r, 40), sentence(r, 50)
+    rows = [(1, a), (2, b), (None, a), (None, b), (5, b), (5, c), (7, c), (None, sentence(r, 30)), (None, "")]
+    base = [r.choice(WORDS) + str(k) for k in range(900)]
+    for k, n in enumerate((0, 40, 120, 126, 127, 128, 129, 130, 132, 140)):  # n words changed at the end
+        rows.append((20 + k, " ".join(base[: 900 - n] + [f"{w}_{k}" for w in base[900 - n :]])))
+    rows += [(100 + k, passage + " " + sentence(r, r.randint(12, 30))) for k in range(60)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row_id int")
+    # brute force by rows: numbers in the place of ids
+    by_row = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    low = {c: min((rows[k][0] for k, _, d in by_row if d == c and rows[k][0] is not None), default=None) for _, _, c in by_row}
+    want = sorted(((rows[k][0], n, low[c]) for k, n, c in by_row), key=str)
+    for block in (ngram_join.RUN_BLOCK, 4):
+        monkeypatch.setattr(ngram_join, "RUN_BLOCK", block)
+        got = ngram_join.join_near_duplicates(docs).collect()
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == want
+    kept = ngram_join.keep_one_each(docs.unionByName(docs.where("doc_id = 7")))
+    assert kept.columns == docs.columns
+    n_components = len({c for _, _, c in by_row})
+    assert kept.count() == n_components
+    assert {x.text for x in kept.where("doc_id is null").collect()} == {t for i, t in rows[7:9]}
+    assert {(x.doc_id, x.text) for x in kept.where("doc_id <= 7").collect()} == {(1, a), (2, b), (5, c)}
+
+
 def test_one_of_each_group_stays(docs, texts):
     kept = ngram_join.keep_one_each(docs)
     assert kept.columns == docs.columns
