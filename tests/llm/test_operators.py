@@ -142,19 +142,48 @@ def test_equals_sql(spark, sf_dir, name):
     assert got.sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
 
 
-def test_vectors(spark):
+def brute_links(rows):
+    """Links and components by row: (id, vector, label)."""
+    sound = {k: (np.array(v, float), y) for k, (_, v, y) in enumerate(rows) if v and y is not None and np.isfinite(v).all() and any(v)}
+    norm = {k: v / np.linalg.norm(v) for k, (v, _) in sound.items()}
+    links = {a: [b for b in sound if b != a and sound[a][1] == sound[b][1] and len(norm[a]) == len(norm[b]) and norm[a] @ norm[b] >= 0.98] for a in sound}
+    comp = list(range(len(rows)))
+    for _ in range(20):
+        for a in links:
+            comp[a] = min([comp[a], *(comp[b] for b in links[a])])
+    low = {c: min((rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None), default=None) for c in set(comp)}
+    return sorted(((i, len(links.get(k, [])), low[comp[k]], i == low[comp[k]]) for k, (i, _, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 16])
+def test_vectors(spark, block):
     r = np.random.default_rng(1)
     base = r.normal(size=(30, 16))
-    every = [base[k % 30] + 0.1 * r.normal(size=16) * (k >= 30) for k in range(120)]
-    rows = [(k, [float(x) for x in v], k % 2, "s") for k, v in enumerate(every)]
-    rows += [(200, None, 0, "s"), (201, [0.0] * 16, 0, "s"), (202, [float("nan")] * 16, 0, "s"), (203, rows[0][1], None, "s"), (204, rows[0][1], 0, "s"), (205, [], 0, "s")]
-    got = {x.vec_id: (x.n_links, x.component_id) for x in neardup.find_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string"), block=16).collect()}
-    sound = {k: (np.array(v), y) for k, v, y, _ in rows if v and y is not None and np.isfinite(v).all() and any(v)}
-    links = {a: [b for b in sound if b != a and sound[a][1] == sound[b][1] and sound[a][0] @ sound[b][0] / np.linalg.norm(sound[a][0]) / np.linalg.norm(sound[b][0]) >= 0.98] for a in sound}
-    low = {k: k for k, *_ in rows}
-    for _ in range(20):
-        low |= {a: min([low[a], *(low[b] for b in links[a])]) for a in links}
-    assert got == {k: (len(links.get(k, [])), low[k]) for k, *_ in rows}
+    rows = [(k, [float(x) for x in base[k % 30] + 0.1 * r.normal(size=16) * (k >= 30)], k % 2) for k in range(120)]
+    dense = r.normal(size=16)  # one crowd of near copies
+    rows += [(1000 + k, [float(x) for x in dense + 0.05 * r.normal(size=16)], 1) for k in range(90)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, rows[0][1], None), (204, rows[0][1], 0), (205, [], 0), (206, [1.0, 2.0], 0), (207, [2.0, 4.0], 0)]
+    # ids that are null or repeat, over unrelated vectors
+    rows += [(None, rows[0][1], 0), (None, rows[1][1], 1), (5, rows[40][1], 1), (5, [float(x) for x in r.normal(size=16)], 0)]
+    df = spark.createDataFrame([(*x, "s") for x in rows], "vec_id long, embedding array<double>, label int, kept string")
+    got = neardup.find_near_duplicates(df, block=block).collect()
+    assert sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in got), key=str) == brute_links(rows)
+
+
+def test_calibration_holds():
+    """Pairs at the threshold collide often enough, by the chance that is promised."""
+    cells, tables = neardup.calibrated(100_000, missed=0.05)
+    r = np.random.default_rng(4)
+    a = r.normal(size=(4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    d = np.sqrt(0.04)
+    places, label = neardup.Places(32, cells, tables, neardup.CELL * d), np.zeros(len(a), np.int64)
+    (ka, pa_), (kb, pb) = places(a, label), places(b, label)
+    count = ((ka == kb) & (np.abs(pa_ - pb) <= neardup.WINDOW * d)).sum(axis=1)
+    assert 0.01 < (count < neardup.COUNT).mean() < 0.065
 
 
 def brute_tiles(doc, item, n):
