@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its distinct words and their beginnings of 4 and 5 letters, hashed to 2**26 buckets. The model
-has a weight and a short vector for each bucket that enough training documents hold; the product of two vectors is
-the weight of the two terms together, as of an insult beside the mention of a group. It is fitted on a bounded sample
-of the labelled rows, and its size is fixed by its parameters, so every task can hold it.
+A document's terms are its distinct words and their beginnings of 4 and 5 letters, hashed to 2**BUCKET_BITS buckets.
+The model has a weight and a short vector for each bucket that takes part; the product of two vectors is the weight of
+the two terms together, as of an insult beside the mention of a group. A bucket takes part if it tells the labels of
+the training rows apart by itself, or if it does so together with another bucket: pairs are tried too, so a term that
+means nothing alone keeps its place. The model is fitted on a bounded sample of the labelled rows, so every task can
+hold it.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from xxhash import xxh32_intdigest
 
 from linkloom.llm.tables import crc_mod, table
 
-BUCKET_BITS, FACTORS, MAX_FEATURES = 26, 4, 60_000
-#: A bucket takes part if it tells the labels of the training rows apart with so much chi-square; others are noise.
-MIN_CHI2 = 12.0
+BUCKET_BITS, FACTORS = 26, 4
+#: Chi-square against the label that a bucket must have, and that two buckets must have where both occur; others are noise.
+MIN_CHI2, MIN_PAIR_CHI2 = 12.0, 40.0
+#: Pairs are tried among buckets that at least so many training rows, and at least this share of them, hold.
+PAIR_DOCS, PAIR_SHARE, PAIR_BLOCK = 8, 0.01, 1024
 #: At most so many labelled rows of either label are fitted, those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 4000
 MEMORY_WORDS = 400_000
@@ -63,23 +67,47 @@ class Machine:
         return self.bias + ragged_sum(self.weights[features], starts) + pairs
 
 
-def association(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chi-square of each bucket with the label, and the buckets."""
-    every = np.concatenate([*docs, np.empty(0, np.int64)])
-    seen, inverse = np.unique(every, return_inverse=True)
-    n, pos = len(labels), labels.sum()
-    df = np.bincount(inverse, minlength=len(seen)).astype(float)
-    tp = np.bincount(inverse, np.repeat(labels, [len(d) for d in docs]), minlength=len(seen)) if len(every) else df
+def chi_square(n: int, pos: int, df: np.ndarray, tp: np.ndarray) -> np.ndarray:
+    """Chi-square of the label with something that df rows hold, tp of them of label 1; n rows in all, pos of label 1."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (tp * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
-    return np.nan_to_num(chi2, posinf=0.0), seen
+        return np.nan_to_num(n * (tp * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos)), posinf=0.0)
+
+
+def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Buckets that tell the labels apart, alone or in a pair."""
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    seen, at = np.unique(np.concatenate([*docs, np.empty(0, np.int64)]), return_inverse=True)
+    n, pos = len(labels), int(labels.sum())
+    df = np.bincount(at, minlength=len(seen)).astype(float)
+    tp = np.bincount(at, labels[row], minlength=len(seen)).astype(float)
+    alone = chi_square(n, pos, df, tp)
+    keep = alone >= MIN_CHI2
+    common = np.flatnonzero(df >= max(PAIR_DOCS, PAIR_SHARE * n))
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(seen) + 1))
+
+    def dense(terms: np.ndarray) -> np.ndarray:
+        x = np.zeros((n, len(terms)), np.float32)
+        for k, t in enumerate(terms):
+            x[row[order[begin[t] : begin[t + 1]]], k] = 1
+        return x
+
+    parts = [common[k : k + PAIR_BLOCK] for k in range(0, len(common), PAIR_BLOCK)]
+    for i, a in enumerate(parts):
+        x = dense(a)
+        for b in parts[i:]:
+            y = dense(b)
+            both, good = (x.T @ y).astype(float), (x[labels == 1].T @ y[labels == 1]).astype(float)
+            # more than either term shows alone
+            strong = chi_square(n, pos, both, good) >= MIN_PAIR_CHI2 + np.maximum(alone[a][:, None], alone[b][None])
+            keep[a[strong.any(axis=1)]] = True
+            keep[b[strong.any(axis=0)]] = True
+    return seen[keep]
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 12, rate: float = 0.15, sparse: float = 2e-4, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Adagrad on the log loss over the buckets of each document; prior: share of label 1 among all labelled rows."""
-    chi2, seen = association(docs, labels)
-    kept = np.flatnonzero(chi2 >= MIN_CHI2)
-    buckets = np.sort(seen[kept[np.argsort(-chi2[kept], kind="stable")][:MAX_FEATURES]])
+    buckets = telling(docs, labels)
     random = np.random.default_rng(seed)
     n = len(buckets)
     model = Machine(buckets, np.zeros(n), random.normal(0, 0.01, (n, FACTORS)), 0.0)
@@ -113,7 +141,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int =
             model.vectors[used] -= 0.2 * rate * grad_v / np.sqrt(g_v[used])
             g_b += slope.sum() ** 2
             model.bias -= rate * slope.sum() / np.sqrt(g_b)
-    live = np.abs(model.weights) > 0
+    # a bucket without a weight of its own still counts in pairs
+    live = (np.abs(model.weights) > 0) | (np.abs(model.vectors).max(axis=1) > 0.05)
     return Machine(buckets[live], model.weights[live].astype(np.float32), model.vectors[live].astype(np.float32), float(model.bias))
 
 
@@ -176,9 +205,11 @@ def scorer(spark, model: Machine):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5) and held_out (crc32 of the id as text, modulo 5, is 0).
 
-    labels has the ids and toxic; only rows that aren't held out are learned from, and only the text is scored.
+    labels has the ids and toxic; only rows that aren't held out are learned from, at most sample_per_label of either
+    label, and only the text is scored.
 
-    Defined cases: a null or empty text has the score of no terms; a null id is not held out; an id that repeats is
+    Defined cases: a null or empty text has the score of no terms; a text of any length is read whole, each of its terms
+    counting once; of rows tied for a place in the sample the smaller id is taken; a null id is not held out; an id that repeats is
     scored row by row; of several labels of an id the highest counts; without both labels to learn from, every score
     is the share of label 1 (0 if there is none); an empty table gives an empty table. Other columns pass through;
     score, predicted and held_out replace columns of those names.

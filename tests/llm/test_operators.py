@@ -281,26 +281,78 @@ def test_pairs_of_terms_are_learned():
 
 def test_quality_paths_agree(spark):
     r = random.Random(5)
-    rows = [(k, sentence(r, 30), "en" if k % 2 else None) for k in range(160)] + [(500, "%$#@ ZZQX!! 99 %%%", "en"), (501, None, "en"), (502, " \n", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    ids = docs.where("doc_id < 150").select("doc_id")
-    one = {x.doc_id: x for x in quality_lm.score_quality(docs, ids).collect()}
-    two = {x.doc_id: x for x in quality_lm.score_quality(docs, ids, broadcast_grams=0).collect()}
-    assert one.keys() == two.keys()
-    assert all(a.perplexity == two[k].perplexity or abs(a.perplexity / two[k].perplexity - 1) < 1e-9 for k, a in one.items())
-    assert not one[500].kept and not one[501].kept and not one[502].kept
-    assert sum(one[k].kept for k in range(160)) >= 150
-
-
-def test_probabilities_sum_to_one(spark):
+    rows = [(k, sentence(r, 30), "en" if k % 2 else None) for k in range(300)] + [(500, "%$#@ ZZQX!! 99 %%%", "en"), (501, None, "en"), (502, " \n", None), (3, sentence(r, 30), "en"), (None, sentence(r, 5000), "fr")]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, key int")
+    ids = docs.where("doc_id < 280").select("doc_id")
+    one = sorted(quality_lm.score_quality(docs, ids).collect(), key=str)
+    two = sorted(quality_lm.score_quality(docs, ids, broadcast_grams=0).collect(), key=str)
+    assert len(one) == len(rows)
+    assert all(a.doc_id == b.doc_id and (a.perplexity == b.perplexity or abs(a.perplexity / b.perplexity - 1) < 1e-9) for a, b in zip(one, two, strict=True))
+    kept = {x.doc_id: x.kept for x in one}
+    assert not kept[500] and not kept[501] and not kept[502]
+    assert sum(kept[k] for k in range(280, 300)) >= 18  # trusted by none
+
+
+def counts_of(texts):
+    """Counts of the highest order, and of lower ones the numbers of different symbols before a gram."""
+    n = quality_lm.ORDER
+    count = {k: {} for k in range(1, n + 1)}
+    for t in texts:
+        c = quality_lm.codes(t).tolist()
+        for e in range(n - 1, len(c)):
+            g = tuple(c[e - n + 1 : e + 1])
+            count[n][g] = count[n].get(g, 0) + 1
+    for k in range(n - 1, 0, -1):
+        for g in count[k + 1]:
+            count[k][g[1:]] = count[k].get(g[1:], 0) + 1
+    return count
+
+
+def test_probabilities_are_those_of_the_definition(spark):
     r = random.Random(6)
-    docs = spark.createDataFrame([(sentence(r, 40),) for _ in range(30)], "text string")
+    texts = [sentence(r, 40) for _ in range(30)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
     rows = quality_lm.fit(docs).toArrow()
     model = quality_lm.Model(*(rows.column(c).to_numpy() for c in ("order", "gram", "p", "back")))
-    symbols = model.at[1][~np.isnan(model.p[1])]
-    context = quality_lm.grams(quality_lm.codes("ba"), 5)[-1] & ((1 << 48) - 1)
-    total = np.exp(model.log_p((context << 12) | symbols)).sum()
-    assert abs(total - 1) < 0.02  # the rest is that of symbols never seen
+    hashes = [x[0] for x in docs.select(F.xxhash64("text")).collect()]
+    folds = [counts_of([t for t, h in zip(texts, hashes, strict=True) if h & 1 == f]) for f in (0, 1)]
+    d = {}
+    for k in range(1, quality_lm.ORDER + 1):  # discounts are those of both folds together
+        n = [sum(c == m for f in folds for c in f[k].values()) for m in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] and n[2] else None
+        d[k] = [0.5, 0.75, 0.9] if y is None else [min(max(m - (m + 1) * y * n[m] / n[m - 1], 0.05), m - 0.05) for m in (1, 2, 3)]
+
+    def p(f, g):
+        k = len(g)
+        if not k:
+            return quality_lm.UNIFORM
+        same = {x: c for x, c in folds[f][k].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        if not total:
+            return p(f, g[1:])
+        cut = lambda c: d[k][min(c, 3) - 1]
+        own = same.get(g, 0)
+        return (own - cut(own) if own else 0) / total + sum(map(cut, same.values())) / total * p(f, g[1:])
+
+    for f in (0, 1):
+        for text in ("ba", "Q", "ransel tik", ""):
+            c = quality_lm.codes(text).tolist()[-quality_lm.ORDER + 1 :]
+            every = np.array([sum(x << 8 * (quality_lm.ORDER - 1 - j) for j, x in enumerate([*c, s])) for s in range(256)], np.int64) | quality_lm.FOLD * f
+            got = np.exp(model.log_p(every))
+            assert np.allclose(got[1:], [p(f, (*c, s)) for s in range(1, 256)], rtol=1e-9)
+            assert abs(got.sum() - 1) < 1e-6
+
+
+def test_parity_of_terms_is_learned():
+    """Two terms that mean nothing alone: label 1 if exactly one of them is there."""
+    r = np.random.default_rng(0)
+    docs = [np.union1d(r.choice(40, 6), np.array([k for k in (100, 101) if r.random() < 0.5], np.int64)) for _ in range(4000)]
+    labels = np.array([int((100 in d) != (101 in d)) for d in docs])
+    model = toxicity.fit(docs, labels, 0.5)
+    index = model.index()
+    rows = [[index[b] for b in d.tolist() if b in index] for d in docs]
+    got = model.margins(np.array([b for x in rows for b in x]), np.r_[0, np.cumsum([len(x) for x in rows])]) >= 0
+    assert (got == labels).mean() > 0.99
 
 
 PAGES = {
