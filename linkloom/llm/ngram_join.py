@@ -204,7 +204,7 @@ def _sender(buckets: int, levels):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the parts that two classes or more hold. Rows come sorted by bucket."""
+    """Of each bucket, the different sets of classes that share a part: part, the set's own hash, and its members. Rows come sorted by bucket."""
 
     def shared(pieces: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = np.concatenate([np.frombuffer(p, np.uint64) for p, _ in pieces])
@@ -215,11 +215,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, classes = parts[first], classes[first]
         starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
         size = np.diff(np.r_[starts, len(parts)])
-        several = np.repeat(size > 1, size)
-        parts, classes = parts[several], classes[several]
-        for at in range(0, len(parts), 100_000):
-            p = parts[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(classes[at : at + 100_000]), pa.array((p & np.uint64(63)).astype(np.int32))], names=["part", "class", "grp"])
+        # a run is told by its members, so two classes that share many parts are one run
+        run = np.add.reduceat(mix(classes.view(np.uint64) + BASE), starts) * MIX + (parts[starts] & np.uint64(63))
+        _, one = np.unique(run, return_index=True)
+        one = one[size[one] > 1]
+        keep = np.zeros(len(starts), bool)
+        keep[one] = True
+        run, group, classes = np.repeat(run[keep], size[keep]), np.repeat(parts[starts] & np.uint64(63), size)[np.repeat(keep, size)], classes[np.repeat(keep, size)]
+        for at in range(0, len(run), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(run[part].view(np.int64)), pa.array(classes[part]), pa.array(group[part].astype(np.int32))], names=["part", "class", "grp"])
 
     held, last = [], None
     for batch in batches:
@@ -260,19 +265,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit sketches of the members of open runs: a row for each run of a node, whose text is read once."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """Bit sketches of texts (node, text): one for each group of the text's size."""
     for batch in batches:
-        for node, component, runs, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            tokens, bits = shingles(text), {}
-            rows = []
-            for run in runs:
-                if run["grp"] not in bits:
-                    bits[run["grp"]] = bits_of(tokens, run["grp"]).tobytes()
-                rows.append((run["part"], node, component, len(tokens), bits[run["grp"]]))
-            for k in range(0, len(rows), 1000):
-                columns = zip(*rows[k : k + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "node", "component", "n", "bits"])
+        rows = []
+        for node, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            tokens = shingles(text)
+            rows += [(node, group, len(tokens), bits_of(tokens, group).tobytes()) for group, _ in groups_of(len(tokens))]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["node", "grp", "n", "bits"])
+
+
+def _near_enough(percent: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sketches differ in no more bits than linked sets of their sizes can."""
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))
+            good = [
+                min(m, n) * 100 >= percent * max(m, n) and int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) * (100 + percent) <= (m + n) * (100 - percent)
+                for m, x, n, y in zip(*columns, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return near
 
 
 def _across(percent: int):
@@ -309,9 +323,9 @@ def _across(percent: int):
     return across
 
 
-def _block_pairs(members: DataFrame, size: int) -> DataFrame:
-    """Members of runs, dealt into blocks of about size; each row once for each pair of blocks (i, j) that its own is in."""
-    sizes = members.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+def _block_pairs(members: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """Members of runs (part, n_members), dealt into blocks of about size; each row once for each pair of blocks (i, j) that its own is in."""
+    sizes = runs.select("part", F.ceil(F.col("n_members") / size).cast("int").alias("blocks"))
     own = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
@@ -332,27 +346,29 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     buckets = max(8, math.ceil(total / ENTRIES_PER_BUCKET))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(every.where("n_shingles < 0")))
     sent = own.select("text").where("text is not null").mapInArrow(_sender(buckets, levels), "bucket long, parts binary, classes binary")
-    shared = settle(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int"))
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int").dropDuplicates(["part", "class"])
     members = settle(shared.join(classes.select(F.col("k1").alias("class"), "node"), "class").select("part", "grp", "node"))
-    forget(shared)
     alive = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash")
     texts = settle(alive.join(own, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
 
+    sketches = settle(texts.mapInArrow(_sketches, "node long, grp int, n long, bits binary"))
     leaders = members.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    tried = settle(members.join(leaders, "part").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = settle(_verified(tried, texts, percent))
+    tried = settle(members.join(leaders, "part").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.min("grp").alias("grp")))
+    of = lambda c: sketches.select(F.col("node").alias(c), "grp", F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    near = tried.join(of("b"), ["b", "grp"]).join(of("a"), ["a", "grp"]).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    links = settle(_verified(settle(near.mapInArrow(_near_enough(percent), "a long, b long")), texts, percent))
     found = connected_components(links)
 
     # runs that still hold several components
     placed = members.join(found, "node", "left").select("part", "grp", "node", F.coalesce("component", "node").alias("component"))
-    open_runs = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part")
-    open_members = placed.join(open_runs, "part").groupBy("node").agg(F.first("component").alias("component"), F.collect_list(F.struct("part", "grp")).alias("runs"))
-    rest = settle(open_members.join(texts, "node").select("node", "component", "runs", "text").mapInArrow(_sketches, "part long, node long, component long, n long, bits binary"))
-    units = _block_pairs(rest, RUN_BLOCK).select("part", "i", "j", "node", "component", "n", "bits", "block")
+    # in a run of two their only pair has been tried
+    open_runs = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_members")).where("low < high and n_members > 2").select("part", "n_members")
+    open_runs = settle(open_runs)
+    rest = placed.join(open_runs.select("part"), "part").join(sketches, ["node", "grp"]).select("part", "node", "component", "n", "bits")
+    units = _block_pairs(rest, open_runs, RUN_BLOCK).select("part", "i", "j", "node", "component", "n", "bits", "block")
     units = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
     more = units.mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = settle(_verified(settle(more), texts, percent))
-    forget(rest)
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
 
