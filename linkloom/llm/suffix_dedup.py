@@ -2,11 +2,14 @@
 
 Sorting every suffix of a corpus would shuffle each byte hundreds of times, so only some suffixes are: for each string
 of the wanted length, the one that begins at the string's smallest hash of 32 bytes. Equal strings have theirs at the
-same place, so equal strings always meet. A suffix that no other text has is dropped by a count of its leading bytes'
-hashes; copies with the same surroundings are one class. What is left is cut out of the texts, dealt by ranges of the
-leading bytes (Spark samples the splitters), and sorted within each range by a multikey quicksort, whose equal runs are
-the repeated strings. All suffixes with equal leading bytes are in one range, so no run crosses a boundary; a run that
-is too long for a task is dealt anew, by the fingerprints of its strings.
+same place, so equal strings always meet. Two kinds of suffixes never reach the sort: those whose leading bytes no other
+suffix has, and copies with the same surroundings, which are one class from the start.
+
+What is left is cut out of the texts and dealt by ranges of the leading bytes (Spark samples the splitters). Within a
+range all strings are sorted by a multikey quicksort, which takes eight bytes at a time and sets those equal to the pivot
+aside; strings that end up beside an equal one are repeated. A range never ends between equal leading bytes, so the
+strings on both sides of a boundary differ there already. Leading bytes that too many classes share for one task are
+dealt anew, by the fingerprints of their strings.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import settle, table
+from linkloom.llm.tables import LAST_ID, settle, table
 
 LENGTH, GRAM = 400, 32
 #: Suffixes that share their leading bytes are compared within a task up to so many; beyond, by a shuffle.
 RUN = 4000
+#: Classes with more copies than this, or than one in HOT_SHARE rows, are joined by broadcast; so they are HOT_SHARE at most.
+HOT, HOT_SHARE = 1000, 50_000
 RANGE_BYTES, BLOCK_BYTES = 24 << 20, 1 << 21
 PIECE = 1 << 18
-LAST_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
 BASE = 0x9E3779B97F4A7C15
 _random = np.random.default_rng(17)
@@ -157,29 +161,47 @@ def strings_of(bodies: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def equal_runs(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings that start at these places are equal to another.
+    """Which of the strings of length bytes that start at these places are equal to another.
 
-    Multikey quicksort, an array at a time: all strings are sorted by their first eight bytes; within the runs that are
-    still equal, by a longer key, and so on; a string alone in its run is done. Keys after the first are fingerprints.
+    Multikey quicksort, for all runs at once and eight bytes at a time. In each round the first string of a run is its
+    pivot. Strings equal to the pivot are set aside as done; the others fall into new runs by the place where they part
+    from it, and by whether they are smaller or larger there. A string alone in its run is done. Bytes are compared,
+    not fingerprints.
     """
-    sums = Sums(data)
-
-    def leading(p: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(p), np.uint64)
-        for k in range(8):
-            key = (key << np.uint64(8)) | data[p + k]
-        return key
-
-    index, run = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for key in (leading, lambda p: sums(p, p + min(64, length)), lambda p: sums(p, p + length)):
-        k = key(at[index])
-        order = np.lexsort((k, run)) if run.any() else np.argsort(k, kind="stable")
-        index, run, k = index[order], run[order], k[order]
-        new = np.r_[True, (run[1:] != run[:-1]) | (k[1:] != k[:-1])] if len(index) else np.zeros(0, bool)
-        run = np.cumsum(new)
-        several = np.bincount(run, minlength=1)[run] > 1
-        index, run = index[several], run[several]
-    return np.sort(index)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + len(data)]
+    steps = [*range(0, length - 7, 8), length - 8] if length % 8 else list(range(0, length, 8))
+
+    first = word[at]
+    order = np.argsort(first, kind="stable")
+    index, run = order, np.cumsum(np.r_[False, first[order][1:] != first[order][:-1]])
+    found = [np.empty(0, np.int64)]
+    while len(index):
+        begin = np.r_[True, run[1:] != run[:-1]]
+        size = np.diff(np.r_[np.flatnonzero(begin), len(run)])
+        several = np.repeat(size > 1, size)
+        index, begin = index[several], begin[several]
+        if not len(index):
+            break
+        run = np.cumsum(begin) - 1
+        pivot = at[index[begin]][run]
+        own, parted, open_ = at[index], np.full(len(index), -1), np.arange(len(index))
+        for k, step in enumerate(steps):
+            differ = word[own[open_] + step] != word[pivot[open_] + step]
+            parted[open_[differ]] = k
+            open_ = open_[~differ]
+        equal = parted < 0  # the pivots among them
+        n_equal = np.bincount(run, equal)
+        found.append(index[equal & (n_equal[run] > 1)])
+        index, run, own, pivot, parted = index[~equal], run[~equal], own[~equal], pivot[~equal], parted[~equal]
+        step = np.array(steps)[parted]
+        larger = word[own + step] > word[pivot + step]
+        key = (run * len(steps) + parted) * 2 + larger
+        order = np.argsort(key, kind="stable")
+        index, run = index[order], key[order]
+    return np.sort(np.concatenate(found))
 
 
 def _comparer(length: int):
@@ -247,29 +269,37 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, removed), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
 
 
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """rows joined to keys, which have the number of their rows as copies. Keys of more than hot rows never deal rows out: they are few, and go to every task."""
+    many = F.broadcast(keys.where(F.col("copies") > hot))
+    return rows.join(many, on).unionByName(rows.join(many, on, "left_anti").join(keys.where(F.col("copies") <= hot), on))
+
+
 def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, run: int = RUN) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, removed (maximal stretches [start, stop) of bytes) and kept (the other bytes).
 
     A byte goes if a string of length bytes that covers it starts anywhere else too, in another row or in the same.
     Texts are UTF-8 bytes; strings never cross rows, overlaps count, and all are judged on the input. length is 64 or
-    more; id_col is an integer column. Strings are told apart by 128 bits of fingerprints.
+    more; id_col is an integer column.
 
-    Defined cases: a null text is empty; texts shorter than length lose nothing; a row that repeats is another place,
-    so both lose all; null ids are returned as they are; an empty table gives an empty table; other columns are not
+    Defined cases: a null text is empty; texts shorter than length lose nothing, and a text of any length is read whole;
+    a row that repeats is another place, so both lose all; rows are told apart by id and text, so null and repeated ids
+    are returned as they are; an empty table gives an empty table; other columns are not
     returned, whatever their names.
     """
     if length < 2 * GRAM:
         raise ValueError("length must be 64 or more")
     own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("body"))
     suffixes = settle(own.where(F.octet_length("body") >= length).mapInArrow(_sampler(length), "id long, text_hash long, head long, around long, at int, start int, n int"))
-    shared = settle(suffixes.groupBy("head").agg(F.count("*").alias("places"), F.min("around").alias("a"), F.max("around").alias("b")).where("places > 1").select("head", (F.col("a") != F.col("b")).alias("mixed")))
-    near = settle(suffixes.join(shared, "head"))
+    shared = settle(suffixes.groupBy("head").agg(F.count("*").alias("copies"), F.min("around").alias("a"), F.max("around").alias("b")).where("copies > 1").select("head", "copies", (F.col("a") != F.col("b")).alias("mixed")))
+    hot = max(HOT, suffixes.count() // HOT_SHARE)
+    near = settle(_joined(suffixes, shared, ["head"], hot).drop("copies"))
     stop = (F.col("start") + F.col("n") + F.lit(length - 1)).alias("stop")
     marks = near.where("not mixed").select("id", "text_hash", "start", stop)
 
-    mixed = near.where("mixed")
+    mixed = near.where("mixed").drop("mixed")
     classes = settle(mixed.groupBy("head", "around").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash", "at", "start", "n")).alias("one")))
-    marks = marks.unionByName(mixed.join(classes.where("copies > 1").select("head", "around"), ["head", "around"]).select("id", "text_hash", "start", stop))
+    marks = marks.unionByName(_joined(mixed, classes.where("copies > 1").select("head", "around", "copies"), ["head", "around"], hot).select("id", "text_hash", "start", stop))
     crowds = settle(classes.groupBy("head").agg((F.count("*") > run).alias("crowded")))
     wanted = classes.join(crowds, "head").groupBy("one.id", "one.text_hash").agg(F.collect_list(F.struct("head", "copies", "crowded", "one.at", "one.start", "one.n")).alias("suffixes"))
     cut = settle(own.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "body", "suffixes").mapInArrow(_cutter(length), "lead binary, head long, copies long, crowded boolean, id long, text_hash long, start int, n int, body binary"))
@@ -290,4 +320,9 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op6_suffix_array_dedup(spark, sf_dir):
     out = drop_repeated_strings(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # the last two say what is left, in bytes and in characters: all bytes but those that continue one
+    n_chars = F.char_length(F.regexp_replace(F.decode("kept", "iso-8859-1"), r"[\x80-\xBF]", ""))
+    return out.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"), n_chars.cast("long").alias("n_chars_kept"),
+    )

@@ -65,6 +65,23 @@ def test_repeated_strings(docs, texts, length, run):
     assert sorted((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.removed), bytes(r.kept)) for r in got) == brute_strings(texts, length)
 
 
+def test_multikey_quicksort_finds_equal_strings():
+    r = np.random.default_rng(3)
+    for length in (64, 100, 400):
+        pieces = [r.integers(0, 2, int(r.integers(1, 900)), dtype=np.uint8) for _ in range(8)]
+        data = np.concatenate([*pieces, pieces[2], r.integers(0, 3, 300, dtype=np.uint8), pieces[5], np.zeros(700, np.uint8)])
+        at = r.permutation(len(data) - length + 1)
+        bodies = [data[p : p + length].tobytes() for p in at]
+        want = [k for k, b in enumerate(bodies) if bodies.count(b) > 1]
+        assert suffix_dedup.equal_runs(data, at, length).tolist() == want
+
+
+def test_repeated_strings_of_hot_heads(docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    got = suffix_dedup.drop_repeated_strings(docs, length=100).collect()
+    assert sorted((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.removed), bytes(r.kept)) for r in got) == brute_strings(texts, 100)
+
+
 def brute_classes(texts):
     def shingles(t):
         w = [x for x in "".join(c.lower() if c.isascii() else c for c in t or "").split() if x]
@@ -412,4 +429,6 @@ def test_digest_of_kept_bytes(spark, sf_dir):
     rows = queries.op6_suffix_array_dedup(spark, sf_dir).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in tables.table(spark, sf_dir, "documents").collect()}
     untouched = [r for r in rows if not r.n_spans]
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in rows)
+    assert all(r.n_chars_kept == len(next(t.decode() for i, t in texts.items() if i == r.doc_id)) for r in untouched)
     assert untouched and all(r.kept_sha256 == hashlib.sha256(texts[r.doc_id]).hexdigest() for r in untouched)
