@@ -122,8 +122,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bits_of(tokens: np.ndarray, group: int) -> np.ndarray:
-    """Parity of the shingles that fall on each of about four bits a shingle."""
-    words = -(-4 * largest(group) // 64)
+    """Parity of the shingles that fall on each bit, about one bit a shingle."""
+    words = -(-largest(group) // 64)
     at = (tokens & np.uint64(0xFFFFFFFF)) * np.uint64(64 * words) >> np.uint64(32)
     odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
@@ -349,7 +349,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int").dropDuplicates(["part", "class"])
     members = settle(shared.join(classes.select(F.col("k1").alias("class"), "node"), "class").select("part", "grp", "node"))
     alive = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash")
-    texts = settle(alive.join(own, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+    texts = settle(alive.join(own, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "text"))
 
     sketches = settle(texts.mapInArrow(_sketches, "node long, grp int, n long, bits binary"))
     leaders = members.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
