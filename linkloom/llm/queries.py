@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from linkloom.llm.decontam import op10_benchmark_decontamination
-from linkloom.llm.html_mincut import op2_html_extraction
+from linkloom.llm.html_mincut import op2_main_text
 from linkloom.llm.langid import op1_language_id
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from linkloom.llm.neardup import OP3_SQL, op3_embedding_near_dup
@@ -15,7 +15,7 @@ from linkloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
-    "op2_html_extraction": op2_html_extraction,
+    "op2_main_text": op2_main_text,
     "op3_embedding_near_dup": op3_embedding_near_dup,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -385,6 +386,48 @@ def test_pages(spark):
     assert {r.html: (r.text, r.n_chars) for r in html_mincut.extract_text(df).collect()} == {h: (t, len(t)) for h, t in PAGES.items()} | {None: ("", 0)}
 
 
+LONG = "A long paragraph of many words, which reads like the body of an article. " * 3
+
+
+def test_names_inside_an_article_do_not_hide_it():
+    text = LONG.strip()
+    assert html_mincut.main_text(f"<article><div class='legal'><p>{LONG}</p></div></article>") == text
+    assert html_mincut.main_text(f"<main><div class='story-header'><h1>Title</h1><p>{LONG}</p></div></main>") == f"Title\n{text}"
+    assert html_mincut.main_text(f"<article><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here. {LONG}</p></article>") == f"It is x=2 here. {text}"
+    assert html_mincut.main_text(f"<main><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></main>") == text
+
+
+def test_broken_pages_take_linear_time():
+    began = time.time()
+    assert html_mincut.main_text("<div>x</p> " * 100_000) == ""
+    assert len(html_mincut.main_text(f"<p>{LONG} " * 20_000)) > 4_000_000
+    assert time.time() - began < 60
+
+
+def test_labelling_is_the_cheapest():
+    """Of all labellings of small pages, the one with the least cost of blocks and edges."""
+    r = random.Random(4)
+    part = lambda: r.choice([f"<p>{sentence(r, r.randint(1, 40))}</p>", f"<div class='{r.choice(['ad', 'x', 'footer'])}'><p>{sentence(r, 5)}</p></div>", f"<ul><li><a href='/'>{sentence(r, 2)}</a><li>{sentence(r, 9)}</ul>", f"<nav>{sentence(r, 3)}</nav>", "<article>", "</article>"])
+    for _ in range(40):
+        blocks = html_mincut.blocks_of("".join(part() for _ in range(r.randint(2, 8))))[:9]
+        if not blocks:
+            continue
+        weights = html_mincut.given_weights()
+        odds = np.array([html_mincut.seen_of(t, b) for t, b in blocks]) @ weights
+        edges = html_mincut.edges_of([b for _, b in blocks])
+        cost = lambda keep: sum(np.log1p(np.exp(-x if k else x)) for x, k in zip(odds, keep, strict=True)) + sum(w for a, b, w in edges if keep[a] != keep[b])  # noqa: B023, E731
+        best = min(cost([bool(m >> k & 1) for k in range(len(blocks))]) for m in range(1 << len(blocks)))
+        assert abs(cost(html_mincut.labels_of(blocks, weights)) - best) < 1e-6
+
+
+def test_classifier_is_fitted(spark, sf_dir):
+    weights = html_mincut.fit(tables.table(spark, sf_dir, "pages"))
+    given = html_mincut.given_weights()
+    assert np.abs(weights - given).max() > 0.01
+    assert np.sign(weights[[1, 2, 4]]).tolist() == np.sign(given[[1, 2, 4]]).tolist()
+    assert html_mincut.fit(spark.createDataFrame([], "html string")).tolist() == given.tolist()
+
+
 def test_cut_is_minimal():
     r = np.random.default_rng(2)
     for _ in range(30):
