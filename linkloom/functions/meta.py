@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import lexicon as lex
 
 DATE = r"(\d{2}-\d{2}-\d{2})(\d{2}(?!\d))?"
+# Results depend on these numbers being exactly so.
 HEADER_END, FOOTER_START = 0.12, 0.88
+FOOTER_TOP, FOOTER_LEFT = 0.78, 0.7
 GAP_SHARE, DEFAULT_SIZE = 0.18, 10.0
 CODE = r"[A-Z0-9]{3}"
 
@@ -97,3 +99,60 @@ def same_spot(a: Column, b: Column, share: float = 0.45) -> Column:
     small, large = F.when(area(a) <= area(b), a).otherwise(b), F.when(area(a) <= area(b), b).otherwise(a)
     x, y = (small["x0"] + small["x1"]) / 2, (small["y0"] + small["y1"]) / 2
     return (overlap_area(a, b) >= share * area(small)) | (x.between(large["x0"], large["x1"]) & y.between(large["y0"], large["y1"]))
+
+
+def footer_by_place(spans: Column, width: Column, height: Column, page_text: Column, recognised: Column | None = None) -> Column:
+    """struct<client_id, form_type> of a page from its spans struct<text, x0, y0, x1, y1>: those of its lowest 22 %.
+
+    The left 70 % decide where they hold an id, then the whole width, then the last five lines of page_text; where the
+    footer has next to no text, what was recognised there.
+    """
+    low = F.filter(spans, lambda s: s["y1"] > height * FOOTER_TOP)
+    text_of = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), "\n")
+    left, full = text_of(F.filter(low, lambda s: s["x0"] < width * FOOTER_LEFT)), text_of(low)
+    lines = F.filter(F.transform(F.split(F.coalesce(page_text, F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")
+    last = F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 4), F.lit(5)), "\n")
+    bare = F.char_length(F.regexp_replace(F.concat(left, full), r"\s+", "")) < 8
+    seen = F.when(bare, F.coalesce(recognised, F.lit(""))).otherwise("") if recognised is not None else F.lit("")
+
+    def first(found: Column) -> Column:
+        of = lambda c: F.coalesce(F.try_element_at(F.filter(F.transform(found, lambda f: f[c]), lambda x: x != ""), F.lit(1)), F.lit("")).alias(c)
+        return F.struct(of("client_id"), of("form_type"))
+
+    return F.get(F.transform(F.array(F.transform(F.array(left, full, last, seen), footer_ids)), first), 0)
+
+
+def last_pages(pages: DataFrame) -> DataFrame:
+    """The last page of each file, whose footer holds for all of it."""
+    columns = [c for c in pages.columns if c != "file_idx"]
+    return pages.groupBy("file_idx").agg(F.max_by(F.struct(*columns), "page_number").alias("p")).select("file_idx", "p.*")
+
+
+def longest_text(*texts: Column) -> Column:
+    """The longest of several readings of a page, of equal ones the first."""
+    best = F.coalesce(texts[0], F.lit(""))
+    for t in texts[1:]:
+        best = F.when(F.char_length(F.coalesce(t, F.lit(""))) > F.char_length(best), t).otherwise(best)
+    return best
+
+
+def annotation_payloads(annots: Column, fields: Column) -> Column:
+    """What annotations struct<uri, content, title, subject> hold, one after the other, then the values of form fields; empty ones are left out."""
+    held = F.flatten(F.transform(F.coalesce(annots, F.slice(annots, 1, 0)), lambda a: F.array(a["uri"], a["content"], a["title"], a["subject"])))
+    return F.filter(F.concat(F.coalesce(held, F.array().cast("array<string>")), F.coalesce(fields, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+
+
+def is_sparse(page_text: Column, n_links: Column) -> Column:
+    """Whether a page holds so little text, and no link, that it is to be read as a picture."""
+    return (n_links == 0) & (F.char_length(F.regexp_replace(F.coalesce(page_text, F.lit("")), r"\s+", "")) < 120)
+
+
+def looks_like_code(width: Column, height: Column, box_width: Column, box_height: Column) -> Column:
+    """Whether a picture of so many pixels, in a box of a page or none, has a code's shape and size."""
+    square = lambda w, h: (w / F.greatest(h, F.lit(1.0))).between(0.78, 1.28)
+    return (square(width, height) & (F.least(width, height) <= 520)) | F.coalesce(square(box_width, box_height) & (F.least(box_width, box_height) < 130), F.lit(False))
+
+
+def mostly_blank(n_dark: Column, n_pixels: Column) -> Column:
+    """Whether so few pixels of a picture are dark (below 90) that nothing is on it."""
+    return F.coalesce(n_dark / F.nullif(n_pixels, F.lit(0)) < 0.003, F.lit(True))

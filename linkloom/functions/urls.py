@@ -25,6 +25,11 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def among(value: Column, words) -> Column:
+    """Whether a value is one of many words: as one pattern, which is planned faster than a list of literals."""
+    return value.rlike(rf"\A{lex.one_of(words)}\z")
+
+
 def sanitize(text: Column, tlds: tuple[str, ...] = ()) -> Column:
     """Text without quotes, and without the blanks that split a link at dots, slashes or after the scheme."""
     tld, word = lex.one_of(lex.top_level_domains(tlds)), lex.one_of(lex.TEXT_WORDS)
@@ -87,46 +92,61 @@ def path_of(url: Column) -> Column:
 
 def tld_of(host: Column, tlds: tuple[str, ...] = ()) -> Column:
     """The host's top-level domain, with both labels of a two-part one; null if there is none."""
-    labels = F.filter(F.split(F.lower(F.btrim(host, F.lit("."))), r"\."), lambda x: x != "")
-    last = F.try_element_at(labels, F.lit(-1))
-    two = F.concat_ws(".", F.try_element_at(labels, F.lit(-2)), last)
-    # one pattern, as a long list of literals would be planned again at every use
-    known = last.rlike(rf"^{lex.one_of(lex.top_level_domains(tlds))}\z")
-    return F.when((F.size(labels) >= 3) & two.isin(*lex.MULTI_PART_TLDS), two).when((F.size(labels) >= 2) & known, last)
+    known = lex.top_level_domains(tlds)
 
+    def of(labels: Column) -> Column:
+        last = F.try_element_at(labels, F.lit(-1))
+        two = F.concat_ws(".", F.try_element_at(labels, F.lit(-2)), last)
+        return F.when((F.size(labels) >= 3) & among(two, lex.MULTI_PART_TLDS), two).when((F.size(labels) >= 2) & among(last, known), last)
 
-def is_noise(url: Column, tlds: tuple[str, ...] = ()) -> Column:
-    """Whether a link is a piece of a sentence that only looks like a domain."""
-    host = F.lower(host_of(url))
-    www, tld = host.startswith("www."), tld_of(F.regexp_replace(host, r"^www\.", ""), tlds)
-    labels = F.filter(F.split(F.regexp_replace(host, r"^www\.", ""), r"\."), lambda x: x != "")
-    parts = F.size(F.split(tld, r"\."))
-    name = F.try_element_at(labels, -parts - 1)
-    left = F.slice(labels, 1, F.greatest(F.lit(0), F.size(labels) - parts - 1))
+    return let(F.filter(F.split(F.lower(F.btrim(host, F.lit("."))), r"\."), lambda x: x != ""), of)
+
+
+def _noise(x: Column) -> Column:
+    """Whether a link is a piece of a sentence, from x: url, host (in lower case), tld and name of its host without www., and left, the labels before them."""
+    www, name, tld = x["host"].startswith("www."), x["name"], x["tld"]
     short = lambda x: (F.char_length(x) <= 2) & x.rlike(r"^[a-z]+$")
-    has_path = F.btrim(path_of(url), F.lit("/")) != ""
-    fragment = name.isin(*lex.SENTENCE_WORDS) | tld.isin(*lex.SENTENCE_WORDS) | short(name)
-    country = ~url.rlike(SCHEME) & (F.char_length(tld) == 2) & name.rlike(r"^[a-z]+$")
-    loose = F.forall(left, lambda x: x.isin(*lex.TEXT_WORDS) | short(x))
+    has_path = F.btrim(path_of(x["url"]), F.lit("/")) != ""
+    fragment = among(name, lex.SENTENCE_WORDS) | among(tld, lex.SENTENCE_WORDS) | short(name)
+    country = ~x["url"].rlike(SCHEME) & (F.char_length(tld) == 2) & name.rlike(r"^[a-z]+$")
+    loose = F.forall(x["left"], lambda x: among(x, lex.TEXT_WORDS) | short(x))
     return (
-        F.when(host == "", True).when(host.rlike(IPV4 + "$"), False).when(tld.isNull(), True).when(name.isin(*lex.FUNCTION_WORDS), True)
-        .when(www | has_path | tld.isin(*lex.TRUSTED_TLDS), False).when(country, True).otherwise(fragment & loose)
+        F.when(x["host"] == "", True).when(x["host"].rlike(IPV4 + "$"), False).when(tld.isNull(), True).when(among(name, lex.FUNCTION_WORDS), True)
+        .when(www | has_path | among(tld, lex.TRUSTED_TLDS), False).when(country, True).otherwise(fragment & loose)
     )
 
 
+def is_noise(url: Column, tlds: tuple[str, ...] = ()) -> Column:
+    """Whether a link is a piece of a sentence that only looks like a domain."""
+
+    def named(x: Column) -> Column:
+        labels = F.filter(F.split(x["rest"], r"\."), lambda x: x != "")
+        parts = F.size(F.split(x["tld"], r"\."))
+        left = F.slice(labels, F.lit(1), F.greatest(F.lit(0), F.size(labels) - parts - 1))
+        return F.struct(x["url"].alias("url"), x["host"].alias("host"), x["tld"].alias("tld"), F.try_element_at(labels, -parts - 1).alias("name"), left.alias("left"))
+
+    placed = lambda h: let(F.regexp_replace(h["host"], r"^www\.", ""), lambda r: F.struct(h["url"].alias("url"), h["host"].alias("host"), r.alias("rest"), tld_of(r, tlds).alias("tld")))
+    return let(F.struct(url.alias("url"), F.lower(host_of(url)).alias("host")), lambda h: let(placed(h), lambda x: let(named(x), _noise)))
+
+
 def looks_like_url(url: Column, tlds: tuple[str, ...] = ()) -> Column:
     """Whether a cleaned link is one: its length, its scheme, a known top-level domain, and no noise."""
-    schemed, first = url.rlike(SCHEME), F.substring_index(F.regexp_replace(url, SCHEME, ""), "/", 1)
-    host = F.substring_index(first, ":", 1)
-    tld = tld_of(host, tlds)
-    sound = tld.isNotNull() & ~is_noise(url, tlds)
-    shouted = host.rlike(r"^[A-Z][a-z]*\.[A-Z]{3,}$") | host.rlike(r"(?:^|\.)[A-Z][a-z]*$")
-    bare = ~tld.isin(*lex.SOURCE_ENDINGS) & ~tld.isin(*lex.AMBIGUOUS_TLDS)
-    return F.coalesce(
-        F.char_length(url).between(4, 250) & ~url.rlike(r"(?i)^(?:mailto|javascript|tel):")
-        & F.when(schemed, host.rlike(IPV4) | sound).when(shouted, False).when(F.lower(url).startswith("www."), sound).otherwise(sound & bare),
-        F.lit(False),
-    )
+
+    def judged(x: Column) -> Column:
+        u, host, tld = x["url"], x["host"], x["tld"]
+        shouted = host.rlike(r"^[A-Z][a-z]*\.[A-Z]{3,}$") | host.rlike(r"(?:^|\.)[A-Z][a-z]*$")
+        bare = ~among(tld, lex.SOURCE_ENDINGS) & ~among(tld, lex.AMBIGUOUS_TLDS)
+        kind = F.when(u.rlike(SCHEME), "schemed").when(shouted, "shouted").when(F.lower(u).startswith("www."), "www").otherwise("bare")
+        # one test for noise serves all kinds
+        sound = tld.isNotNull() & ~is_noise(u, tlds)
+        return let(kind, lambda k: ((k == "schemed") & host.rlike(IPV4)) | ((k != "shouted") & ((k != "bare") | bare) & sound))
+
+    def placed(u: Column) -> Column:
+        first = F.substring_index(F.regexp_replace(u, SCHEME, ""), "/", 1)
+        return let(F.substring_index(first, ":", 1), lambda h: F.struct(u.alias("url"), h.alias("host"), tld_of(h, tlds).alias("tld")))
+
+    sane = lambda u: F.char_length(u).between(4, 250) & ~u.rlike(r"(?i)^(?:mailto|javascript|tel):")
+    return F.coalesce(let(url, lambda u: F.when(sane(u), let(placed(u), judged))), F.lit(False))
 
 
 def clean_link(url: Column, tlds: tuple[str, ...] = ()) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A code's finder pattern: dark, light, dark, light, dark in these modules.
-FINDER = (1, 1, 3, 1, 1)
+# A finder's unit, the share of it that each outer run may have, and the dark places of a line.
+UNIT, LEAST, MOST, DARK = (1.25, 48.0), 0.45, 1.7, 8
 
 
 def run_lengths(bits: DataFrame, line: list[str], order: str = "x", value: str = "bit") -> DataFrame:
@@ -17,17 +20,19 @@ def run_lengths(bits: DataFrame, line: list[str], order: str = "x", value: str =
     return marked.withColumn("run", F.sum("__new").over(w)).groupBy(*line, "run").agg(F.first(value).alias(value), F.min(order).alias("start"), F.count("*").alias("length"))
 
 
-def finder_centres(runs: DataFrame, line: list[str], tolerance: float = 0.5, value: str = "bit") -> DataFrame:
-    """Where five runs, the first dark, have a finder's proportions: line, centre, unit."""
-    w = Window.partitionBy(*line).orderBy("run")
+def finder_centres(runs: DataFrame, line: str, of: tuple[str, ...] = (), every: int = 2, value: str = "bit") -> DataFrame:
+    """Where five runs, the first dark, have a finder's proportions: of, line, centre, unit.
+
+    The unit is a third of the middle run, which has 3 places or more. Only every second line is looked at, and only
+    lines with enough dark places.
+    """
+    w = Window.partitionBy(*of, line).orderBy("run")
+    dark = F.sum(F.when(F.col(value) == 1, F.col("length")).otherwise(0)).over(Window.partitionBy(*of, line))
     five = [F.col("length"), *(F.lead("length", k).over(w) for k in range(1, 5))]
-    unit = sum(five[1:], five[0]) / 7.0
-    near = [F.abs(n - m * F.col("unit")) <= tolerance * m * F.col("unit") for n, m in zip((F.col(f"n{k}") for k in range(5)), FINDER, strict=True)]
-    found = runs.select("*", *(c.alias(f"n{k}") for k, c in enumerate(five)), unit.alias("unit"))
-    keep = (F.col(value) == 1) & F.col("n4").isNotNull()
-    for c in near:
-        keep = keep & c
-    return found.where(keep).select(*line, (F.col("start") + F.col("n0") + F.col("n1") + F.col("n2") / 2.0).alias("centre"), "unit")
+    found = runs.where(F.col(line) % every == 0).select("*", *(c.alias(f"n{k}") for k, c in enumerate(five)), dark.alias("dark")).withColumn("unit", F.col("n2") / 3.0)
+    near = [F.col(f"n{k}").between(LEAST * F.col("unit"), MOST * F.col("unit")) for k in (0, 1, 3, 4)]
+    keep = reduce(and_, near, (F.col(value) == 1) & (F.col("dark") >= DARK) & (F.col("n2") >= 3) & F.col("unit").between(*UNIT))
+    return found.where(keep).select(*of, line, (F.col("start") + F.col("n0") + F.col("n1") + F.col("n2") / 2.0).alias("centre"), "unit")
 
 
 def cells_of(marks: DataFrame, page: list[str], side: float = 10.0) -> DataFrame:

@@ -89,3 +89,64 @@ def result_columns(rows: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     names = {"Filename": "file_name", "Filename Date": "file_date", "Last 4 Digits": "last4", "Client ID": "client_id", "Form Type": "form_type"}
     return rows.select("file_idx", "seq", *(empty(c).alias(k) for k, c in names.items()), F.col("page_number").alias("Page Number"), empty("source").alias("Source"), F.lit("").alias("QR Code Attachment"), empty("url").alias("URL"), empty("status").alias("Status"))
+
+
+def recent_running(rows: DataFrame, per_file: int = 8, n: int = RECENT) -> DataFrame:
+    """The list shown while files are read: the last rows of the newest file in their order, then those of the files before."""
+    last = F.row_number().over(Window.partitionBy("file_idx").orderBy(F.desc("page_number"), F.desc("seq")))
+    # at most n files matter: each of them shows a row at least
+    newest = rows.select("file_idx").distinct().orderBy(F.desc("file_idx")).limit(n)
+    return rows.join(F.broadcast(newest), "file_idx").withColumn("__last", last).where(F.col("__last") <= per_file).drop("__last").orderBy(F.desc("file_idx"), "page_number", "seq").limit(n)
+
+
+def more_note(rows: DataFrame, n: int = PREVIEW) -> DataFrame:
+    """How many rows a preview shows, and the note on those that it does not."""
+    total = rows.agg(F.count("*").alias("n_rows"))
+    hidden = F.col("n_rows") - n
+    return total.select("n_rows", F.least("n_rows", F.lit(n)).cast("long").alias("n_shown"), F.when(hidden > 0, F.concat(hidden.cast("string"), F.lit(" more"))).otherwise("").alias("note"))
+
+
+def progress(phase: Column, done: Column, total: Column) -> Column:
+    """Percent of a job: reading files goes from 8 to 68, checking links from 72 to 94, then 96 and 100."""
+    share = done / F.greatest(total, F.lit(1))
+    return (
+        F.when(phase == "extract", F.least(8 + F.floor(share * 62), F.lit(68))).when(phase == "verify", F.least(72 + F.floor(share * 22), F.lit(94)))
+        .when(phase == "report", 96).when(phase == "done", 100).otherwise(0).cast("int")
+    )
+
+
+def pages_scanned(files: DataFrame) -> DataFrame:
+    """Pages of the files (n_pages, error) that were read, one at least for each."""
+    return files.agg(F.coalesce(F.sum(F.when(F.col("error").isNull(), F.greatest(F.coalesce("n_pages", F.lit(0)), F.lit(1)))), F.lit(0)).cast("long").alias("pages_scanned"))
+
+
+def result_totals(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """One row of totals of a finished job: counts of rows, files and pages, and the warnings of files that failed."""
+    one = lambda df: df.withColumn("k", F.lit(1))
+    read = one(files.agg(F.count("*").alias("files_processed"), F.array_join(F.array_sort(F.array_compact(F.collect_list("error"))), "\n").alias("warnings"))).join(one(pages_scanned(files)), "k")
+    return one(job_stats(rows).drop("files", "pages", "urls_checked").withColumnRenamed("urls_found", "total_urls")).join(read, "k").drop("k")
+
+
+def report_name(files: DataFrame) -> DataFrame:
+    """The report's file name: that of the only input, or a common one."""
+    stem = F.regexp_replace(F.min("file_name"), r"(?<=.)\.[^.]*$", "")
+    return files.agg(F.when(F.count("*") == 1, F.concat(stem, F.lit("_urls.xlsx"))).otherwise("extracted_urls.xlsx").alias("report_name"))
+
+
+def escape_html(value: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(mark), F.lit(name))
+    return value
+
+
+def format_bytes(n: Column) -> Column:
+    """A size in B, KB, MB or GB, with one decimal below 10."""
+    power = F.least(F.lit(3), F.when(n >= 1 << 30, 3).when(n >= 1 << 20, 2).when(n >= 1 << 10, 1).otherwise(0))
+    value = n / F.pow(F.lit(1024.0), power)
+    number = F.when((value >= 10) | (power == 0), F.round(value).cast("long").cast("string")).otherwise(F.format_string("%.1f", value))
+    return F.when(n <= 0, "0 B").otherwise(F.concat(number, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), (power + 1).cast("int"))))
+
+
+def status_style(status: Column) -> Column:
+    """How the sheet shows a status: good, bad, or plain where there is none."""
+    return F.when(F.trim(status) == "Working", "good").when(F.trim(status) != "", "bad").otherwise("plain")

@@ -27,6 +27,26 @@ def hyperlink_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataF
     return pages.select(*PAGE, F.lit("hyperlink").alias("source"), F.inline(F.filter(cleaned, lambda x: x["url"].isNotNull())))
 
 
+def admitted(raw: Column, tlds: tuple[str, ...] = ()) -> Column:
+    """The links that a piece of text stands for: a payment link alone; all links in it; failing that, itself where it begins like a link."""
+
+    def of(text: Column) -> Column:
+        whole = urls.clean(text, tlds)
+        found = urls.extract_urls_anyhow(text, tlds)
+        alone = F.when(whole.rlike(r"(?i)^(?:https?://|ftp://|www\.)"), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0))
+        return F.when(F.lower(text).startswith("upi://"), F.array(F.regexp_replace(F.regexp_extract(text, r"^\S+", 0), r"[.,;:!?)\]}>\"']+$", ""))).when(F.size(found) > 0, found).otherwise(alone)
+
+    links = urls.let(F.trim(urls.sanitize(F.coalesce(raw, F.lit("")), tlds)), of)
+    return F.filter(links, lambda u: F.lower(u).startswith("upi://") | urls.looks_like_url(u, tlds))
+
+
+def annotation_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
+    """Links of the annotations and form fields of pages (annots, fields); they count as hyperlinks."""
+    held = meta.annotation_payloads(F.col("annots"), F.col("fields"))
+    links = F.flatten(F.transform(held, lambda h: admitted(h, tlds)))
+    return pages.select(*PAGE, F.posexplode(links).alias("ord", "url")).select(*PAGE, F.lit("annotation").alias("source"), "ord", "url")
+
+
 def payload_occurrences(payloads: DataFrame) -> DataFrame:
     """Decoded codes (PAGE, ord, payload), kept as they are, links or not."""
     return payloads.where(F.trim("payload") != "").select(*PAGE, F.lit("qr").alias("source"), "ord", F.trim("payload").alias("url"))
@@ -95,7 +115,11 @@ def locate(rows: DataFrame, pages: DataFrame) -> DataFrame:
     span = F.try_element_at(F.filter("spans", lambda s: F.contains(F.lower(s["text"]), urls.link_key(F.col("url")))), (F.col("k") + 1).cast("int"))
     own = own.withColumn("__span", span)
     place = meta.location_class(F.col("__span.y0"), F.col("__span.y1"), F.col("height"))
-    return own.withColumn("location", F.when(F.col("__span").isNull(), "body").otherwise(place)).withColumn("font_size", F.col("__span.size")).drop("__span", "k", "height", "spans")
+    # a link that is set in pieces has the smallest size of the page's spans
+    pieces = F.replace(F.lower(F.array_join(F.transform("spans", lambda s: s["text"]), "")), F.lit(" "), F.lit(""))
+    smallest = F.when(F.contains(pieces, F.replace(urls.link_key(F.col("url")), F.lit(" "), F.lit(""))), F.array_min(F.filter(F.transform("spans", lambda s: s["size"]), lambda x: x > 0)))
+    size = F.when(F.col("__span").isNull(), smallest).otherwise(F.col("__span.size"))
+    return own.withColumn("location", F.when(F.col("__span").isNull(), "body").otherwise(place)).withColumn("font_size", size).drop("__span", "k", "height", "spans")
 
 
 def join_spans(spans: DataFrame) -> DataFrame:
@@ -133,6 +157,11 @@ def with_file_meta(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, *others: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """The whole extraction of pages (PAGE, page_text, uris): PAGE, seq, source, url."""
+    """The whole extraction of pages (PAGE, page_text, uris): PAGE, seq, source, url.
+
+    Links of the pages themselves come clean already, and cleaning a clean link changes nothing, so the last filter is
+    for the rows of others.
+    """
     every = union_occurrences(hyperlink_occurrences(pages, tlds), text_occurrences(pages, tlds), *others)
-    return keep_final(drop_embedded_hosts(cap_occurrences(every), pages), tlds)
+    found = drop_embedded_hosts(cap_occurrences(every), pages)
+    return keep_final(found, tlds) if others else found

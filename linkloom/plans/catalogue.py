@@ -417,12 +417,13 @@ def run_length(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
-@query(f"""WITH {RUNS}, five AS (SELECT *, length AS n0, lead(length, 1) OVER w AS n1, lead(length, 2) OVER w AS n2, lead(length, 3) OVER w AS n3, lead(length, 4) OVER w AS n4 FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run)),
-u AS (SELECT *, (n0 + n1 + n2 + n3 + n4) / 7.0 AS unit FROM five)
-SELECT user_id, start + n0 + n1 + n2 / 2.0 AS centre, unit::DOUBLE AS unit FROM u WHERE bit = 1 AND n4 IS NOT NULL AND abs(n0 - unit) <= 0.5 * unit AND abs(n1 - unit) <= 0.5 * unit
-  AND abs(n2 - 3 * unit) <= 1.5 * unit AND abs(n3 - unit) <= 0.5 * unit AND abs(n4 - unit) <= 0.5 * unit""")
+@query(f"""WITH {RUNS}, five AS (SELECT *, length AS n0, lead(length, 1) OVER w AS n1, lead(length, 2) OVER w AS n2, lead(length, 3) OVER w AS n3, lead(length, 4) OVER w AS n4,
+  sum(CASE WHEN bit = 1 THEN length ELSE 0 END) OVER (PARTITION BY user_id) AS dark FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+u AS (SELECT *, n2 / 3.0::DOUBLE AS unit FROM five WHERE user_id % 2 = 0 AND dark >= 8 AND bit = 1 AND n4 IS NOT NULL AND n2 >= 3)
+SELECT user_id, start + n0 + n1 + n2 / 2.0 AS centre, unit FROM u WHERE unit BETWEEN 1.25 AND 48
+  AND least(n0, n1, n3, n4) >= 0.45 * unit AND greatest(n0, n1, n3, n4) <= 1.7 * unit""")
 def finder_ratio(spark, sf_dir):
-    return codes.finder_centres(_runs(spark, sf_dir), ["user_id"])
+    return codes.finder_centres(_runs(spark, sf_dir), "user_id")
 
 
 _WORDS = ", ".join(f"'{w}'" for w in lex.TEXT_WORDS)

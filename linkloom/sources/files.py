@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES, MAX_FILES = 50 << 20, 25
@@ -11,8 +11,8 @@ MAX_BYTES, MAX_FILES = 50 << 20, 25
 def discover(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Files under a folder with the suffix, in the order of their paths: file_idx, file_name, path, length. Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
-    # one row per file, so the names of even a very large folder are few beside its contents
-    return found.dropDuplicates(["path"]).withColumn("file_idx", F.row_number().over(Window.orderBy("path")) - 1).withColumn("file_name", F.substring_index("path", "/", -1))
+    # sorted by ranges, so numbers grow with the paths and no task sees all of them; between partitions they leave gaps
+    return found.dropDuplicates(["path"]).orderBy("path").withColumn("file_idx", F.monotonically_increasing_id()).withColumn("file_name", F.substring_index("path", "/", -1))
 
 
 def upload_reason(name: Column, length: Column, position: Column) -> Column:
@@ -23,6 +23,17 @@ def upload_reason(name: Column, length: Column, position: Column) -> Column:
     )
 
 
+def admit_uploads(offered: DataFrame) -> DataFrame:
+    """Files as a client offers them (ord, name, kind, size): PDFs of a size that is taken, one of each name and size, the first; with the reason where one is refused."""
+    reason = (
+        F.when(~(F.lower("name").endswith(".pdf") | (F.col("kind") == "application/pdf")), F.concat("name", F.lit(" is not a PDF.")))
+        .when(F.col("size") > MAX_BYTES, F.concat("name", F.lit(" is larger than 50 MB.")))
+    )
+    judged = offered.withColumn("reason", reason)
+    first = judged.where("reason is null").groupBy("name", "size").agg(F.min_by(F.struct("ord", "kind", "reason"), "ord").alias("x")).select("x.ord", "name", "x.kind", "size", "x.reason")
+    return first.unionByName(judged.where("reason is not null").select("ord", "name", "kind", "size", "reason"))
+
+
 #: Named entities that links or their surroundings need. Every other one becomes U+FFFD, which is neither a blank nor part of a host.
 ENTITIES = {" ": "nbsp|ensp|emsp|thinsp", ".": "period", "/": "sol", ":": "colon", "@": "commat", "<": "lt|LT", ">": "gt|GT", '"': "quot|QUOT", "'": "apos", "": "shy"}
 #: What a page does not show; a part that is never closed reaches to the page's end.
