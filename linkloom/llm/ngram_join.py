@@ -34,9 +34,11 @@ SHINGLE, PERCENT = 5, 75
 TOKEN_GROUP = 16
 ENTRIES_PER_BUCKET = 1_000_000
 #: Shingles that a task meets in so many texts are counted; how common a shingle is, is told by so many cells.
-OFTEN, CELL_BITS = 32, 20
+OFTEN, CELL_BITS = 3, 22
 #: Members of a run are compared in blocks of about this size.
 RUN_BLOCK = 1500
+#: Pairs of 16 bytes that every task may hold.
+BROADCAST_PAIRS = 2_000_000
 MEMORY_WORDS, MEMORY_KEYS, MEMORY_SHINGLES = 300_000, 500_000, 2_000_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _words: dict[bytes, int] = {}
@@ -122,8 +124,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bits_of(tokens: np.ndarray, group: int) -> np.ndarray:
-    """Parity of the shingles that fall on each bit, about one bit a shingle."""
-    words = -(-largest(group) // 64)
+    """Parity of the shingles that fall on each of about four bits a shingle."""
+    words = -(-4 * largest(group) // 64)
     at = (tokens & np.uint64(0xFFFFFFFF)) * np.uint64(64 * words) >> np.uint64(32)
     odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
@@ -158,7 +160,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _levels(often: DataFrame) -> np.ndarray:
     """How common the shingles of each cell are at most, as a power of two; 2**CELL_BITS bytes, however many shingles there are."""
     cell = F.shiftrightunsigned("k1", 64 - CELL_BITS)
-    total = often.groupBy("k1").agg(F.sum(-F.col("n_shingles")).alias("n")).groupBy(cell.alias("cell")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")).toArrow()
+    total = often.groupBy("k1").agg(F.sum(-F.col("n_shingles")).alias("n")).groupBy(cell.cast("int").alias("cell")).agg(F.floor(F.log2(F.max("n"))).cast("tinyint").alias("level")).toArrow()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
     levels[total.column("cell").to_numpy()] = np.minimum(total.column("level").to_numpy(), 60)
     return levels
@@ -259,9 +261,10 @@ def _verifier(percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are linked."""
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
+    """The pairs (a, b) of nodes that are linked. Up to BROADCAST_PAIRS they go to the texts; beyond, both are dealt out by node."""
+    near = F.broadcast(pairs) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else pairs
+    of = lambda c: texts.join(near, F.col("node") == F.col(c)).select("a", "b", F.col("text").alias(f"text_{c}"))
+    return of("a").join(of("b"), ["a", "b"]).select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
