@@ -3,47 +3,141 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BOOK, SHEET = 50_000, "QR Results"
+# The sheet's columns, widths and colours (fill, letters).
+FILE_COLUMNS = ("Filename", "Filename Date", "Last 4 Digits", "Client ID", "Form Type")
+WIDTHS = {"Filename": 42, "Filename Date": 16, "Last 4 Digits": 16, "Client ID": 14, "Form Type": 14, "Page Number": 14, "Source": 12, "QR Code Attachment": 20, "URL": 54, "Status": 36}
+PICTURES, GOOD, BAD = "QR Code Attachment", ("C6EFCE", "006100"), ("FFC7CE", "9C0006")
+#: Columns that stay in the sheet though rows are ordered by them.
+SHOWN = ("Page Number",)
 KIND = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/package/2006/relationships"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 
 
-def book_bytes(columns: list[str], rows: list[tuple]) -> bytes:
-    """A workbook of one sheet; all cells are text, so that leading zeros stay."""
-    cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
-    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [columns, *rows])
-    sheet = f'{HEAD}<worksheet xmlns="{KIND}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData></worksheet>'
-    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts = {
-        "[Content_Types].xml": f'{HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'{HEAD}<Relationships xmlns="{LINKS}"><Relationship Id="r1" Type="{OFFICE}/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+def _runs(rows: list[tuple], k: int) -> list[tuple[int, int]]:
+    """First and last row of each run of equal, non-empty values of a column, of two rows or more."""
+    out, start = [], 0
+    for n in range(1, len(rows) + 1):
+        if n == len(rows) or rows[n][k] != rows[start][k]:
+            if n - start > 1 and rows[start][k]:
+                out.append((start, n - 1))
+            start = n
+    return out
+
+
+def _letter(k: int) -> str:
+    return chr(65 + k) if k < 26 else _letter(k // 26 - 1) + chr(65 + k % 26)
+
+
+def _styles() -> str:
+    """Cell styles: 0 plain, 1 text, 2 a working link, 3 a failed one, 4 text of merged cells."""
+    font = lambda colour: f'<font><b/><sz val="11"/><color rgb="FF{colour}"/><name val="Calibri"/></font>'
+    fill = lambda colour: f'<fill><patternFill patternType="solid"><fgColor rgb="FF{colour}"/></patternFill></fill>'
+    plain = '<font><sz val="11"/><name val="Calibri"/></font>'
+    cells = ["", 'numFmtId="49" applyNumberFormat="1"', 'fontId="1" fillId="2" applyFont="1" applyFill="1"', 'fontId="2" fillId="3" applyFont="1" applyFill="1"']
+    align = '<xf xfId="0" numFmtId="49" applyNumberFormat="1" applyAlignment="1"><alignment horizontal="left" vertical="center"/></xf>'
+    fills = f'<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill(GOOD[0])}{fill(BAD[0])}'
+    body = f'<fonts count="3">{plain}{font(GOOD[1])}{font(BAD[1])}</fonts><fills count="4">{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
+    return f'{HEAD}<styleSheet xmlns="{KIND}">{body}<cellXfs count="5">{"".join(f"<xf xfId=\"0\" {c}/>" for c in cells)}{align}</cellXfs></styleSheet>'
+
+
+def _drawing(pictures: list[tuple[int, int]]) -> str:
+    """Pictures (row, number) of 72 by 72 points of a screen, each at its row's cell of the picture column."""
+    anchor = (
+        '<xdr:oneCellAnchor><xdr:from><xdr:col>{col}</xdr:col><xdr:colOff>0</xdr:colOff><xdr:row>{row}</xdr:row><xdr:rowOff>0</xdr:rowOff></xdr:from><xdr:ext cx="685800" cy="685800"/>'
+        '<xdr:pic><xdr:nvPicPr><xdr:cNvPr id="{n}" name="code {n}"/><xdr:cNvPicPr/></xdr:nvPicPr><xdr:blipFill><a:blip r:embed="p{n}"/><a:stretch><a:fillRect/></a:stretch></xdr:blipFill>'
+        '<xdr:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="685800" cy="685800"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></xdr:spPr></xdr:pic><xdr:clientData/></xdr:oneCellAnchor>'
+    )
+    kinds = 'xmlns:xdr="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    return f'{HEAD}<xdr:wsDr {kinds} xmlns:r="{OFFICE}/relationships">{"".join(anchor.format(col=c, row=r, n=n) for n, (r, c) in enumerate(pictures, 1))}</xdr:wsDr>'
+
+
+def book_bytes(columns: list[str], rows: list[tuple], pictures: list[bytes | None] | None = None) -> bytes:
+    """A workbook of one sheet; all cells are text, so that leading zeros stay.
+
+    The columns of a file are merged over its rows, a status is green or red, the header stays in sight and filters the
+    rows, and a row's picture stands in the picture column.
+    """
+    text_of = lambda v: "" if v is None else str(v)
+    style, merges = [[1 if c in FILE_COLUMNS else 0 for c in columns] for _ in rows], []
+    name, status = (columns.index(c) if c in columns else None for c in ("Filename", "Status"))
+    if status is not None:
+        for k, r in enumerate(rows):
+            style[k][status] = 2 if text_of(r[status]).strip() == "Working" else 3 if text_of(r[status]).strip() else 0
+    blank = set()
+    for a, b in _runs(rows, name) if name is not None else ():
+        for c in (columns.index(x) for x in FILE_COLUMNS if x in columns):
+            merges.append(f"{_letter(c)}{a + 2}:{_letter(c)}{b + 2}")
+            blank |= {(k, c) for k in range(a + 1, b + 1)}
+            style[a][c] = 4
+    placed = [(k + 1, columns.index(PICTURES)) for k, p in enumerate(pictures or ()) if p and PICTURES in columns]
+    tall = {r for r, _ in placed}
+    cell = lambda v, s=0: f'<c s="{s}" t="inlineStr"><is><t xml:space="preserve">{escape(text_of(v))}</t></is></c>'
+    lines = ["<row>" + "".join(map(cell, columns)) + "</row>"]
+    for k, r in enumerate(rows):
+        lines.append(("<row ht=\"58\" customHeight=\"1\">" if k + 1 in tall else "<row>") + "".join(cell("" if (k, c) in blank else v, style[k][c]) for c, v in enumerate(r)) + "</row>")
+    widths = "".join(f'<col min="{k}" max="{k}" width="{16 if c == PICTURES and placed else WIDTHS[c]}" customWidth="1"/>' for k, c in enumerate(columns, 1) if c in WIDTHS)
+    view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
+    after = f'<autoFilter ref="A1:{_letter(len(columns) - 1)}{len(rows) + 1}"/>' + (f'<mergeCells count="{len(merges)}">{"".join(f"<mergeCell ref=\"{m}\"/>" for m in merges)}</mergeCells>' if merges else "") + ('<drawing r:id="d1"/>' if placed else "")
+    sheet = f'{HEAD}<worksheet xmlns="{KIND}" xmlns:r="{OFFICE}/relationships">{view}{f"<cols>{widths}</cols>" if widths else ""}<sheetData>{"".join(lines)}</sheetData>{after}</worksheet>'
+    types = "application/vnd.openxmlformats-officedocument"
+    over = lambda part, kind: f'<Override PartName="/xl/{part}" ContentType="{types}.{kind}+xml"/>'
+    related = lambda *x: f'{HEAD}<Relationships xmlns="{LINKS}">{"".join(f"<Relationship Id=\"{i}\" Type=\"{OFFICE}/relationships/{t}\" Target=\"{to}\"/>" for i, t, to in x)}</Relationships>'
+    drawn = over("drawings/drawing1.xml", "drawing") if placed else ""
+    parts: dict[str, str | bytes] = {
+        "[Content_Types].xml": f'{HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="png" ContentType="image/png"/>{over("workbook.xml", "spreadsheetml.sheet.main")}{over("worksheets/sheet1.xml", "spreadsheetml.worksheet")}{over("styles.xml", "spreadsheetml.styles")}{drawn}</Types>',
+        "_rels/.rels": related(("r1", "officeDocument", "xl/workbook.xml")),
         "xl/workbook.xml": f'{HEAD}<workbook xmlns="{KIND}" xmlns:r="{OFFICE}/relationships"><sheets><sheet name="{SHEET}" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'{HEAD}<Relationships xmlns="{LINKS}"><Relationship Id="r1" Type="{OFFICE}/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": related(("r1", "worksheet", "worksheets/sheet1.xml"), ("r2", "styles", "styles.xml")),
+        "xl/styles.xml": _styles(),
         "xl/worksheets/sheet1.xml": sheet,
     }
+    if placed:
+        held = [p for p in pictures if p]
+        parts |= {"xl/worksheets/_rels/sheet1.xml.rels": related(("d1", "drawing", "../drawings/drawing1.xml")), "xl/drawings/drawing1.xml": _drawing(placed)}
+        parts["xl/drawings/_rels/drawing1.xml.rels"] = related(*((f"p{n}", "image", f"../media/p{n}.png") for n in range(1, len(held) + 1)))
+        parts |= {f"xl/media/p{n}.png": p for n, p in enumerate(held, 1)}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name), text)
+        for part, content in parts.items():
+            z.writestr(zipfile.ZipInfo(part), content)
     return out.getvalue()
 
 
-def workbooks(results: DataFrame, by: str, order: list[str], rows_per_book: int = ROWS_PER_BOOK) -> DataFrame:
-    """by, part, n_rows, content: a workbook for each value of by, in parts of at most rows_per_book rows."""
-    columns = [c for c in results.columns if c not in order or c == by]
+def png_bytes(pixels: np.ndarray, most: int = 200) -> bytes:
+    """A picture, grey (height, width) or coloured (height, width, 3), as PNG; a larger one is made smaller by means of whole blocks."""
+    if not pixels.size:
+        return b""
+    n = -(-max(pixels.shape[:2]) // most)
+    h, w = pixels.shape[0] // n * n, pixels.shape[1] // n * n
+    if n > 1 and h and w:
+        pixels = pixels[:h, :w].reshape(h // n, n, w // n, n, *pixels.shape[2:]).mean(axis=(1, 3)).round()
+    pixels = pixels.astype(np.uint8)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\x00" + row.tobytes() for row in pixels)
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def workbooks(results: DataFrame, by: str, order: list[str], rows_per_book: int = ROWS_PER_BOOK, picture_col: str | None = None) -> DataFrame:
+    """by, part, n_rows, content: a workbook for each value of by, in parts of at most rows_per_book rows; picture_col holds a row's PNG."""
+    columns = [c for c in results.columns if (c not in order or c in (by, *SHOWN)) and c != picture_col]
     numbered = results.withColumn("__part", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / rows_per_book))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "part": [int(pdf["__part"].iloc[0])], "n_rows": [len(pdf)], "content": [book_bytes(columns, list(pdf[columns].itertuples(index=False, name=None)))]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "part": [int(pdf["__part"].iloc[0])], "n_rows": [len(pdf)], "content": [book_bytes(columns, list(pdf[columns].itertuples(index=False, name=None)), list(pdf[picture_col]) if picture_col else None)]})
 
     return numbered.groupBy(by, "__part").applyInPandas(write, f"`{by}` {results.schema[by].dataType.simpleString()}, part int, n_rows int, content binary")

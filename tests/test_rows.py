@@ -1,5 +1,9 @@
 """Row algebra, status and report on small fixtures."""
 
+import re
+import struct
+from xml.etree import ElementTree
+import numpy as np
 import io
 import zipfile
 
@@ -106,3 +110,21 @@ def test_stream_of_pages(spark, sf_dir, tmp_path):
     q = stream.writeStream.format("memory").queryName("links").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.source: r.n_urls for r in spark.table("links").collect()} == {"hyperlink": 38, "text": 50}
+
+
+def test_sheet_is_merged_coloured_and_holds_pictures():
+    picture = workbook.png_bytes(np.full((401, 300, 3), 7, np.uint8))
+    assert struct.unpack(">II", picture[16:24]) == (100, 133)
+    columns = ["Filename", "Client ID", "QR Code Attachment", "URL", "Status"]
+    rows = [("a.pdf", "0012", "", "x.com", "Working"), ("a.pdf", "0012", "", "<y>", "Not Working- error 404"), ("b.pdf", "0013", "", "z.com", "")]
+    with zipfile.ZipFile(io.BytesIO(workbook.book_bytes(columns, rows, [None, picture, None]))) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    for name, content in parts.items():
+        if not name.endswith(".png"):
+            ElementTree.fromstring(content)
+    assert parts["xl/media/p1.png"] == picture
+    sheet = parts["xl/worksheets/sheet1.xml"].decode()
+    assert re.findall('<mergeCell ref="(.*?)"', sheet) == ["A2:A3", "B2:B3"]
+    assert '<autoFilter ref="A1:E4"/>' in sheet and sheet.count('s="2"') == sheet.count('s="3"') == 1
+    assert sheet.count(">a.pdf<") == 1 and ">0012<" in sheet and ">&lt;y&gt;<" in sheet
+    assert b"<xdr:row>2</xdr:row>" in parts["xl/drawings/drawing1.xml"] and b"<xdr:col>2</xdr:col>" in parts["xl/drawings/drawing1.xml"]
