@@ -9,17 +9,19 @@ through time, on a bounded sample of documents.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import crc_mod, table
+from linkloom.llm.tables import crc_mod, table, unused
 
 HIDDEN, STRETCH = 20, 32
-#: Training reads about so many documents, and at most so many words, of each language.
+#: Training reads about so many documents of each language, and of them about so many words.
 DOCS_PER_LANG, WORDS_PER_LANG = 300, 24_000
 MEMORY_WORDS = 300_000
 NONE = "und"
@@ -85,19 +87,19 @@ class Network:
         logits -= logits.max(axis=2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
 
-    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probabilities of each word's positions, and the number of positions."""
-        stretches, owner = [], []
+        pieces, owner = [], []
         for k, w in enumerate(words):
-            for s in range(0, max(1, len(w)), STRETCH):
-                stretches.append(w[s : s + STRETCH])
-                owner.append(k)
+            own = stretches(w)
+            pieces += own
+            owner += [k] * len(own)
         total, count = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
-        order = np.argsort([len(s) for s in stretches], kind="stable")
+        order = np.argsort([len(s) for s in pieces], kind="stable")
         owner = np.array(owner)
         for at in range(0, len(order), 2048):
             part = order[at : at + 2048]
-            codes, lengths = padded([stretches[k] for k in part])
+            codes, lengths = padded([pieces[k] for k in part])
             log_p = self.log_probabilities(codes, lengths)
             log_p *= (np.arange(codes.shape[1])[None] < lengths[:, None])[:, :, None]
             np.add.at(total, owner[part], log_p.sum(axis=1))
@@ -165,28 +167,44 @@ def fit(words: list[bytes], labels: np.ndarray, langs: list[str], epochs: int =
     return net
 
 
+def stretches(word: str) -> list[bytes]:
+    """A word's bytes, cut where the network's states start anew."""
+    w = word.encode()
+    return [w[k : k + STRETCH] for k in range(0, max(1, len(w)), STRETCH)]
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, doc_id, place, word) of each stretch of a document's words."""
+    for batch in batches:
+        for lang, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            found = [x for w in WORD.findall(text.lower()) for x in stretches(w)]
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([i] * n, pa.int64()), pa.array(np.arange(n)), pa.array(found, pa.binary())], names=["lang", "doc_id", "place", "word"])
+
+
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> Network:
     """Fit on docs (doc_id, text, lang) whose crc32 of the id, modulo 4, is not 2.
 
-    A language's share of its documents, by the hash of their ids, is such that about docs_per_lang are read.
+    A language's share of its documents, by the hash of their ids, is such that about docs_per_lang are read; of their
+    words, a share such that about words_per_lang reach the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod("doc_id", 4), F.lit(0)) != 2))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return Network.new([NONE])
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, docs_per_lang / counts[k])))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    rows = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in known.where(unit < share[F.col("lang")]).select("doc_id", "lang", "text").collect())
-    random = np.random.default_rng(11)
-    words, labels = [], []
-    for k, lang in enumerate(langs):
-        own = [w.encode()[:STRETCH] for x, _, t in rows if x == lang for w in WORD.findall(t.lower())]
-        if len(own) > words_per_lang:
-            own = [own[j] for j in np.sort(random.choice(len(own), words_per_lang, replace=False))]
-        words += own
-        labels += [k] * len(own)
-    return fit(words, np.array(labels), langs) if words else Network.new(langs)
+
+    def part(share: dict[str, float], *by: str):
+        shares = F.create_map(*(F.lit(x) for k in sorted(share) for x in (k, share[k])))
+        return F.pmod(F.xxhash64(*by), F.lit(1 << 20)) / (1 << 20) < F.coalesce(shares[F.col("lang")], F.lit(0.0))
+
+    sample = known.where(part({k: docs_per_lang / n for k, n in counts.items()}, "doc_id")).select("lang", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text")
+    words = sample.mapInArrow(_words, "lang string, doc_id long, place long, word binary")
+    n_words = {r["lang"]: r["count"] for r in words.groupBy("lang").count().collect()}
+    if not n_words:
+        return Network.new(langs)
+    rows = sorted((r["lang"], r["doc_id"], r["place"], bytes(r["word"])) for r in words.where(part({k: words_per_lang / n for k, n in n_words.items()}, "doc_id", "place")).collect())
+    return fit([r[3] for r in rows], np.array([langs.index(r[0]) for r in rows]), langs) if rows else Network.new(langs)
 
 
 class Pool:
@@ -206,7 +224,7 @@ class Pool:
         if len(self.at) > MEMORY_WORDS:
             self.clear()
         if new := list(set().union(*found).difference(self.at)):
-            total, count = self.net.word_scores([w.encode() for w in new])
+            total, count = self.net.word_scores(new)
             count *= [w.isalpha() or any(map(str.isalpha, w)) for w in new]
             total *= count[:, None] > 0
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
@@ -225,7 +243,8 @@ class Pool:
 def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, the pooled probability of that language, from the whole text.
 
-    Defined cases: a null text, or one without a letter, is `und` with score 0; rows that repeat get the same result;
+    Defined cases: a null text, or one without a letter, is `und` with score 0; a text of any length is read whole; ids
+    are not read, so null and repeated ones change nothing; rows that repeat get the same result;
     of equal probabilities the language that sorts first wins; an empty table gives an empty table. Other columns pass
     through, whatever their names; lang_pred and score replace columns of those names.
     """
@@ -250,8 +269,9 @@ def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", te
                 size += len(rows[k] or "")
         return pd.DataFrame({"lang": langs, "score": values})
 
-    out = docs.withColumn("__label", label(F.col(f"`{text_col}`")))
-    return out.withColumn("lang_pred", F.col("__label.lang")).withColumn("score", F.col("__label.score")).drop("__label")
+    name = unused("label", docs)
+    out = docs.withColumn(name, label(F.col(f"`{text_col}`")))
+    return out.withColumn("lang_pred", F.col(f"{name}.lang")).withColumn("score", F.col(f"{name}.score")).drop(name)
 
 
 def op1_language_id(spark, sf_dir):
