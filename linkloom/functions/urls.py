@@ -58,6 +58,9 @@ def clean(url: Column, tlds: tuple[str, ...] = ()) -> Column:
     pairs = lex.one_of(lex.MULTI_PART_TLDS)
 
     def once(u: Column) -> Column:
+        # a port that is no number goes, and a query before the path comes after it
+        u = F.regexp_replace(u, r"(?i)^(?!(?:mailto|javascript|tel|upi):)((?:(?:https?|ftp)://)?+[^/?#:]+):(?!\d+(?:[/?#]|$))[^/?#]*", "$1")
+        u = F.regexp_replace(u, r"(?i)^((?:(?:https?|ftp)://)?+[^/?#]*)(\?[^/]*|#[^/?]*)(/.*)$", "$1$3$2")
         u = F.regexp_replace(u, r"^([^?#]*?)(?:[.,]\d+%?)+$", "$1")
         u = F.regexp_replace(u, r"[.,;:!?)\]}>\"']+$", "")
         u = F.regexp_replace(u, rf"\.+/{spoken}/?$", "")

@@ -41,6 +41,12 @@ def test_extracted_links(spark):
     assert got == FOUND
 
 
+def test_ports_and_queries_before_the_path(spark):
+    cases = {"acme.com?x=/y": "acme.com/y?x=", "https://acme.com:80/x": "https://acme.com:80/x", "https://acme.com:pay/x": "https://acme.com/x", "acme.com#a/b": "acme.com/b#a", "mailto:a@b.com": "mailto:a@b.com", "https://acme.com/x?u=http://b.org:a/c": "https://acme.com/x?u=http://b.org:a/c"}
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.c for r in df.select("u", urls.clean(F.col("u")).alias("c")).collect()} == cases
+
+
 def test_null_text_has_no_links(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(F.explode(urls.extract_urls(F.col("t")))).count() == 0

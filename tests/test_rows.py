@@ -1,14 +1,15 @@
 """Row algebra, status and report on small fixtures."""
 
+import io
 import re
 import struct
-from xml.etree import ElementTree
-import numpy as np
-import io
 import zipfile
+from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from linkloom.__main__ import main
 from linkloom.operators import report, rows, status
 from linkloom.sources import files, workbook
 from linkloom.streaming import progress
@@ -43,7 +44,7 @@ def test_places_of_links(spark):
     span = "array<struct<text:string,size:double,x0:double,y0:double,x1:double,y1:double>>"
     pages = spark.createDataFrame([(0, 1, 100.0, [("go a.com", 9.0, 0.0, 1.0, 5.0, 9.0), ("x", 8.0, 0.0, 50.0, 5.0, 60.0), ("A.com", 7.0, 0.0, 90.0, 5.0, 99.0)])], f"file_idx int, page_number int, height double, spans {span}")
     got = rows.locate(made(spark, ("a.com", "text"), ("a.com", "text"), ("a.com", "text")), pages).orderBy("seq").collect()
-    assert [(r.location, r.font_size) for r in got] == [("header", 9.0), ("footer", 7.0), ("body", None)]
+    assert [(r.location, r.font_size) for r in got] == [("header", 9.0), ("footer", 7.0), ("body", 7.0)]
 
 
 PROBES = [
@@ -128,3 +129,13 @@ def test_sheet_is_merged_coloured_and_holds_pictures():
     assert '<autoFilter ref="A1:E4"/>' in sheet and sheet.count('s="2"') == sheet.count('s="3"') == 1
     assert sheet.count(">a.pdf<") == 1 and ">0012<" in sheet and ">&lt;y&gt;<" in sheet
     assert b"<xdr:row>2</xdr:row>" in parts["xl/drawings/drawing1.xml"] and b"<xdr:col>2</xdr:col>" in parts["xl/drawings/drawing1.xml"]
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    main([f"{sf_dir}/pages.parquet", str(tmp_path / "out")])
+    said = capsys.readouterr().out.splitlines()
+    assert said[-1].endswith("site(s), 0 working") and " URL(s) across " in said[0]
+    links = spark.read.parquet(str(tmp_path / "out/links"))
+    assert said[-1].startswith(f"{links.count()} URL(s) on {links.select('page_number').distinct().count()} page(s)")
+    books = spark.read.parquet(str(tmp_path / "out/workbooks"))
+    assert books.agg(F.sum("n_rows")).first()[0] == links.count()
