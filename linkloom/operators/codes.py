@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,26 +42,50 @@ def cells_of(marks: DataFrame, page: list[str], side: float = 10.0) -> DataFrame
     return marks.select(*page, F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).distinct()
 
 
+def _components(cells: set[tuple[int, int]], least: int) -> list[tuple[int, ...]]:
+    """Cells and corners of the 8-neighbour components, in the order of their first cells."""
+    left, out = set(cells), []
+    for start in sorted(cells):
+        if start not in left:
+            continue
+        left.discard(start)
+        group, todo = [start], [start]
+        while todo:
+            x, y = todo.pop()
+            near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+            group += near
+        if len(group) >= least:
+            xs, ys = zip(*group, strict=True)
+            out.append((len(group), min(xs), min(ys), max(xs), max(ys)))
+    return out
+
+
 def grid_components(cells: DataFrame, page: str, least: int = 1) -> DataFrame:
-    """8-neighbour components of a page's cells: page, component, cells and corners. A page is one group of bounded size: its grid."""
-
-    def components(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, rows, n = set(zip(pdf.cx, pdf.cy, strict=True)), [], 0
-        for start in sorted(left):
-            if start not in left:
-                continue
-            left.discard(start)
-            group, todo = [start], [start]
-            while todo:
-                x, y = todo.pop()
-                near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
-                left -= near
-                todo += near
-                group += near
-            if len(group) >= least:
-                xs, ys = [g[0] for g in group], [g[1] for g in group]
-                rows.append((pdf[page].iloc[0], n, len(group), min(xs), min(ys), max(xs), max(ys)))
-                n += 1
-        return pd.DataFrame(rows, columns=[page, "component", "n_cells", "x0", "y0", "x1", "y1"])
-
-    return cells.groupBy(page).applyInPandas(components, f"{page} {cells.schema[page].dataType.simpleString()}, component int, n_cells int, x0 long, y0 long, x1 long, y1 long")
+    """8-neighbour components of a page's cells: page, component, cells and corners. A page is one group of bounded size: its grid.
+
+    Pages come sorted and many are done at once, as most are small.
+    """
+    names = [page, "component", "n_cells", "x0", "y0", "x1", "y1"]
+    kind = cells.schema[page].dataType.simpleString()
+
+    def components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+            out = [(p, k, *c) for p, group in groupby(rows, key=lambda r: r[0]) for k, c in enumerate(_components({r[1:] for r in group}, least))]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        held, types = [], None
+        for batch in batches:
+            types = [batch.column(0).type, pa.int32(), pa.int32(), *[pa.int64()] * 4]
+            held += zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            last = next((k for k in range(len(held) - 1, -1, -1) if held[k][0] != held[-1][0]), -1) + 1
+            if last:
+                yield done(held[:last], types)
+                held = held[last:]
+        if held:
+            yield done(held, types)
+
+    own = cells.select(page, F.col("cx").cast("long"), F.col("cy").cast("long")).repartition(page).sortWithinPartitions(page)
+    return own.mapInArrow(components, f"{page} {kind}, component int, n_cells int, x0 long, y0 long, x1 long, y1 long")

@@ -57,31 +57,38 @@ def url_host_tld(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", F.lower(host).alias("host"), urls.tld_of(host).alias("tld"), urls.path_of(F.col("url")).alias("path"))
 
 
-def _extracted(spark, sf_dir, before, after, where):
+def _extracted(spark, sf_dir, before, after=""):
     text = F.concat(F.lit(before), F.col("url"), F.lit(after))
-    return pages_of(spark, sf_dir).where(where).select("page_id", F.explode(urls.extract_urls(text)).alias("x")).select("page_id", F.col("x.url").alias("url"), F.col("x.start").alias("start"))
+    return pages_of(spark, sf_dir).select("page_id", F.explode(urls.extract_urls(text)).alias("x")).select("page_id", F.col("x.url").alias("url"), F.col("x.start").alias("start"))
 
 
-@query(f"SELECT page_id, url, 6 AS start FROM pages WHERE {NO_BLOG}")
+#: A host that begins with blog. loses it, as that is a top-level domain, unless another one follows.
+SPLIT = "split AS (SELECT page_id, url, url LIKE '%://blog.%' AND regexp_extract(url, '://blog\\.([A-Za-z0-9]+)', 1) NOT IN ({}) AS cut, length(regexp_extract(url, '^[a-z]+://', 0)) AS n, regexp_replace(url, '^[a-z]+://blog\\.', '') AS rest FROM pages)".format(
+    ", ".join(f"'{t}'" for t in sorted(lex.TLDS))
+)
+
+
+@query(f"WITH {SPLIT} SELECT page_id, CASE WHEN cut THEN rest ELSE url END AS url, CASE WHEN cut THEN n + 12 ELSE 6 END::INT AS start FROM split")
 def extract_text_urls(spark, sf_dir):
-    return _extracted(spark, sf_dir, "Visit ", "", NO_BLOG)
+    return _extracted(spark, sf_dir, "Visit ")
 
 
-@query("SELECT page_id, regexp_replace(url, '^[a-z]+://blog\\.', '') AS url, length(regexp_extract(url, '^[a-z]+://', 0)) + 10 AS start FROM pages WHERE url LIKE '%://blog.%' AND NOT regexp_matches(url, '://blog\\.[a-z]+-')")
+@query(f"WITH {SPLIT} SELECT page_id, CASE WHEN cut THEN rest ELSE url END AS url, CASE WHEN cut THEN n + 10 ELSE 4 END::INT AS start FROM split")
 def extract_split_hosts(spark, sf_dir):
-    return _extracted(spark, sf_dir, "See ", "", "url LIKE '%://blog.%' AND NOT url RLIKE '://blog[.][a-z]+-'")
+    return _extracted(spark, sf_dir, "See ")
 
 
-@query(f"SELECT page_id, url || 'now' AS url, 4 AS start FROM pages WHERE {NO_BLOG} AND url LIKE '%/'")
+@query(f"WITH {SPLIT} SELECT page_id, CASE WHEN cut THEN rest ELSE url END || CASE WHEN url LIKE '%/' THEN 'now' ELSE '' END AS url, CASE WHEN cut THEN n + 10 ELSE 4 END::INT AS start FROM split")
 def extract_slash_glue(spark, sf_dir):
-    return _extracted(spark, sf_dir, "See ", " now", f"{NO_BLOG} AND url LIKE '%/'")
+    return _extracted(spark, sf_dir, "See ", " now")
 
 
-@query("SELECT lang, count(*) AS n_docs, 0 AS n_mail_hosts FROM documents WHERE text LIKE '%@mail%' GROUP BY lang")
+@query("SELECT lang, count(*) AS n_docs, count_if(text LIKE '%@mail%')::BIGINT AS n_with_mail, 0 AS n_mail_hosts FROM documents GROUP BY lang")
 def email_negative(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text LIKE '%@mail%'")
-    hosts = F.filter(urls.extract_urls(F.col("text")), lambda x: x["url"].rlike(r"(?i)^mail\d+\.example\.com$"))
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(hosts)).cast("int").alias("n_mail_hosts"))
+    """Hosts of e-mail addresses are no links, over all documents."""
+    text = F.coalesce("text", F.lit(""))
+    hosts = F.filter(urls.extract_urls(text), lambda x: x["url"].rlike(r"(?i)^mail\d+\.example\.com$"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.contains(text, F.lit("@mail"))).alias("n_with_mail"), F.sum(F.size(hosts)).cast("int").alias("n_mail_hosts"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1), '^blog\\.', '') AS url FROM pages")
@@ -160,11 +167,11 @@ def occurrence_cap(spark, sf_dir):
 
 
 @query(f"""WITH r AS (
-  SELECT page_id AS file_idx, 1 AS seq, 'image' AS source, {HOST} AS url FROM pages WHERE {NO_BLOG}
-  UNION ALL SELECT page_id, 2, 'text', regexp_replace(url, '^[a-z]+://', '') FROM pages WHERE {NO_BLOG})
+  SELECT page_id AS file_idx, 1 AS seq, 'image' AS source, {HOST} AS url FROM pages
+  UNION ALL SELECT page_id, 2, 'text', regexp_replace(url, '^[a-z]+://', '') FROM pages)
 SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.file_idx = a.file_idx AND lower(b.url) <> lower(a.url) AND starts_with(lower(b.url), rtrim(lower(a.url), '/') || '/'))""")
 def embedded_host_drop(spark, sf_dir):
-    own = pages_of(spark, sf_dir).where(NO_BLOG).select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    own = pages_of(spark, sf_dir).select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     made = own.select("*", F.lit(1).alias("seq"), F.lit("image").alias("source"), F.substring_index("path", "/", 1).alias("url")).unionByName(own.select("*", F.lit(2).alias("seq"), F.lit("text").alias("source"), F.col("path").alias("url")))
     text = own.select("file_idx", "page_number", F.col("path").alias("page_text"))
     return rows.drop_embedded_hosts(made.drop("path"), text).select("file_idx", "seq", "source", "url")
@@ -331,9 +338,9 @@ def same_file_islands(spark, sf_dir):
     return report.merge_file_cells(orders, "file_name", ["o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey", "island", "shown")
 
 
-@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%.com'")
+@query(f"SELECT page_id, {HOST} AS host FROM pages")
 def ocr_repair(spark, sf_dir):
-    return _repaired(pages_of(spark, sf_dir).where(urls.host_of(F.col("url")).endswith(".com")))
+    return _repaired(pages_of(spark, sf_dir))
 
 
 @query()
@@ -346,9 +353,9 @@ def _repaired(pages):
     return pages.select("page_id", urls.repair_ocr(wrong).alias("host"))
 
 
-@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE {HOST} LIKE '%e%'")
+@query(f"SELECT page_id, {HOST} AS host FROM pages")
 def confusable_snap(spark, sf_dir):
-    return _snapped(pages_of(spark, sf_dir).where(F.contains(urls.host_of(F.col("url")), F.lit("e"))))
+    return _snapped(pages_of(spark, sf_dir))
 
 
 @query()
@@ -384,12 +391,14 @@ def rect_coverage(spark, sf_dir):
     return lines.join(other, "l_orderkey").where((F.col("l_linenumber") < F.col("line_b")) & meta.is_covered(F.col("box"), F.col("box_b"), 0.3)).select("l_orderkey", F.col("l_linenumber").alias("line_a"), "line_b")
 
 
-@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS page, floor((l_partkey % 300) / 10)::BIGINT AS cx, floor((l_quantity * 6) / 10)::BIGINT AS cy FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey AS page, floor((l_partkey % 60) / 10)::BIGINT AS cx, floor(l_quantity / 10)::BIGINT AS cy FROM lineitem),
 reach AS (SELECT page, cx, cy, cx AS ox, cy AS oy FROM c UNION SELECT r.page, n.cx, n.cy, r.ox, r.oy FROM reach r JOIN c n ON n.page = r.page AND abs(n.cx - r.cx) <= 1 AND abs(n.cy - r.cy) <= 1),
 low AS (SELECT page, cx, cy, min((ox, oy)) AS root FROM reach GROUP BY page, cx, cy)
 SELECT page, count(*) AS n_cells, min(cx) AS x0, min(cy) AS y0, max(cx) AS x1, max(cy) AS y1 FROM low GROUP BY page, root""")
 def grid_components(spark, sf_dir):
-    return _components(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+    """A page is an order, and every line leaves a mark on it."""
+    marks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 60).alias("x"), F.col("l_quantity").alias("y"))
+    return _counted_components(marks)
 
 
 @query()
@@ -398,7 +407,10 @@ def grid_components_every_line(spark, sf_dir):
 
 
 def _components(lines):
-    marks = lines.select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 6).alias("y"))
+    return _counted_components(lines.select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 6).alias("y")))
+
+
+def _counted_components(marks):
     return codes.grid_components(codes.cells_of(marks, ["page"]), "page").select("page", F.col("n_cells").cast("long").alias("n_cells"), "x0", "y0", "x1", "y1")
 
 
