@@ -2,9 +2,10 @@
 
 Equal shingle sets are one class from the start. A class's shingles are hashed into the parts of a sketch, and each
 part holds the XOR of its shingles' hashes, so the number of parts in which two sketches differ is at most the size
-of the symmetric difference. Within a band of sizes a pair at the threshold differs in d parts at most, so of any d + 1
-parts, taken in one order that holds for all sets, one must agree in both (pigeonhole). Parts that agree bring pairs
-together, and shingles of the texts themselves decide; no link is missed, whatever the sizes.
+of the symmetric difference. Within a band of sizes a pair at the threshold differs in d parts at most, so of any d + k
+parts, taken in one order that holds for all sets, k must agree in both (pigeonhole). A set whose parts agree with
+others' in fewer has no partner; parts that agree bring the others together, and shingles of the texts themselves
+decide; no link is missed, whatever the sizes.
 
 The order puts rare parts first, so a passage that many documents share is sent only by those that hold little else:
 the first pass over the texts counts the shingles that a task meets often, and a table of fixed size tells how common
@@ -95,18 +96,30 @@ def groups_of(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def spare(differ: int) -> int:
+    """How many parts are sent beyond those that may differ; a pair shares as many as the smaller of its two numbers."""
+    return max(1, differ // 4)
+
+
+def least_shared(n):
+    """The fewest parts that a set of n shingles shares with a linked one, of 3/4 n shingles or more: below spare() of its partner's least d, 2/7 of its size."""
+    return F.greatest(F.lit(1), F.floor(n / 20))
+
+
 def parts_of(tokens: np.ndarray, group: int, differ: int, levels: np.ndarray) -> np.ndarray:
-    """What a sorted set sends to a group: the first differ + 1 parts in the order that all sets share, the group in the last 6 bits of each."""
+    """What a sorted set sends to a group: the first parts in the order that all sets share, the group in the last 6 bits of each."""
+    # with eight parts a shingle nearly all hold one shingle alone, so a set never has too few parts
+    sends = differ + spare(differ)
     top, level = largest(group), levels[tokens >> np.uint64(64 - CELL_BITS)]
     if top <= TOKEN_GROUP:
-        sent = tokens[np.lexsort((tokens, level))[: differ + 1]]
+        sent = tokens[np.lexsort((tokens, level))[:sends]]
     else:
-        part = ((tokens >> np.uint64(32)) * np.array([2 * top], np.uint64)) >> np.uint64(32)
+        part = ((tokens >> np.uint64(32)) * np.array([8 * top], np.uint64)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sent = mix(np.bitwise_xor.reduceat(tokens, starts) + part[starts] * BASE)
         # rare ones first, then those with most shingles
         rank = np.minimum.reduceat(level, starts).astype(np.int64) * 4 - np.minimum(np.diff(np.r_[starts, len(part)]), 4)
-        sent = sent[np.lexsort((sent, rank))[: differ + 1]]
+        sent = sent[np.lexsort((sent, rank))[:sends]]
     sent = mix(sent + np.array([group], np.uint64) * BASE)
     return (sent & ~np.uint64(63)) | np.array([group], np.uint64)
 
@@ -206,7 +219,7 @@ def _sender(buckets: int, levels):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the different sets of classes that share a part: part, the set's own hash, and its members. Rows come sorted by bucket."""
+    """Of each bucket, the different sets of classes that share parts: part (the set's own hash), members, and how many parts. Rows come sorted by bucket."""
 
     def shared(pieces: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = np.concatenate([np.frombuffer(p, np.uint64) for p, _ in pieces])
@@ -219,14 +232,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[starts, len(parts)])
         # a run is told by its members, so two classes that share many parts are one run
         run = np.add.reduceat(mix(classes.view(np.uint64) + BASE), starts) * MIX + (parts[starts] & np.uint64(63))
-        _, one = np.unique(run, return_index=True)
-        one = one[size[one] > 1]
-        keep = np.zeros(len(starts), bool)
-        keep[one] = True
-        run, group, classes = np.repeat(run[keep], size[keep]), np.repeat(parts[starts] & np.uint64(63), size)[np.repeat(keep, size)], classes[np.repeat(keep, size)]
+        _, one, times = np.unique(run, return_index=True, return_counts=True)
+        keep, n_parts = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64)
+        keep[one[size[one] > 1]] = True
+        n_parts[one] = times
+        member = np.repeat(keep, size)
+        run, group, classes, n_parts = np.repeat(run[keep], size[keep]), np.repeat(parts[starts] & np.uint64(63), size)[member], classes[member], np.repeat(n_parts[keep], size[keep])
         for at in range(0, len(run), 100_000):
             part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(run[part].view(np.int64)), pa.array(classes[part]), pa.array(group[part].astype(np.int32))], names=["part", "class", "grp"])
+            yield pa.RecordBatch.from_arrays([pa.array(run[part].view(np.int64)), pa.array(classes[part]), pa.array(group[part].astype(np.int32)), pa.array(n_parts[part])], names=["part", "class", "grp", "n_parts"])
 
     held, last = [], None
     for batch in batches:
@@ -343,14 +357,18 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     rows, real = every.where("n_shingles >= 0"), every.where("n_shingles > 0")
     # a class is a node of its own, whatever the ids of its rows
     classes = real.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"))
-    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+    # nodes are numbered in the order of ids, as the first of a group of near copies often is what the others came from
+    classes = settle(classes.orderBy("first").withColumn("node", F.monotonically_increasing_id()))
 
-    total = classes.agg(F.sum(F.col("n") * 0.6 + 2)).first()[0] or 1
+    total = classes.agg(F.sum(F.col("n") * 0.75 + 2)).first()[0] or 1
     buckets = max(8, math.ceil(total / ENTRIES_PER_BUCKET))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(every.where("n_shingles < 0")))
     sent = own.select("text").where("text is not null").mapInArrow(_sender(buckets, levels), "bucket long, parts binary, classes binary")
-    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int").dropDuplicates(["part", "class"])
-    members = settle(shared.join(classes.select(F.col("k1").alias("class"), "node"), "class").select("part", "grp", "node"))
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "part long, class long, grp int, n_parts long")
+    shared = settle(shared.groupBy("part", "class", "grp").agg(F.sum("n_parts").alias("n_parts")).join(classes.select(F.col("k1").alias("class"), "node", "n"), "class").drop("class"))
+    several = shared.groupBy("node", "grp").agg(F.sum("n_parts").alias("n_parts"), F.first("n").alias("n")).where(F.col("n_parts") >= least_shared(F.col("n"))).select("node", "grp")
+    members = settle(shared.join(several, ["node", "grp"]).select("part", "grp", "node"))
+    forget(shared)
     alive = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash")
     texts = settle(alive.join(own, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "text"))
 
