@@ -1,4 +1,4 @@
-"""Link extraction from text as Column expressions: everything stays in the JVM.
+"""Links in text, as Column expressions: everything stays in the JVM.
 
 Each rule is one regular expression built from the word lists. A dot in running text is decided by the words beside
 it, in the order of the rules: a dot before a top-level domain joins, one after a top-level domain or before a common

@@ -15,7 +15,7 @@ STAGES = ("hyperlink", "text", "annotation", "qr", "image")
 
 
 def text_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """Links of page_text: PAGE, source, ord, url. Pages that cannot hold any never reach the extraction."""
+    """Links of page_text: PAGE, source, ord, url. Pages that cannot hold any are left out before."""
     found = pages.where(urls.may_hold_url(F.col("page_text"))).select(*PAGE, F.posexplode(urls.extract_urls(F.col("page_text"), tlds)).alias("ord", "found"))
     return found.select(*PAGE, F.lit("text").alias("source"), "ord", F.col("found.url").alias("url"))
 
@@ -157,7 +157,7 @@ def with_file_meta(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, *others: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """The whole extraction of pages (PAGE, page_text, uris): PAGE, seq, source, url.
+    """All links of pages (PAGE, page_text, uris): PAGE, seq, source, url.
 
     Links of the pages themselves come clean already, and cleaning a clean link changes nothing, so the last filter is
     for the rows of others.
