@@ -28,7 +28,7 @@ ORDER, BITS = 5, 8
 #: Marks the grams of the second fold.
 FOLD = 1 << 62
 #: Quantiles of the trusted documents' perplexities, in each language, between which a document is kept.
-LOW, HIGH, ACCURACY = 0.002, 0.995, 10_000
+LOW, HIGH, ACCURACY = 0.002, 0.98, 10_000
 #: A language's thresholds lie between its own and those of all, nearer its own the more trusted documents it has; halfway at so many.
 HALFWAY = 50
 #: The model goes to the executors as a whole up to so many n-grams (32 bytes each); beyond, n-grams are joined to it.
