@@ -38,7 +38,7 @@ ENTRIES_PER_BUCKET = 1_000_000
 OFTEN, CELL_BITS = 3, 22
 #: Members of a run are compared in blocks of about this size.
 RUN_BLOCK = 1500
-#: Pairs of 16 bytes that every task may hold.
+#: Rows of 24 bytes, pairs or nodes, that every task may hold.
 BROADCAST_PAIRS = 2_000_000
 MEMORY_WORDS, MEMORY_KEYS, MEMORY_SHINGLES = 300_000, 500_000, 2_000_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -369,8 +369,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     several = shared.groupBy("node", "grp").agg(F.sum("n_parts").alias("n_parts"), F.first("n").alias("n")).where(F.col("n_parts") >= least_shared(F.col("n"))).select("node", "grp")
     members = settle(shared.join(several, ["node", "grp"]).select("part", "grp", "node"))
     forget(shared)
-    alive = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash")
-    texts = settle(alive.join(own, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "text"))
+    alive = settle(members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.text_hash"))
+    alive = F.broadcast(alive) if alive.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else alive
+    found = alive.join(own, ["id", "text_hash"])
+    # texts are dealt out again only where rows repeat, id and text
+    repeats = rows.groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
+    texts = settle((found.dropDuplicates(["id", "text_hash"]) if repeats else found).select("node", "text"))
 
     sketches = settle(texts.mapInArrow(_sketches, "node long, grp int, n long, bits binary"))
     leaders = members.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
@@ -385,8 +389,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     # in a run of two their only pair has been tried
     open_runs = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_members")).where("low < high and n_members > 2").select("part", "n_members")
     open_runs = settle(open_runs)
-    rest = placed.join(open_runs.select("part"), "part").join(sketches, ["node", "grp"]).select("part", "node", "component", "n", "bits")
-    units = _block_pairs(rest, open_runs, RUN_BLOCK).select("part", "i", "j", "node", "component", "n", "bits", "block")
+    # blocks are dealt out by number alone; sketches come to them last
+    units = _block_pairs(placed, open_runs, RUN_BLOCK).join(sketches, ["node", "grp"]).select("part", "i", "j", "node", "component", "n", "bits", "block")
     units = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
     more = units.mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = settle(_verified(settle(more), texts, percent))
