@@ -9,6 +9,7 @@ from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from linkloom.llm.neardup import OP3_SQL, op3_embedding_near_dup
 from linkloom.llm.ngram_join import op5_ngram_jaccard_join
 from linkloom.llm.packing import op8_best_fit_packing
+from linkloom.llm.piece_codec import op12_piece_codec
 from linkloom.llm.quality_lm import op7_quality_classifier
 from linkloom.llm.suffix_dedup import op6_suffix_array_dedup
 from linkloom.llm.toxicity import op4_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_piece_codec": op12_piece_codec,
 }
 ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL}
