@@ -5,6 +5,7 @@ from __future__ import annotations
 from linkloom.llm.decontam import op10_benchmark_decontamination
 from linkloom.llm.html_mincut import op2_main_text
 from linkloom.llm.langid import op1_language_id
+from linkloom.llm.lexical_search import OP13_SQL, op13_lexical_search
 from linkloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from linkloom.llm.neardup import OP3_SQL, op3_embedding_near_dup
 from linkloom.llm.ngram_join import op5_ngram_jaccard_join
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op12_piece_codec": op12_piece_codec,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
