@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linkloom.llm.collocations import OP11_SQL, op11_collocations
 from linkloom.llm.decontam import op10_benchmark_decontamination
 from linkloom.llm.html_mincut import op2_main_text
 from linkloom.llm.langid import op1_language_id
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_piece_codec": op12_piece_codec,
     "op13_lexical_search": op13_lexical_search,
 }
-ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
+ORACLE_SQL = {"op3_embedding_near_dup": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op13_lexical_search": OP13_SQL}
