@@ -73,13 +73,14 @@ class Shard:
         scores[:] = 0
         chosen = None
         while len(at):
-            # every group of impact >= level, of all terms
-            level = falling[np.minimum(at + step, last - 1)].min()
+            # every group of impact >= level, of all terms; half the terms go on by a step or to their ends
+            ahead = falling[np.minimum(at + step, last - 1)]
+            level = np.partition(ahead, len(ahead) // 2)[len(ahead) // 2]
             upto = [lo + np.searchsorted(falling[lo:hi], level, "right") for lo, hi in zip(at.tolist(), last.tolist(), strict=True)]
             own = np.concatenate([np.arange(lo, hi) for lo, hi in zip(at.tolist(), upto, strict=True)])
             np.add.at(scores, self.docs[own], -falling[own])
             at = np.array(upto)
-            at, last, step = at[at < last], last[at < last], 2 * step
+            at, last, step = at[at < last], last[at < last], min(2 * step, len(scores))
             rest = -int(falling[at].sum())
             kth = max(floor, int(np.partition(scores, -k)[-k])) if len(scores) >= k else floor
             if rest < kth and len(chosen := np.flatnonzero(scores + rest >= kth)) <= k:

@@ -82,3 +82,14 @@ def test_stops_before_all_postings_are_read(monkeypatch):
     monkeypatch.setattr(lexical_search.np, "add", type("Add", (), {"at": staticmethod(lambda a, d, v: (taken.append(len(d)), add(a, d, v)))}))
     assert shard.best(np.array([0, 1, 2]), 1, 1) == [(-(9000 + 9000 + 1) * (10**9 // (1000 + 800)), 77)]
     assert sum(taken) <= 3
+
+
+def test_many_terms_in_many_documents():
+    """More terms than a step could double for, each in every document."""
+    r = np.random.default_rng(2)
+    n, terms = 400, 150
+    counts = r.integers(1, 9, (n, terms))
+    weights, m = r.integers(0, 5000, terms), r.integers(10, 400, n)
+    shard = lexical_search.Shard(np.arange(n), m, np.arange(n + 1) * terms, np.tile(np.arange(terms), n), counts.ravel(), weights)
+    whole = (weights * (10**9 * counts // (1000 * counts + 8 * m[:, None]))).sum(axis=1)
+    assert shard.best(np.arange(terms), 10, 1) == sorted((-int(s), d) for d, s in enumerate(whole))[:10]
