@@ -20,7 +20,7 @@ def links(spark: SparkSession, pages: str, probes: str | None = None) -> DataFra
     """Result rows of pages: a site is a file, and its pages are numbered by page_id."""
     own = spark.read.parquet(pages)
     sites = own.select("page_id", F.coalesce(F.nullif(F.lower(urls.host_of(F.col("url"))), F.lit("")), F.lit("unknown")).alias("file_name"))
-    found = rows.extract(files.html_pages(own)).drop("page_number").withColumnRenamed("file_idx", "page_id").join(sites, "page_id")
+    found = rows.extract(files.html_pages(files.spread(own))).drop("page_number").withColumnRenamed("file_idx", "page_id").join(sites, "page_id")
     found = status.attach_status(found, spark.read.parquet(probes)) if probes else found.withColumn("status", F.lit(""))
     return found.select("file_name", F.col("page_id").alias("page_number"), "seq", "source", F.lit("body").alias("location"), "url", "status")
 

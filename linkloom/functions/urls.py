@@ -15,6 +15,9 @@ from linkloom.functions import lexicon as lex
 QUOTES = "\"'`“”‘’«»′″"
 SCHEME = r"(?i)^(?:https?|ftp)://"
 ADDRESS = r"(?iU)(?:https?|ftp)://[^\s<>\[\]()\"']+|(?<![@\w./-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}(?::\d{2,5})?(?:/[^\s<>\[\]()\"']*)?"
+#: What ends an address, and runs of other characters that may hold one: with a letter after a dot, or a scheme's end.
+EDGE = r"\s<>\[\]()\"'"
+TOKEN = rf"(?U)(?<![^{EDGE}])(?=[^{EDGE}]*?(?:\.\w|://))[^{EDGE}]++"
 IPV4 = r"^\d{1,3}(?:\.\d{1,3}){3}"
 #: Stand-ins for decided dots, from the private use area: joined, left alone, end of a sentence.
 JOINED, LEFT, ENDED = "\ue000", "\ue001", "\ue002"
@@ -157,22 +160,45 @@ def clean_link(url: Column, tlds: tuple[str, ...] = ()) -> Column:
     return let(clean(url, tlds), lambda u: F.when(looks_like_url(u, tlds), u))
 
 
+def _lengths(pieces: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x))
+
+
+def _judged(token: Column, tlds: tuple[str, ...]) -> Column:
+    """The links of a token: array<struct<url, match, i>>, i counting all that have the form of an address."""
+
+    def good(x: Column) -> Column:
+        return looks_like_url(x["url"], tlds) & ~F.coalesce(F.substr(x["match"], F.char_length(x["url"]) + 1).rlike(r"^/[A-Za-z0-9]"), F.lit(False))
+
+    cleaned = F.transform(F.regexp_extract_all(token, F.lit(ADDRESS), 0), lambda m, i: F.struct(clean(m, tlds).alias("url"), m.alias("match"), i.alias("i")))
+    return F.filter(cleaned, good)
+
+
 def extract_urls(text: Column, tlds: tuple[str, ...] = ()) -> Column:
     """array<struct<url, start>>: the links of a text in order; start is a place in the sanitised text.
 
     Matches do not overlap. A bare host that is only the head of a longer address is not counted, and neither is the
-    host of an e-mail address.
+    host of an e-mail address. No address crosses the edge of a token, so addresses are looked for in tokens with a dot.
     """
-    lengths = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x))
 
-    def judged(both: Column) -> Column:
-        place = lambda i: lengths(both["gaps"], i + 1) + lengths(both["found"], i)
-        return F.transform(F.filter(F.transform(both["found"], lambda m, i: F.struct(clean(m, tlds).alias("url"), m.alias("match"), i.alias("i"))), good), lambda x: F.struct(x["url"].alias("url"), place(x["i"]).alias("start")))
+    def placed(both: Column) -> Column:
+        before = lambda k: _lengths(both["gaps"], k + 1) + _lengths(both["tokens"], k)
+
+        def inside(token: Column, k: Column) -> Column:
+            gaps, found = F.split(token, ADDRESS, -1), F.regexp_extract_all(token, F.lit(ADDRESS), 0)
+            start = lambda i: before(k) + _lengths(gaps, i + 1) + _lengths(found, i)
+            return F.transform(_judged(token, tlds), lambda x: F.struct(x["url"].alias("url"), start(x["i"]).alias("start")))
+
+        return F.flatten(F.transform(both["tokens"], inside))
+
+    return let(sanitize(text, tlds), lambda t: let(F.struct(F.regexp_extract_all(t, F.lit(TOKEN), 0).alias("tokens"), F.split(t, TOKEN, -1).alias("gaps")), placed))
 
-    def good(x: Column) -> Column:
-        return looks_like_url(x["url"], tlds) & ~F.coalesce(F.substr(x["match"], F.char_length(x["url"]) + 1).rlike(r"^/[A-Za-z0-9]"), F.lit(False))
 
-    return let(sanitize(text, tlds), lambda t: let(F.struct(F.regexp_extract_all(t, F.lit(ADDRESS), 0).alias("found"), F.split(t, ADDRESS, -1).alias("gaps")), judged))
+def urls_in(text: Column, tlds: tuple[str, ...] = ()) -> Column:
+    """The links of a text in order, without their places; null for a text that cannot hold any."""
+    tokens = lambda t: F.regexp_extract_all(sanitize(t, tlds), F.lit(TOKEN), 0)
+    urls = lambda token: F.transform(_judged(token, tlds), lambda x: x["url"])
+    return let(text, lambda t: F.when(may_hold_url(t), F.flatten(F.transform(tokens(t), urls))))
 
 
 def may_hold_url(text: Column) -> Column:
@@ -182,7 +208,7 @@ def may_hold_url(text: Column) -> Column:
 
 def extract_urls_anyhow(text: Column, tlds: tuple[str, ...] = ()) -> Column:
     """Links of recognised text: of the whole; failing that, line by line; failing that, of pieces of 8 letters or more."""
-    urls = lambda t: F.transform(extract_urls(t, tlds), lambda x: x["url"])
+    urls = lambda t: F.coalesce(urls_in(t, tlds), F.array().cast("array<string>"))
     by = lambda pattern, least: F.flatten(F.transform(F.filter(F.split(text, pattern), lambda x: F.char_length(F.trim(x)) >= least), urls))
     whole, lines = urls(text), by(r"\R", 1)
     return F.when(F.size(whole) > 0, whole).when(F.size(lines) > 0, lines).otherwise(by(r"[\s|;]+", 8))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.functions import meta, urls
 
@@ -15,9 +19,10 @@ STAGES = ("hyperlink", "text", "annotation", "qr", "image")
 
 
 def text_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """Links of page_text: PAGE, source, ord, url. Pages that cannot hold any are left out before."""
-    found = pages.where(urls.may_hold_url(F.col("page_text"))).select(*PAGE, F.posexplode(urls.extract_urls(F.col("page_text"), tlds)).alias("ord", "found"))
-    return found.select(*PAGE, F.lit("text").alias("source"), "ord", F.col("found.url").alias("url"))
+    """Links of page_text: PAGE, source, ord, url. Pages that cannot hold any are passed over by a cheap test."""
+    # the test stands inside: as a filter it would have the page's text made twice
+    found = pages.select(*PAGE, F.posexplode(urls.urls_in(F.col("page_text"), tlds)).alias("ord", "url"))
+    return found.select(*PAGE, F.lit("text").alias("source"), "ord", "url")
 
 
 def hyperlink_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
@@ -74,26 +79,52 @@ def cap_occurrences(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__keep", ~seen | (nth <= cap)).where("__keep").drop("__keep")
 
 
-def standalone_count(text: Column, url: Column) -> Column:
-    """How often a link stands by itself in a text: no letter, digit or one of ./@-_ before it and no slash after it."""
-    quoted = F.concat(F.lit(r"(?U)(?<![\p{L}\p{N}./@_-])\Q"), F.lower(url), F.lit(r"\E(?!/)"))
-    return F.regexp_count(F.lower(text), quoted)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def standalone_counts(texts: pd.Series, links: pd.Series) -> pd.Series:
+    """How often each link stands by itself in a text: no letter, digit or one of ./@-_ before it and no slash after it.
+
+    One automaton of a page's links and one pass over its text; of matches of one link that overlap the first counts.
+    """
+    return pd.Series([_standing(text, list(own)) for text, own in zip(texts, links, strict=True)], dtype=object)
+
+
+def _standing(text: str | None, links: list[str]) -> list[int]:
+    counts, free, automaton = [0] * len(links), [0] * len(links), ahocorasick.Automaton()
+    for k, link in enumerate(links):
+        if link:
+            automaton.add_word(link, [*automaton.get(link, []), k])
+    if not text or not len(automaton):
+        return counts
+    automaton.make_automaton()
+    for last, own in automaton.iter(text):
+        start = last + 1 - len(links[own[0]])
+        before = text[start - 1] if start else " "
+        if before in "./@_-" or unicodedata.category(before)[0] in "LN" or text[last + 1 : last + 2] == "/":
+            continue
+        for k in own:
+            if start >= free[k]:
+                counts[k] += 1
+                free[k] = last + 1
+    return counts
 
 
 def drop_embedded_hosts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows whose link begins a longer one of the page stay only as often as the page's text has them alone.
 
-    The longer links' beginnings, up to each slash, are joined by equality, so nothing is compared pair by pair.
+    The longer links' beginnings, up to each slash, are joined by equality, so nothing is compared pair by pair; a
+    page's text is read once for all its links.
     """
     key = urls.link_key(F.col("url"))
     cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(key, "/")) - 1)), lambda n: F.array_join(F.slice(F.split(key, "/"), F.lit(1), n), "/"))
     heads = rows.select(*PAGE, key.alias("longer"), F.explode(cuts).alias("head")).where("rtrim('/', longer) <> head").select(*PAGE, "head").distinct()
     marked = rows.withColumn("head", F.rtrim(key, F.lit("/"))).join(heads.withColumn("__longer", F.lit(True)), [*PAGE, "head"], "left")
-    text = pages.select(*PAGE, F.coalesce("page_text", F.lit("")).alias("__text"))
     # the page's text is needed only where a longer link exists
-    bounded = marked.where("__longer and source <> 'qr'")
+    bounded = marked.where("__longer and source <> 'qr'").withColumn("__link", F.lower("url"))
     nth = F.row_number().over(Window.partitionBy(*PAGE, key).orderBy("seq"))
-    kept = bounded.withColumn("__nth", nth).join(text, PAGE).where(F.col("__nth") <= standalone_count(urls.sanitize(F.col("__text")), F.col("url")))
+    asked = bounded.groupBy(*PAGE).agg(F.collect_set("__link").alias("__links"))
+    text = asked.join(pages.select(*PAGE, "page_text"), PAGE).select(*PAGE, "__links", F.lower(urls.sanitize(F.coalesce("page_text", F.lit("")))).alias("__text"))
+    counted = text.select(*PAGE, "__links", standalone_counts("__text", "__links").alias("__counts")).select(*PAGE, F.inline(F.arrays_zip(F.col("__links").alias("__link"), F.col("__counts").alias("__most"))))
+    kept = bounded.withColumn("__nth", nth).join(counted, [*PAGE, "__link"]).where("__nth <= __most")
     return marked.where("__longer is null or source = 'qr'").select(*rows.columns).unionByName(kept.select(*rows.columns))
 
 

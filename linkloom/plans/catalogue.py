@@ -47,7 +47,7 @@ SELECT source, count(*) AS n_urls, count(DISTINCT lower(url)) AS n_distinct FROM
   UNION ALL SELECT 'text', regexp_replace(regexp_extract(html, '<footer>&copy; ([^ ]+) ', 1), '^blog\\.', '') FROM pages
 ) GROUP BY source""")
 def page_link_summary(spark, sf_dir):
-    found = rows.extract(files.html_pages(pages_of(spark, sf_dir)))
+    found = rows.extract(files.html_pages(files.spread(pages_of(spark, sf_dir))))
     return found.groupBy("source").agg(F.count("*").alias("n_urls"), F.count_distinct(F.lower("url")).alias("n_distinct"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import let
+
 MAX_BYTES, MAX_FILES = 50 << 20, 25
 
 
@@ -48,19 +50,29 @@ HREF = r"""(?i)(?<=[\s"'])href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _decoded(text: Column) -> Column:
-    """Text with its entities put right, each once."""
-    pieces = F.split(text, "&#(?=[0-9]|[xX][0-9a-fA-F])")
+    """Text with its entities put right, each once: cut at its ampersands, so its cost goes with their number."""
+    pattern = r"^(?:#([0-9]+|[xX][0-9a-fA-F]+);?|([a-zA-Z][a-zA-Z0-9]*);)"
+    named = lambda p, k: F.regexp_extract(p, pattern, k)
 
-    def numeric(p: Column) -> Column:
-        number = F.regexp_extract(p, r"^([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+    def numeric(number: Column) -> Column:
         code = F.when(number.rlike("^[xX]"), F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).try_cast("int")
-        mark = F.when(code == 38, "&amp;").when(code == 160, " ").when(code.between(32, 126), F.chr(code)).otherwise("\ufffd")
-        return F.concat(mark, F.regexp_replace(p, r"^(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+        return F.when(code == 160, " ").when(code.between(32, 126), F.chr(code)).otherwise("\ufffd")
+
+    def mark(x: Column) -> Column:
+        out = F.when(x["whole"] == "", "&").when(x["number"] != "", numeric(x["number"])).when(F.lower(x["name"]) == "amp", "&")
+        for shown, names in ENTITIES.items():
+            out = out.when(x["name"].isin(*names.split("|")), shown)
+        return F.concat(out.otherwise("\ufffd"), F.substr(x["piece"], F.char_length(x["whole"]) + 1))
+
+    read = lambda p: let(F.struct(p.alias("piece"), named(p, 0).alias("whole"), named(p, 1).alias("number"), named(p, 2).alias("name")), mark)
+    return let(F.split(text, "&"), lambda pieces: F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), read), "")))
+
 
-    text = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), numeric), ""))
-    for mark, names in ENTITIES.items():
-        text = F.regexp_replace(text, f"&(?:{names});", mark)
-    return F.regexp_replace(F.regexp_replace(text, r"&(?!amp;|AMP;)[a-zA-Z][a-zA-Z0-9]*;", "\ufffd"), "(?i)&amp;", "&")
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt out to all cores where they come in fewer files than there are cores: reading links takes far longer than the shuffle of so few. Larger inputs stay as they are."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    few = not pages.isStreaming and 0 < len(pages.inputFiles()) < cores
+    return pages.repartition(cores) if few else pages
 
 
 def html_pages(pages: DataFrame) -> DataFrame:
