@@ -19,8 +19,7 @@ ADDRESS = r"(?iU)(?:https?|ftp)://[^\s<>\[\]()\"']+|(?<![@\w./-])(?:[a-z0-9](?:[
 EDGE = r"\s<>\[\]()\"'"
 TOKEN = rf"(?U)(?<![^{EDGE}])(?=[^{EDGE}]*?(?:\.\w|://))[^{EDGE}]++"
 IPV4 = r"^\d{1,3}(?:\.\d{1,3}){3}"
-#: Stand-ins for decided dots, from the private use area: joined, left alone, end of a sentence.
-JOINED, LEFT, ENDED = "\ue000", "\ue001", "\ue002"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def let(value: Column, f) -> Column:
@@ -33,23 +32,47 @@ def among(value: Column, words) -> Column:
     return value.rlike(rf"\A{lex.one_of(words)}\z")
 
 
+def _dots(text: Column, tlds: tuple[str, ...]) -> Column:
+    """Text with each dot decided by the labels on both sides of it, in one pass: cut at the dots, so the cost of the word lists goes with the number of dots.
+
+    Blanks around a dot that joins go, those around one that ends a sentence become one behind it.
+    """
+    tld, word, after = lex.one_of(lex.top_level_domains(tlds)), lex.one_of(lex.TEXT_WORDS), "(?![A-Za-z0-9])"
+    begins = lambda x, pattern: x.rlike(rf"(?i)\A{pattern}{after}")
+    equals = lambda x, pattern: x.rlike(rf"(?i)\A{pattern}\z")
+    stay, join, end = F.lit(0), F.lit(1), F.lit(2)
+
+    def decided(x: Column) -> Column:
+        near = x["label"].rlike(r"[A-Za-z0-9]\z") & x["head"].rlike(r"\A[A-Za-z0-9]")
+        rules = F.when(begins(x["head"], tld), join).when(equals(x["label"], tld), end).when(begins(x["head"], word), end).when(equals(x["label"], word), stay).otherwise(join)
+        return F.when(near, rules).otherwise(stay)
+
+    def all_of(parts: Column) -> Column:
+        # no label of the lists is longer than what is looked at
+        label = lambda p: F.regexp_extract(F.right(p, F.lit(120)), r"([A-Za-z0-9-]*)\s{0,50}\z", 1)
+        head = lambda p: F.substr(F.ltrim(p, F.lit(BLANKS)), F.lit(1), F.lit(70))
+        between = lambda p, i: let(F.struct(label(p).alias("label"), head(F.get(parts, i + 1)).alias("head")), decided)
+        return F.struct(parts.alias("parts"), F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), between).alias("how"))
+
+    def put(x: Column) -> Column:
+        how = lambda i: F.coalesce(F.get(x["how"], i), stay)
+        left = lambda p, i: F.when(how(i - 1) == stay, p).otherwise(F.ltrim(p, F.lit(BLANKS)))
+        both = lambda p, i: F.when(how(i) == stay, left(p, i)).otherwise(F.rtrim(left(p, i), F.lit(BLANKS)))
+        return F.array_join(F.transform(x["parts"], lambda p, i: F.concat(both(p, i), F.when(how(i) == end, ". ").when(i < F.size(x["parts"]) - 1, ".").otherwise(""))), "")
+
+    return let(F.split(text, "\\.", -1), lambda parts: F.when(F.size(parts) > 1, let(all_of(parts), put)).otherwise(F.get(parts, 0)))
+
+
 def sanitize(text: Column, tlds: tuple[str, ...] = ()) -> Column:
     """Text without quotes, and without the blanks that split a link at dots, slashes or after the scheme."""
-    tld, word = lex.one_of(lex.top_level_domains(tlds)), lex.one_of(lex.TEXT_WORDS)
-    before, after = "(?<=[A-Za-z0-9])", "(?![A-Za-z0-9])"
-    # the cheap look ahead comes first: the long ones behind it are tried only at dots
-    dot, label = r"\s{0,50}\.\s*", r"(?=\s{0,50}\.)(?<=(?:^|[^A-Za-z0-9-])"
-    out = F.regexp_replace(text, rf"{before}\s*['’‘`]+\s*(?=[A-Za-z0-9])", "")
-    out = F.translate(out, QUOTES, "")
-    out = F.regexp_replace(out, r"(?i)\b(https?|ftp|upi)\s*:\s*/\s*/\s*", "$1://")
-    out = F.regexp_replace(out, r"(?i)\b(www)\s*\.\s*", "www.")
-    out = F.regexp_replace(out, rf"(?i){before}{dot}(?={tld}{after})", JOINED)
-    out = F.regexp_replace(out, rf"(?i){label}{tld}){dot}(?=[A-Za-z0-9])", ENDED)
-    out = F.regexp_replace(out, rf"(?i){before}{dot}(?={word}{after})", ENDED)
-    out = F.regexp_replace(out, rf"(?i){label}{word})(\s{{0,50}})\.(\s*)(?=[A-Za-z0-9])", f"$1{LEFT}$2")
-    out = F.regexp_replace(out, rf"{before}{dot}(?=[A-Za-z0-9])", ".")
-    out = F.regexp_replace(F.translate(out, JOINED + LEFT, ".."), ENDED, ". ")
-    return F.regexp_replace(out, r"(?<=[A-Za-z0-9.])\s*/\s*(?=[A-Za-z0-9])", "/")
+    # what a text does not hold costs it one quick look
+    where = lambda mark, f: lambda t: F.when(t.rlike(mark), f(t)).otherwise(t)
+    quotes = where("['’‘`]", lambda t: F.regexp_replace(t, r"(?<=[A-Za-z0-9])\s*['’‘`]+\s*(?=[A-Za-z0-9])", ""))
+    scheme = where("/", lambda t: F.regexp_replace(t, r"(?i)\b(https?|ftp|upi)\s*:\s*/\s*/\s*", "$1://"))
+    slash = where("/", lambda t: F.regexp_replace(t, r"(?<=[A-Za-z0-9.])\s*/\s*(?=[A-Za-z0-9])", "/"))
+    out = let(text, quotes)
+    out = let(F.translate(out, QUOTES, ""), scheme)
+    return let(_dots(F.regexp_replace(out, r"(?i)\b(www)\s*\.\s*", "www."), tlds), slash)
 
 
 def clean(url: Column, tlds: tuple[str, ...] = ()) -> Column:
