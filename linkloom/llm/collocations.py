@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from linkloom.llm.tables import forget, settle, table
+from linkloom.llm.tables import settle, table
 
 MAX_WORDS, MIN_COUNT, PERCENT, TOP = 5, 100, 100, 2000
 #: Bytes of text for one cell of the sketch; cells are merged in parts of so many; a sketch has so many parts at most.
 CELL_BYTES, PART_CELLS, MAX_PARTS = 16, 1 << 20, 1 << 10
+#: Bytes of text for each part into which phrases are dealt for their sums.
+PART_BYTES = 1 << 20
 #: Characters whose candidates are compiled into one automaton, characters that are hashed at a time, and phrases of
 #: which a task holds counts.
 SHARD_CHARS, SLICE_CHARS, HELD_PHRASES = 8_000_000, 1_000_000, 400_000
@@ -173,8 +175,11 @@ def bits_of(own: DataFrame, cells: int, max_words: int, min_count: int) -> np.nd
     return out
 
 
-def count_phrases(own: DataFrame, bits: np.ndarray, max_words: int) -> DataFrame:
-    """Rows lang, phrase and f, partial counts: all phrases that may reach the threshold, and the number of words under the empty phrase."""
+def count_phrases(own: DataFrame, bits: np.ndarray, max_words: int, parts: int) -> DataFrame:
+    """Rows part, lang, phrases and counts, partial ones: all phrases that may reach the threshold, and the number of words under the empty phrase.
+
+    A task's counts are dealt into parts by the phrases' hashes, so that they are shuffled in blocks, not one by one.
+    """
     cells, shared = 8 * len(bits), own.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +188,15 @@ def count_phrases(own: DataFrame, bits: np.ndarray, max_words: int) -> DataFrame
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
-                phrases = list(own)
-                for lo in range(0, len(phrases), 20_000):
-                    some = phrases[lo : lo + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([own[p] for p in some], pa.int64())], names=["lang", "phrase", "f"])
+                blocks: dict[int, list[tuple[str, int]]] = defaultdict(list)
+                for phrase, f in own.items():
+                    blocks[xxh3_64_intdigest(phrase) % parts].append((phrase, f))
+                numbers = list(blocks)
+                for lo in range(0, len(numbers), 1000):
+                    some = numbers[lo : lo + 1000]
+                    held = [list(zip(*blocks[n], strict=True)) for n in some]
+                    columns = [pa.array(some, pa.int64()), pa.array([lang] * len(some), pa.string()), pa.array([h[0] for h in held], pa.list_(pa.string())), pa.array([h[1] for h in held], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "counts"])
             counts.clear()
 
         for lang, texts in gather(batches, SHARD_CHARS):
@@ -221,7 +231,31 @@ def count_phrases(own: DataFrame, bits: np.ndarray, max_words: int) -> DataFrame
                 yield from flush()
         yield from flush()
 
-    return own.mapInArrow(count, "lang string, phrase string, f long")
+    return own.mapInArrow(count, "part long, lang string, phrases array<string>, counts array<long>")
+
+
+def sum_phrases(counted: DataFrame, min_count: int) -> DataFrame:
+    """Rows lang, phrase and f of the phrases that reach the threshold, and of the empty one."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted, so the phrases of one part and language are held at a time
+        at, sums = None, Counter()
+
+        def done() -> pa.RecordBatch:
+            kept = [(p, f) for p, f in sums.items() if f >= min_count or not p]
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([f for _, f in kept], pa.int64())], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for part, lang, phrases, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang) != at:
+                    if at is not None:
+                        yield done()
+                    at, sums = (part, lang), Counter()
+                sums.update(dict(zip(phrases, f, strict=True)))
+        if at is not None:
+            yield done()
+
+    return counted.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, f long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, percent: int = PERCENT, top: int = TOP, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -245,8 +279,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     own = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(max(1 << 10, 1 << (size // cell_bytes).bit_length()), MAX_PARTS * PART_CELLS)
-    counted = count_phrases(own, bits_of(own, cells, max_words, min_count), max_words)
-    sums = settle(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+    counted = count_phrases(own, bits_of(own, cells, max_words, min_count), max_words, 1 + size // PART_BYTES)
+    sums = settle(sum_phrases(counted, min_count))
     totals = sums.where("phrase = ''").select("lang", F.col("f").alias("n"))  # a row for each language
     sums = sums.where("phrase <> ''").withColumn("words", F.split("phrase", " "))
     several = sums.where(F.size("words") > 1)
