@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from linkloom.functions import meta, urls
 
 PAGE = ["file_idx", "page_number"]
-#: Order of the sources on a page, and how each is named in the result.
+#: Order of the sources on a page; what annotations hold is named a hyperlink.
 STAGES = ("hyperlink", "text", "annotation", "qr", "image")
 
 
@@ -36,20 +36,26 @@ def admitted(raw: Column, tlds: tuple[str, ...] = ()) -> Column:
     """The links that a piece of text stands for: a payment link alone; all links in it; failing that, itself where it begins like a link."""
 
     def of(text: Column) -> Column:
-        whole = urls.clean(text, tlds)
-        found = urls.extract_urls_anyhow(text, tlds)
-        alone = F.when(whole.rlike(r"(?i)^(?:https?://|ftp://|www\.)"), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0))
-        return F.when(F.lower(text).startswith("upi://"), F.array(F.regexp_replace(F.regexp_extract(text, r"^\S+", 0), r"[.,;:!?)\]}>\"']+$", ""))).when(F.size(found) > 0, found).otherwise(alone)
+        return urls.let(F.struct(text.alias("text"), urls.extract_urls_anyhow(text, tlds).alias("found"), urls.clean(text, tlds).alias("whole")), chosen)
+
+    def chosen(x: Column) -> Column:
+        paid = F.array(F.regexp_replace(F.regexp_extract(x["text"], r"^\S+", 0), r"[.,;:!?)\]}>\"']+$", ""))
+        alone = F.when(x["whole"].rlike(r"(?i)^(?:https?://|ftp://|www\.)"), F.array(x["whole"])).otherwise(F.slice(x["found"], 1, 0))
+        return F.when(F.lower(x["text"]).startswith("upi://"), paid).when(F.size(x["found"]) > 0, x["found"]).otherwise(alone)
 
     links = urls.let(F.trim(urls.sanitize(F.coalesce(raw, F.lit("")), tlds)), of)
     return F.filter(links, lambda u: F.lower(u).startswith("upi://") | urls.looks_like_url(u, tlds))
 
 
 def annotation_occurrences(pages: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """Links of the annotations and form fields of pages (annots, fields); they count as hyperlinks."""
-    held = meta.annotation_payloads(F.col("annots"), F.col("fields"))
-    links = F.flatten(F.transform(held, lambda h: admitted(h, tlds)))
-    return pages.select(*PAGE, F.posexplode(links).alias("ord", "url")).select(*PAGE, F.lit("annotation").alias("source"), "ord", "url")
+    """Links of the annotations struct<uri, content, title, subject, y0, y1> and form fields of pages (annots, fields, height): hyperlinks that come after the page's text, each with the location of its rectangle."""
+    none, place = F.array().cast("array<string>"), lambda a: F.coalesce(meta.location_class(a["y0"], a["y1"], F.col("height")), F.lit("body"))
+    of = lambda held, location: F.transform(held, lambda p: F.struct(p.alias("payload"), location.alias("location")))
+    noted = F.flatten(F.transform("annots", lambda a: of(meta.annotation_payloads(F.array(a), none), place(a))))
+    held = F.concat(F.coalesce(noted, F.array().cast("array<struct<payload:string,location:string>>")), of(F.coalesce("fields", none), F.lit("body")))
+    each = pages.select(*PAGE, F.posexplode(F.filter(held, lambda h: h["payload"] != "")).alias("nth", "h"))
+    found = each.select(*PAGE, "nth", "h.location", F.posexplode(admitted(F.col("h.payload"), tlds)).alias("k", "url"))
+    return found.select(*PAGE, F.lit("hyperlink").alias("source"), F.struct("nth", "k").alias("__at"), "url", "location", F.lit(STAGES.index("annotation")).alias("stage")).withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("__at"))).drop("__at")
 
 
 def payload_occurrences(payloads: DataFrame) -> DataFrame:
@@ -64,10 +70,11 @@ def recognised_occurrences(texts: DataFrame, source: str = "image", tlds: tuple[
 
 
 def union_occurrences(*parts: DataFrame) -> DataFrame:
-    """All occurrences with seq, their order on the page: by source in the order of STAGES, then by ord."""
+    """All occurrences with seq, their order on the page: by source in the order of STAGES, or by the stage that a part states, then by ord. A location that a part knows stays."""
     rank = F.create_map(*(F.lit(x) for k, s in enumerate(STAGES) for x in (s, k)))[F.col("source")]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy(rank, "ord", "url"))).drop("ord")
+    staged = [p if "stage" in p.columns else p.withColumn("stage", rank) for p in parts]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), staged)
+    return every.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("stage", "ord", "url"))).drop("ord", "stage")
 
 
 def cap_occurrences(rows: DataFrame) -> DataFrame:
@@ -79,53 +86,79 @@ def cap_occurrences(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__keep", ~seen | (nth <= cap)).where("__keep").drop("__keep")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def standalone_counts(texts: pd.Series, links: pd.Series) -> pd.Series:
-    """How often each link stands by itself in a text: no letter, digit or one of ./@-_ before it and no slash after it.
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def begins_longer(pages: pd.Series) -> pd.Series:
+    """Whether each link of a page is the beginning, up to a slash, of a longer one of the page."""
 
-    One automaton of a page's links and one pass over its text; of matches of one link that overlap the first counts.
-    """
-    return pd.Series([_standing(text, list(own)) for text, own in zip(texts, links, strict=True)], dtype=object)
+    def of(keys: list[str]) -> list[bool]:
+        heads = set()
+        for key in keys:
+            parts, own = key.split("/"), key.rstrip("/")
+            heads |= {h for n in range(1, max(2, len(parts))) if (h := "/".join(parts[:n])) != own}
+        return [k.rstrip("/") in heads for k in keys]
+
+    return pd.Series([of(list(keys)) for keys in pages], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def stand_alone(texts: pd.Series, asked: pd.Series, pages: pd.Series, bounded: pd.Series) -> pd.Series:
+    """Which rows of a page stay, given its text, its links in order and which of them are bounded: all others, and of a bounded link as many as stand by themselves. All stay where no text is asked for."""
+
+    def of(text: str | None, keys: list[str], flags: list[bool]) -> list[bool]:
+        links = list(dict.fromkeys(k for k, f in zip(keys, flags, strict=True) if f))
+        left = dict(zip(links, standing(text, links), strict=True))
+        out = []
+        for key, flag in zip(keys, flags, strict=True):
+            out.append(not flag or left[key] > 0)
+            if flag:
+                left[key] -= 1
+        return out
 
+    return pd.Series([of(t, list(k), list(f)) if a else [True] * len(k) for t, a, k, f in zip(texts, asked, pages, bounded, strict=True)], dtype=object)
 
-def _standing(text: str | None, links: list[str]) -> list[int]:
+
+def standing(text: str | None, links: list[str]) -> list[int]:
+    """How often each link stands by itself in a text: no letter, digit or one of ./@-_ before it and no slash after it.
+
+    One automaton of all links and one pass over the text; of matches of one link that overlap the first counts.
+    """
     counts, free, automaton = [0] * len(links), [0] * len(links), ahocorasick.Automaton()
     for k, link in enumerate(links):
         if link:
-            automaton.add_word(link, [*automaton.get(link, []), k])
+            automaton.add_word(link, k)
     if not text or not len(automaton):
         return counts
     automaton.make_automaton()
-    for last, own in automaton.iter(text):
-        start = last + 1 - len(links[own[0]])
+    for last, k in automaton.iter(text):
+        start = last + 1 - len(links[k])
         before = text[start - 1] if start else " "
-        if before in "./@_-" or unicodedata.category(before)[0] in "LN" or text[last + 1 : last + 2] == "/":
-            continue
-        for k in own:
-            if start >= free[k]:
-                counts[k] += 1
-                free[k] = last + 1
+        if start >= free[k] and before not in "./@_-" and unicodedata.category(before)[0] not in "LN" and text[last + 1 : last + 2] != "/":
+            counts[k] += 1
+            free[k] = last + 1
     return counts
 
 
+# marked so, they are run once and never copied into the conditions that the optimizer makes of later steps
+begins_longer, stand_alone = begins_longer.asNondeterministic(), stand_alone.asNondeterministic()
+
+
 def drop_embedded_hosts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows whose link begins a longer one of the page stay only as often as the page's text has them alone.
 
-    The longer links' beginnings, up to each slash, are joined by equality, so nothing is compared pair by pair; a
-    page's text is read once for all its links.
+    A page's rows are one array, told apart by sets of their beginnings, never compared pair by pair; the page's text is
+    read once for all its links, and only where a longer link exists.
     """
-    key = urls.link_key(F.col("url"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(key, "/")) - 1)), lambda n: F.array_join(F.slice(F.split(key, "/"), F.lit(1), n), "/"))
-    heads = rows.select(*PAGE, key.alias("longer"), F.explode(cuts).alias("head")).where("rtrim('/', longer) <> head").select(*PAGE, "head").distinct()
-    marked = rows.withColumn("head", F.rtrim(key, F.lit("/"))).join(heads.withColumn("__longer", F.lit(True)), [*PAGE, "head"], "left")
-    # the page's text is needed only where a longer link exists
-    bounded = marked.where("__longer and source <> 'qr'").withColumn("__link", F.lower("url"))
-    nth = F.row_number().over(Window.partitionBy(*PAGE, key).orderBy("seq"))
-    asked = bounded.groupBy(*PAGE).agg(F.collect_set("__link").alias("__links"))
-    text = asked.join(pages.select(*PAGE, "page_text"), PAGE).select(*PAGE, "__links", F.lower(urls.sanitize(F.coalesce("page_text", F.lit("")))).alias("__text"))
-    counted = text.select(*PAGE, "__links", standalone_counts("__text", "__links").alias("__counts")).select(*PAGE, F.inline(F.arrays_zip(F.col("__links").alias("__link"), F.col("__counts").alias("__most"))))
-    kept = bounded.withColumn("__nth", nth).join(counted, [*PAGE, "__link"]).where("__nth <= __most")
-    return marked.where("__longer is null or source = 'qr'").select(*rows.columns).unionByName(kept.select(*rows.columns))
+    others = [c for c in rows.columns if c not in PAGE]
+    by_seq = lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int")
+    own = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*others)), by_seq).alias("__rows"))
+    own = own.withColumn("__keys", F.transform("__rows", lambda r: urls.link_key(r["url"])))
+    own = own.withColumn("__bounded", F.zip_with("__rows", begins_longer("__keys"), lambda r, longer: longer & (r["source"] != "qr")))
+    text = F.when(F.exists("__bounded", lambda x: x), F.lower(urls.sanitize(F.coalesce("__text", F.lit("")))))
+    own = own.join(pages.select(*PAGE, F.col("page_text").alias("__text")), PAGE, "left").withColumn("__text", text)
+    # the text is mentioned twice, so it stays a column: Spark cannot run a Python function on an argument with lambdas
+    own = own.select(*PAGE, "__rows", stand_alone(F.col("__text"), F.col("__text").isNotNull(), F.col("__keys"), F.col("__bounded")).alias("__stays"))
+    kept = F.filter(F.zip_with("__rows", "__stays", lambda r, stays: F.when(stays, r)), lambda r: r.isNotNull())
+    return own.select(*PAGE, F.inline(kept)).select(*rows.columns)
 
 
 def keep_final(rows: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
@@ -141,16 +174,17 @@ def ordinal(rows: DataFrame) -> DataFrame:
 
 
 def locate(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """location and font_size of the k-th row of a link: those of the k-th span that holds it; body and null if none does."""
+    """location and font_size of the k-th row of a link: those of the k-th span that holds it; body and null if none does. A location that a row has already stays."""
     own = ordinal(rows).join(pages.select(*PAGE, "height", "spans"), PAGE, "left")
     span = F.try_element_at(F.filter("spans", lambda s: F.contains(F.lower(s["text"]), urls.link_key(F.col("url")))), (F.col("k") + 1).cast("int"))
     own = own.withColumn("__span", span)
     place = meta.location_class(F.col("__span.y0"), F.col("__span.y1"), F.col("height"))
+    known = F.col("location") if "location" in rows.columns else F.lit(None)
     # a link that is set in pieces has the smallest size of the page's spans
     pieces = F.replace(F.lower(F.array_join(F.transform("spans", lambda s: s["text"]), "")), F.lit(" "), F.lit(""))
     smallest = F.when(F.contains(pieces, F.replace(urls.link_key(F.col("url")), F.lit(" "), F.lit(""))), F.array_min(F.filter(F.transform("spans", lambda s: s["size"]), lambda x: x > 0)))
     size = F.when(F.col("__span").isNull(), smallest).otherwise(F.col("__span.size"))
-    return own.withColumn("location", F.when(F.col("__span").isNull(), "body").otherwise(place)).withColumn("font_size", size).drop("__span", "k", "height", "spans")
+    return own.withColumn("location", F.coalesce(known, F.when(F.col("__span").isNull(), "body").otherwise(place))).withColumn("font_size", size).drop("__span", "k", "height", "spans")
 
 
 def join_spans(spans: DataFrame) -> DataFrame:
@@ -188,7 +222,7 @@ def with_file_meta(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, *others: DataFrame, tlds: tuple[str, ...] = ()) -> DataFrame:
-    """All links of pages (PAGE, page_text, uris): PAGE, seq, source, url.
+    """All links of pages (PAGE, page_text, uris): PAGE, seq, source, url, and location where others have one.
 
     Links of the pages themselves come clean already, and cleaning a clean link changes nothing, so the last filter is
     for the rows of others.

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from linkloom.plans.layout import ORACLE_SQL, QUERIES
+from linkloom.plans.scan import ORACLE_SQL, QUERIES
 
 TABLES = "orders lineitem part events documents pages conversations".split()
 
