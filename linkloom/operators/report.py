@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions.exact import exact_round
+from linkloom.operators.numbering import number_runs
+
 PREVIEW, RECENT = 120, 10
 
 
@@ -65,8 +68,14 @@ def recent(rows: DataFrame, n: int = RECENT) -> DataFrame:
 
 
 def merge_file_cells(rows: DataFrame, name_col: str, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """island (runs of equal names in the order), and shown: the name in the first row of each run, null in the others."""
-    w = Window.partitionBy(*(within or [])).orderBy(*order)
+    """island (runs of equal names in the order), and shown: the name in the first row of each run, null in the others.
+
+    Without within, runs are counted over all rows by ranges of the order, so no task sees them all.
+    """
+    if not within:
+        marked = number_runs(rows, name_col, order)
+        return marked.withColumn("shown", F.when(F.col("__first"), F.col(name_col))).drop("__first")
+    w = Window.partitionBy(*within).orderBy(*order)
     changed = F.when(F.lag(name_col).over(w).eqNullSafe(F.col(name_col)), 0).otherwise(1)
     marked = rows.withColumn("__new", changed)
     return marked.withColumn("island", F.sum("__new").over(w)).withColumn("shown", F.when(F.col("__new") == 1, F.col(name_col))).drop("__new")
@@ -117,14 +126,45 @@ def progress(phase: Column, done: Column, total: Column) -> Column:
 
 def pages_scanned(files: DataFrame) -> DataFrame:
     """Pages of the files (n_pages, error) that were read, one at least for each."""
-    return files.agg(F.coalesce(F.sum(F.when(F.col("error").isNull(), F.greatest(F.coalesce("n_pages", F.lit(0)), F.lit(1)))), F.lit(0)).cast("long").alias("pages_scanned"))
+    return files.agg(_scanned().alias("pages_scanned"))
+
+
+def _scanned() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("error").isNull(), F.greatest(F.coalesce("n_pages", F.lit(0)), F.lit(1)))), F.lit(0)).cast("long")
+
+
+def full_stats(rows: DataFrame, files: DataFrame, n_files: int | None, phase: str) -> DataFrame:
+    """The counts of a job in the phase: those of its rows, files_total (n_files, or all that are given), files_done and pages_scanned of the files (n_pages, error) so far, and the phase."""
+    one = lambda df: df.withColumn("__k", F.lit(1))
+    total = F.count("*") if n_files is None else F.lit(n_files).cast("long")
+    read = files.agg(F.count("*").alias("files_done"), _scanned().alias("pages_scanned"), total.alias("files_total"))
+    return one(job_stats(rows).drop("files", "pages")).join(one(read), "__k").drop("__k").withColumn("phase", F.lit(phase))
+
+
+def snapshot(rows: DataFrame, files: DataFrame, job_id: str, n_files: int, phase: str, message: str = "", error: str | None = None) -> DataFrame:
+    """What a client is told of a job: job_id, status, progress, message, stats, recent (the last rows, the newest first), and error where it failed."""
+    stats = full_stats(rows, files, n_files, phase)
+    newest = recent(rows).select(F.struct("file_idx", "page_number", "seq", "url", "source", "location", "status").alias("r"))
+    order = lambda a, b: sum((F.signum(b[c] - a[c]) * k for c, k in (("file_idx", 4), ("page_number", 2), ("seq", 1))), F.lit(0.0)).cast("int")
+    listed = newest.agg(F.array_sort(F.collect_list("r"), order).alias("recent"))
+    done = F.col("stats.urls_checked") if phase == "verify" else F.col("stats.files_done")
+    total = F.col("stats.urls_found") if phase == "verify" else F.col("stats.files_total")
+    status = F.lit("failed" if error else "completed" if phase == "done" else "running")
+    both = stats.select(F.struct("*").alias("stats")).withColumn("__k", F.lit(1)).join(listed.withColumn("__k", F.lit(1)), "__k")
+    return both.select(F.lit(job_id).alias("job_id"), status.alias("status"), progress(F.lit(phase), done, total).alias("progress"), F.lit(message).alias("message"), "stats", "recent", F.lit(error).cast("string").alias("error"))
+
 
+def result_totals(rows: DataFrame, files: DataFrame, seconds: Column | float | None = None, most_warnings: int = 1000) -> DataFrame:
+    """One row of totals of a finished job: counts of rows, files and pages, the time it took in tenths of a second, and the warnings of files that failed, in order.
 
-def result_totals(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """One row of totals of a finished job: counts of rows, files and pages, and the warnings of files that failed."""
+    warnings holds the first most_warnings texts; n_warnings counts all.
+    """
     one = lambda df: df.withColumn("k", F.lit(1))
-    read = one(files.agg(F.count("*").alias("files_processed"), F.array_join(F.array_sort(F.array_compact(F.collect_list("error"))), "\n").alias("warnings"))).join(one(pages_scanned(files)), "k")
-    return one(job_stats(rows).drop("files", "pages", "urls_checked").withColumnRenamed("urls_found", "total_urls")).join(read, "k").drop("k")
+    listed = files.where("error is not null").select("error").orderBy("error").limit(most_warnings).agg(F.array_join(F.array_sort(F.collect_list("error")), "\n").alias("warnings"))
+    counted = files.agg(F.count("*").alias("files_processed"), F.count("error").alias("n_warnings"), _scanned().alias("pages_scanned"))
+    took = exact_round(F.lit(seconds) if not isinstance(seconds, Column) else seconds, 1)
+    totals = one(job_stats(rows).drop("files", "pages", "urls_checked").withColumnRenamed("urls_found", "total_urls")).join(one(counted), "k").join(one(listed), "k").drop("k")
+    return totals.withColumn("processing_time_seconds", took)
 
 
 def report_name(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import meta, urls
+from linkloom.functions.exact import exact_round
 
 PAGE = ["file_idx", "page_number"]
 #: Order of the sources on a page; what annotations hold is named a hyperlink.
@@ -184,6 +185,7 @@ def locate(rows: DataFrame, pages: DataFrame) -> DataFrame:
     pieces = F.replace(F.lower(F.array_join(F.transform("spans", lambda s: s["text"]), "")), F.lit(" "), F.lit(""))
     smallest = F.when(F.contains(pieces, F.replace(urls.link_key(F.col("url")), F.lit(" "), F.lit(""))), F.array_min(F.filter(F.transform("spans", lambda s: s["size"]), lambda x: x > 0)))
     size = F.when(F.col("__span").isNull(), smallest).otherwise(F.col("__span.size"))
+    size = exact_round(size, 2)
     return own.withColumn("location", F.coalesce(known, F.when(F.col("__span").isNull(), "body").otherwise(place))).withColumn("font_size", size).drop("__span", "k", "height", "spans")
 
 

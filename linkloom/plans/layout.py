@@ -215,10 +215,11 @@ def client_texts(spark, sf_dir):
 
 @query(f"""WITH {RESULTS}, s AS (SELECT {STATS} FROM r), f AS (SELECT page_id % 20 AS file_idx, count(*) AS n, CASE WHEN page_id % 20 = 3 THEN 'file3 is broken' END AS error FROM pages GROUP BY ALL)
 SELECT urls_found AS total_urls, header_urls, footer_urls, qr_urls, image_urls, working_urls, failed_urls, (SELECT count(*) FROM f) AS files_processed, coalesce((SELECT string_agg(error, chr(10)) FROM f), '') AS warnings,
-  (SELECT sum(n)::BIGINT FROM f WHERE error IS NULL) AS pages_scanned FROM s""")
+  (SELECT count(error) FROM f) AS n_warnings, (SELECT sum(n)::BIGINT FROM f WHERE error IS NULL) AS pages_scanned, round_even((urls_found * 0.25)::DECIMAL(18, 2), 1)::DOUBLE AS processing_time_seconds FROM s""")
 def result_totals(spark, sf_dir):
     read = pages_of(spark, sf_dir).groupBy((F.col("page_id") % 20).alias("file_idx")).agg(F.count("*").alias("n_pages")).withColumn("error", F.when(F.col("file_idx") == 3, "file3 is broken"))
-    return report.result_totals(_results(spark, sf_dir), read)
+    # made up: a quarter of a second for each link
+    return report.result_totals(_results(spark, sf_dir), read, F.col("total_urls") / 4)
 
 
 @query("SELECT 'extracted_urls.xlsx' AS report_name UNION ALL SELECT 'Scan 1.v2_urls.xlsx'")

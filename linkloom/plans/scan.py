@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from linkloom.functions import registry
 from linkloom.operators import boxes, finders, regions, rows
 from linkloom.plans.catalogue import ORACLE_SQL, QUERIES, pages_of, query, table
 
@@ -137,3 +138,17 @@ def annotation_links(spark, sf_dir):
     pages = pages_of(spark, sf_dir).where("url NOT LIKE '%://blog.%'").select(k.alias("file_idx"), F.lit(1).alias("page_number"), F.array("url").alias("uris"), F.array(note).alias("annots"), F.array(field).alias("fields"), F.lit(800.0).alias("height"), F.lit("").alias("page_text"), F.array().cast("array<struct<text:string,y0:double,y1:double,size:double>>").alias("spans"))
     found = rows.extract(pages, rows.annotation_occurrences(pages))
     return rows.locate(found, pages).select(F.col("file_idx").alias("page_id"), "seq", "source", "url", "location")
+
+
+@query("""SELECT page_id, 0 AS ord, url, lower(split_part(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), ':', 1)) AS host, 6 AS start, 2 AS n_alone,
+  (round_even((page_id % 1000)::DECIMAL(10, 0) / 8, 0))::DOUBLE AS eighth FROM pages""")
+def sql_links(spark, sf_dir):
+    """A query written in SQL over the registered functions: addresses by LATERAL, how often each stands alone, and a rounding."""
+    registry.register(spark)
+    # twice in the text, once as the head of a longer address
+    text = "concat('Visit ', p.url, ' or ', p.url, ' not ', p.url, '/')"
+    return spark.sql(
+        f"SELECT p.page_id, u.ord, u.url, u.host, u.start, standalone_count({text}, u.url) AS n_alone, exact_round((p.page_id % 1000) / 8, 0) AS eighth "
+        f"FROM {{pages}} p, LATERAL extract_urls({text}) u WHERE u.ord = 0",
+        pages=pages_of(spark, sf_dir),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import let
+from linkloom.operators.numbering import number_rows
 
 MAX_BYTES, MAX_FILES = 50 << 20, 25
 
@@ -13,8 +14,8 @@ MAX_BYTES, MAX_FILES = 50 << 20, 25
 def discover(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Files under a folder with the suffix, in the order of their paths: file_idx, file_name, path, length. Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
-    # sorted by ranges, so numbers grow with the paths and no task sees all of them; between partitions they leave gaps
-    return found.dropDuplicates(["path"]).orderBy("path").withColumn("file_idx", F.monotonically_increasing_id()).withColumn("file_name", F.substring_index("path", "/", -1))
+    named = found.dropDuplicates(["path"]).withColumn("file_name", F.substring_index("path", "/", -1))
+    return number_rows(named, ["path"], "file_idx").orderBy("path")
 
 
 def upload_reason(name: Column, length: Column, position: Column) -> Column:
