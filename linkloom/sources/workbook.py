@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
+import uuid
 import zipfile
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from linkloom.operators.numbering import number_rows
 
 ROWS_PER_BOOK, SHEET = 50_000, "QR Results"
 # The sheet's columns, widths and colours (fill, letters).
@@ -121,9 +132,11 @@ def png_bytes(pixels: np.ndarray, most: int = 200) -> bytes:
     if not pixels.size:
         return b""
     n = -(-max(pixels.shape[:2]) // most)
-    h, w = pixels.shape[0] // n * n, pixels.shape[1] // n * n
-    if n > 1 and h and w:
-        pixels = pixels[:h, :w].reshape(h // n, n, w // n, n, *pixels.shape[2:]).mean(axis=(1, 3)).round()
+    if n > 1:
+        # the last blocks go on with the picture's edge, so no line of it is lost
+        pixels = np.pad(pixels, [(0, -pixels.shape[0] % n), (0, -pixels.shape[1] % n), *[(0, 0)] * (pixels.ndim - 2)], mode="edge")
+        h, w = pixels.shape[:2]
+        pixels = pixels.reshape(h // n, n, w // n, n, *pixels.shape[2:]).mean(axis=(1, 3)).round()
     pixels = pixels.astype(np.uint8)
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     lines = b"".join(b"\x00" + row.tobytes() for row in pixels)
@@ -131,13 +144,107 @@ def png_bytes(pixels: np.ndarray, most: int = 200) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def _parts(results: DataFrame, by: str, order: list[str], rows_per_book: int) -> DataFrame:
+    """results with __part: rows of a value of by in the order, so many to a part.
+
+    Rows are numbered over ranges of (by, order), and a part is told by the distance from the first row of its value, so
+    a value with very many rows is never in one task.
+    """
+    numbered = number_rows(results, [by, *(c for c in order if c != by)], "__n")
+    first = numbered.groupBy(by).agg(F.min("__n").alias("__first")).withColumnRenamed(by, "__by")
+    joined = numbered.join(first, F.col(by).eqNullSafe(F.col("__by")))
+    return joined.withColumn("__part", F.floor((F.col("__n") - F.col("__first")) / rows_per_book)).drop("__by", "__first")
+
+
 def workbooks(results: DataFrame, by: str, order: list[str], rows_per_book: int = ROWS_PER_BOOK, picture_col: str | None = None) -> DataFrame:
     """by, part, n_rows, content: a workbook for each value of by, in parts of at most rows_per_book rows; picture_col holds a row's PNG."""
-    columns = [c for c in results.columns if (c not in order or c in (by, *SHOWN)) and c != picture_col]
-    numbered = results.withColumn("__part", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / rows_per_book))
+    columns = _columns(results, by, order, picture_col)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values("__n", kind="stable")
         return pd.DataFrame({by: [pdf[by].iloc[0]], "part": [int(pdf["__part"].iloc[0])], "n_rows": [len(pdf)], "content": [book_bytes(columns, list(pdf[columns].itertuples(index=False, name=None)), list(pdf[picture_col]) if picture_col else None)]})
 
-    return numbered.groupBy(by, "__part").applyInPandas(write, f"`{by}` {results.schema[by].dataType.simpleString()}, part int, n_rows int, content binary")
+    return _parts(results, by, order, rows_per_book).groupBy(by, "__part").applyInPandas(write, f"`{by}` {results.schema[by].dataType.simpleString()}, part int, n_rows int, content binary")
+
+
+def _columns(results: DataFrame, by: str, order: list[str], picture_col: str | None) -> list[str]:
+    return [c for c in results.columns if (c not in order or c in (by, *SHOWN)) and c != picture_col]
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has written beside their places: (written, final name)."""
+
+    files: list[tuple[str, str]]
+
+
+class WorkbookWriter(DataSourceWriter):
+    """Each task writes its workbooks into a folder of the job beside their places; the job's commit moves those of the tasks that ended well, its abort removes them all."""
+
+    def __init__(self, options: dict, columns: list[str], overwrite: bool):
+        self.path, self.by, self.columns, self.overwrite = options["path"], options["by"], columns, overwrite
+        self.shown, self.picture = options["columns"].split("\x1f"), options.get("picture") or None
+        self.job = f"_writing-{uuid.uuid4().hex}"
+
+    def _place(self) -> tuple[FileSystem, str]:
+        return FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path)
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        fs, path = self._place()
+        fs.create_dir(f"{path}/{self.job}", recursive=True)
+        task, files = TaskContext.get().taskAttemptId(), []
+        try:
+            for (value, part), rows in groupby(iterator, key=lambda r: (r[self.by], r["__part"])):
+                held = list(rows)
+                stem = re.sub(r"[^A-Za-z0-9._-]+", "_", str(value if value is not None else "none"))[:100]
+                # a digest keeps apart values that have one name once odd characters are gone
+                name = f"{stem}-{zlib.crc32(repr(value).encode()):08x}-{part:05}.xlsx"
+                at = f"{path}/{self.job}/{task}-{name}"
+                with fs.open_output_stream(at) as out:
+                    files.append((at, name))
+                    out.write(book_bytes(self.shown, [tuple(r[c] for c in self.shown) for r in held], [r[self.picture] for r in held] if self.picture else None))
+        except BaseException:
+            for at, _ in files:
+                fs.delete_file(at)
+            raise
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, path = self._place()
+        fs.create_dir(path, recursive=True)
+        own = {name for m in messages if m for _, name in m.files}
+        for f in fs.get_file_info(FileSelector(path)) if self.overwrite else []:
+            if f.base_name.endswith(".xlsx") and f.base_name not in own:
+                fs.delete_file(f.path)
+        for at, name in (x for m in messages if m for x in m.files):
+            fs.move(at, f"{path}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, path = self._place()
+        if fs.get_file_info(f"{path}/{self.job}").type == FileType.Directory:
+            fs.delete_dir(f"{path}/{self.job}")
+
+
+class WorkbookSource(DataSource):
+    """The format `workbook`: rows sorted by a value and __part become a workbook for each; see write_workbooks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
+        return WorkbookWriter(dict(self.options), schema.names, overwrite)
+
+
+def write_workbooks(results: DataFrame, path: str, by: str, order: list[str], rows_per_book: int = ROWS_PER_BOOK, picture_col: str | None = None, mode: str = "append") -> None:
+    """Write a workbook for each value of by and each rows_per_book rows of it into the folder path, which all executors share.
+
+    Files appear when the whole job is done; a job that fails leaves none, and neither does a task that is run again.
+    mode is append, where files of equal names are replaced, or overwrite, where other workbooks go. An empty table
+    writes none; a null value of by is a file by itself.
+    """
+    results.sparkSession.dataSource.register(WorkbookSource)
+    rows = _parts(results, by, order, rows_per_book).repartition(by, "__part").sortWithinPartitions(by, "__part", "__n")
+    options = {"path": path, "by": by, "columns": "\x1f".join(_columns(results, by, order, picture_col)), "picture": picture_col or ""}
+    rows.write.format("workbook").options(**options).mode(mode).save()
