@@ -70,7 +70,7 @@ def page_zoom(width: Column, height: Column) -> Column:
 
 
 def region_zoom(width: Column, height: Column, target: float = 480.0) -> Column:
-    return F.greatest(F.lit(1.8), F.least(F.lit(14.0), target / F.least(width, height)))
+    return F.greatest(F.lit(1.8), F.least(F.lit(14.0), target / F.greatest(F.lit(1.0), F.least(width, height))))
 
 
 def gap_is_space(prev_text: Column, prev_x1: Column, text: Column, x0: Column, size: Column, prev_size: Column) -> Column:

@@ -193,15 +193,9 @@ def greedy_intervals(spark, sf_dir):
 @query("""SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS page_text FROM (
   SELECT conv_id, turn, string_agg(CASE WHEN pos > 1 AND (pos % 2 = 0) THEN ' ' ELSE '' END || word, '' ORDER BY pos) AS line FROM (
     SELECT conv_id, turn, unnest(string_split(t, ' ')) AS word, unnest(range(1, len(string_split(t, ' ')) + 1)) AS pos
-    FROM (SELECT conv_id, turn, any_value(regexp_replace(lower(text), '[^a-z ]', '', 'g')) AS t FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1)
+    FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST, role NULLS FIRST) AS turn, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS t FROM conversations)
   ) GROUP BY conv_id, turn) GROUP BY conv_id""")
 def span_join(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"), F.count("*").alias("n")).where("n = 1")
-    return _joined(turns)
-
-
-@query()
-def span_join_every_turn(spark, sf_dir):
     # turns of one number stand in the order of their texts
     order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text", "role"))
     return _joined(table(spark, sf_dir, "conversations").withColumn("turn", order))
@@ -343,11 +337,6 @@ def ocr_repair(spark, sf_dir):
     return _repaired(pages_of(spark, sf_dir))
 
 
-@query()
-def ocr_repair_every_host(spark, sf_dir):
-    return _repaired(pages_of(spark, sf_dir))
-
-
 def _repaired(pages):
     wrong = F.regexp_replace(urls.host_of(F.col("url")), r"\.com$", ".corn")
     return pages.select("page_id", urls.repair_ocr(wrong).alias("host"))
@@ -358,11 +347,6 @@ def confusable_snap(spark, sf_dir):
     return _snapped(pages_of(spark, sf_dir))
 
 
-@query()
-def confusable_snap_every_host(spark, sf_dir):
-    return _snapped(pages_of(spark, sf_dir))
-
-
 def _snapped(pages):
     host = urls.host_of(F.col("url"))
     misread = F.regexp_replace(host, "^([^e]*)e", "$1c")
@@ -441,9 +425,9 @@ def finder_ratio(spark, sf_dir):
 _WORDS = ", ".join(f"'{w}'" for w in lex.TEXT_WORDS)
 
 
-@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents WHERE lang = 'en') WHERE word IN ({_WORDS}) GROUP BY word")
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents) WHERE word IN ({_WORDS}) GROUP BY word")
 def lexicon_semi(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("word"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("word"))
     return words.where(F.col("word").isin(*lex.TEXT_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linkloom.functions import registry
-from linkloom.operators import boxes, finders, regions, rows
-from linkloom.plans.catalogue import ORACLE_SQL, QUERIES, pages_of, query, table
+from linkloom.functions import meta, registry
+from linkloom.functions.exact import exact_round
+from linkloom.operators import boxes, finders, numbering, regions, report, rows
+from linkloom.streaming import jobs
+from linkloom.plans.catalogue import ORACLE_SQL, QUERIES, RESULTS, STATS, _results, pages_of, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -152,3 +154,111 @@ def sql_links(spark, sf_dir):
         f"FROM {{pages}} p, LATERAL extract_urls({text}) u WHERE u.ord = 0",
         pages=pages_of(spark, sf_dir),
     )
+
+
+@query("SELECT event_id, format('{:.0f}', value / 8)::DOUBLE AS whole, format('{:.1f}', value / 8)::DOUBLE AS tenth, format('{:.2f}', value / 8)::DOUBLE AS hundredth FROM events")
+def exact_rounding(spark, sf_dir):
+    """Doubles rounded by their exact values, half to even."""
+    x = F.col("value") / 8
+    return table(spark, sf_dir, "events").select("event_id", exact_round(x, 0).alias("whole"), exact_round(x, 1).alias("tenth"), exact_round(x, 2).alias("hundredth"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders")
+def row_numbers(spark, sf_dir):
+    """Numbers without gaps over a whole table in one order."""
+    return numbering.number_rows(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "n")
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_orderstatus || '.pdf' AS file_name, CASE WHEN lag(o_orderstatus) OVER (ORDER BY o_orderkey) = o_orderstatus THEN 0 ELSE 1 END AS new FROM orders)
+SELECT o_orderkey, (sum(new) OVER (ORDER BY o_orderkey))::BIGINT AS island, CASE WHEN new = 1 THEN file_name END AS shown FROM m""")
+def whole_file_islands(spark, sf_dir):
+    """Runs of equal file names over a whole table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit(".pdf")).alias("file_name"))
+    return report.merge_file_cells(orders, "file_name", ["o_orderkey"]).select("o_orderkey", "island", "shown")
+
+
+@query("""WITH d AS (SELECT user_id % 50 AS job, event_id AS nth, event_id % 4 AS n_pages, event_type = 'error' AS failed, 1 + event_id % 11 AS n FROM events),
+l AS (SELECT job, nth, unnest(range(greatest(1, n - 7), n + 1)) AS i FROM d WHERE NOT failed),
+r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY nth DESC, i) AS k FROM l),
+n AS (SELECT job, string_agg('a' || nth || '.com/' || i, ' ' ORDER BY k) AS recent FROM r WHERE k <= 10 GROUP BY job)
+SELECT job::VARCHAR AS job, files_done, files_failed, pages_scanned, coalesce(recent, '') AS recent FROM (
+  SELECT job, count(*) AS files_done, count_if(failed)::BIGINT AS files_failed, coalesce(sum(greatest(n_pages, 1)) FILTER (WHERE NOT failed), 0)::BIGINT AS pages_scanned FROM d GROUP BY job) LEFT JOIN n USING (job)""")
+def job_states(spark, sf_dir):
+    """Every event is a file that is done, of one of fifty jobs: files done and failed, pages scanned, and the ten newest links."""
+    links = F.transform(F.sequence(F.lit(1), (1 + F.col("event_id") % 11).cast("int")), lambda i: F.struct(F.concat(F.lit("a"), F.col("event_id"), F.lit(".com/"), i).alias("url"), i.alias("page"), F.lit("text").alias("source")))
+    done = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("job"), F.col("event_id").alias("nth"), (F.col("event_id") % 4).cast("int").alias("n_pages"), F.when(F.col("event_type") == "error", "broken").alias("error"), links.alias("links"))
+    return jobs.jobs_done(done).withColumn("recent", F.array_join(F.transform("recent", lambda x: x["url"]), " "))
+
+
+READ = "f AS (SELECT page_id % 20 AS file_idx, count(*) AS n, page_id % 20 = 3 AS failed FROM pages GROUP BY ALL)"
+
+
+def _files(spark, sf_dir):
+    return pages_of(spark, sf_dir).groupBy((F.col("page_id") % 20).alias("file_idx")).agg(F.count("*").alias("n_pages")).withColumn("error", F.when(F.col("file_idx") == 3, "file3 is broken"))
+
+
+@query(f"""WITH {RESULTS}, s AS (SELECT {STATS} FROM r), {READ}
+SELECT * EXCLUDE (files, pages), (SELECT count(*) FROM f) AS files_done, (SELECT sum(n) FILTER (WHERE NOT failed) FROM f)::BIGINT AS pages_scanned, 30::BIGINT AS files_total, 'verify' AS phase FROM s""")
+def job_stats_full(spark, sf_dir):
+    """All twelve counts of a job while its links are checked."""
+    return report.full_stats(_results(spark, sf_dir), _files(spark, sf_dir), 30, "verify")
+
+
+@query(f"""WITH {RESULTS}, s AS (SELECT {STATS} FROM r), {READ}, l AS (SELECT * FROM r ORDER BY file_idx DESC, page_number DESC, seq DESC LIMIT 10)
+SELECT 'job-1' AS job_id, 'running' AS status, least(8 + (SELECT count(*) FROM f) * 62 // 30, 68)::INT AS progress, 'Reading' AS message, urls_found, working_urls,
+  (SELECT string_agg(url, ' ' ORDER BY file_idx DESC, page_number DESC, seq DESC) FROM l) AS recent FROM s""")
+def job_snapshot_full(spark, sf_dir):
+    """What a client is told of a job that still reads files."""
+    told = report.snapshot(_results(spark, sf_dir), _files(spark, sf_dir), "job-1", 30, "extract", "Reading")
+    return told.select("job_id", "status", "progress", "message", "stats.urls_found", "stats.working_urls", F.array_join(F.transform("recent", lambda r: r["url"]), " ").alias("recent"))
+
+
+BOX = "l_orderkey, l_linenumber, (l_partkey % 90)::DOUBLE AS x0, (l_suppkey % 90)::DOUBLE AS y0, l_partkey % 90 + l_quantity::DOUBLE AS x1, l_suppkey % 90 + 20.0::DOUBLE AS y1"
+
+
+def _lines(spark, sf_dir):
+    x, y = F.col("l_partkey") % 90, F.col("l_suppkey") % 90
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", boxes.box(x, y, x + F.col("l_quantity"), y + 20.0).alias("box"))
+
+
+@query(f"""WITH b AS (SELECT {BOX}, (x1 - x0) * (y1 - y0) AS area FROM lineitem), p AS (SELECT l_orderkey, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}}) AS placed FROM b WHERE l_linenumber = 1 GROUP BY l_orderkey)
+SELECT b.l_orderkey, b.l_linenumber, len(list_filter(coalesce(placed, []), lambda p: greatest(0.0, least(p.x1, x1) - greatest(p.x0, x0)) * greatest(0.0, least(p.y1, y1) - greatest(p.y0, y0)) >= 0.45 * least(area, p.area)
+  OR CASE WHEN area <= p.area THEN (x0 + x1) / 2 BETWEEN p.x0 AND p.x1 AND (y0 + y1) / 2 BETWEEN p.y0 AND p.y1 ELSE (p.x0 + p.x1) / 2 BETWEEN x0 AND x1 AND (p.y0 + p.y1) / 2 BETWEEN y0 AND y1 END
+  OR greatest(0.0, least(p.x1, x1) - greatest(p.x0, x0)) * greatest(0.0, least(p.y1, y1) - greatest(p.y0, y0)) / greatest(1.0, area) >= 0.72)) > 0 AS found,
+  greatest(1.8, least(14.0, 480.0 / greatest(1.0, least(x1 - x0, y1 - y0))))::DOUBLE AS zoom FROM b LEFT JOIN p USING (l_orderkey) WHERE l_linenumber > 1""")
+def already_found(spark, sf_dir):
+    """Whether a code of an order's first line lies where another line's region is, so that it need not be read again; and how far to enlarge that region."""
+    own = _lines(spark, sf_dir)
+    placed = own.where("l_linenumber = 1").groupBy("l_orderkey").agg(F.collect_list("box").alias("placed"))
+    asked = own.where("l_linenumber > 1").join(placed, "l_orderkey", "left").withColumn("placed", F.coalesce("placed", F.slice(F.array("box"), 1, 0)))
+    zoom = meta.region_zoom(boxes.width(F.col("box")), boxes.height(F.col("box")))
+    return asked.select("l_orderkey", "l_linenumber", boxes.already_found(F.col("box"), F.col("placed")).alias("found"), zoom.alias("zoom"))
+
+
+@query(f"""WITH b AS (SELECT {BOX}, l_suppkey % 7 AS n, (x1 - x0) * (y1 - y0) AS area FROM lineitem), o AS (SELECT * FROM b WHERE l_linenumber = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY x0, y0, x1, n) = 1)
+SELECT b.l_orderkey, b.l_linenumber, b.x0, b.y0, b.x1, b.n, CASE WHEN (greatest(1.0, b.area) < 0.85 * greatest(1.0, o.area) AND b.n > 0) OR b.n > o.n THEN 'new' ELSE 'old' END AS better FROM b JOIN o USING (l_orderkey) WHERE b.l_linenumber > 1""")
+def preferred_hit(spark, sf_dir):
+    """Of an order's first reading and each other one, which shows the code better."""
+    own = _lines(spark, sf_dir).withColumn("n", F.col("l_suppkey") % 7)
+    hit = lambda name: F.struct(F.lit(name).alias("payload"), F.expr("cast(repeat('x', cast(n as int)) as binary)").alias("png"), F.col("box"))
+    first = own.where("l_linenumber = 1").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("box.x0", "box.y0", "box.x1", "n"))).where("k = 1").select("l_orderkey", hit("old").alias("old"))
+    both = own.where("l_linenumber > 1").select("l_orderkey", "l_linenumber", "box", "n", hit("new").alias("new")).join(first, "l_orderkey")
+    return both.select("l_orderkey", "l_linenumber", "box.x0", "box.y0", "box.x1", "n", boxes.prefer_hit(F.col("old"), F.col("new"))["payload"].alias("better"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'qr' ELSE 'image' END AS source, CASE page_id % 3 WHEN 0 THEN '{"pay": ' || page_id || '}' WHEN 1 THEN 'https://acme.com/p' || page_id ELSE 'upi://pay?pa=' || page_id END AS url
+FROM pages UNION ALL SELECT page_id, 'qr', 'no link' FROM pages WHERE page_id % 2 = 0""")
+def final_filter(spark, sf_dir):
+    """The last filter over rows that callers add: codes and payment links as they are, other rows cleaned once more, and gone where they are no links."""
+    k = F.col("page_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit('{"pay": '), k, F.lit("}"))).when(k % 3 == 1, F.concat(F.lit("https://acme.com/p"), k, F.lit(".)"))).otherwise(F.concat(F.lit("upi://pay?pa="), k))
+    own = pages_of(spark, sf_dir).select("page_id", F.when(k % 3 == 0, "qr").otherwise("image").alias("source"), text.alias("url"))
+    more = pages_of(spark, sf_dir).select("page_id", F.when(k % 2 == 0, "qr").otherwise("image").alias("source"), F.lit("no link").alias("url"))
+    return rows.keep_final(own.unionByName(more))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(1.8, least(3.2, 3000 / greatest(100 + l_quantity::DOUBLE * 30, 400.0 + l_suppkey % 900)))::DOUBLE AS zoom FROM lineitem")
+def page_zooms(spark, sf_dir):
+    """How far pages of some sizes are enlarged before they are read."""
+    wide, high = 100 + F.col("l_quantity") * 30, 400.0 + F.col("l_suppkey") % 900
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", meta.page_zoom(wide, high).alias("zoom"))

@@ -83,7 +83,7 @@ def html_pages(pages: DataFrame) -> DataFrame:
     """
     shown = F.regexp_replace("html", HIDDEN, " ")
     written = F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(TAG), 0), lambda tag: F.regexp_extract_all(tag, F.lit(HREF), 0)))
-    hrefs = F.transform(written, lambda h: F.trim(_decoded(F.regexp_replace(h, r"(?i)^href\s*=\s*[\"']?|[\"']$", ""))))
+    hrefs = F.transform(written, lambda h: F.trim(_decoded(_href(h))))
     whole = F.filter(F.transform(hrefs, lambda h: F.regexp_replace(h, "^//", "https://")), lambda h: h.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*://|www\.)"))
     text = _decoded(F.regexp_replace(F.regexp_replace(shown, INLINE, ""), TAG, BLOCK))
     uris = F.concat(F.array("url"), F.coalesce(whole, F.array().cast("array<string>")))
@@ -97,6 +97,12 @@ def html_footers(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("file_idx"), F.lit(1).alias("page_number"), plain.alias("page_text"), F.array("url").alias("uris"))
 
 
+def _href(written: Column) -> Column:
+    return F.regexp_replace(written, r"(?i)^href\s*=\s*[\"']?|[\"']$", "")
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """href values of web pages, in page order."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("ord", "href"))
+    """href values of web pages as they are written, in page order: in double or single quotes, or in none."""
+    tags = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(TAG), 0)
+    written = F.flatten(F.transform(tags, lambda tag: F.regexp_extract_all(tag, F.lit(HREF), 0)))
+    return pages.select("page_id", F.posexplode(F.transform(written, _href)).alias("ord", "href"))

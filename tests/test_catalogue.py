@@ -49,14 +49,8 @@ def test_every_line_makes_components(spark, sf_dir):
     assert sorted(map(tuple, QUERIES["grid_components_every_line"](spark, sf_dir).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["ocr_repair_every_host", "confusable_snap_every_host"])
-def test_every_host_comes_back(spark, sf_dir, name):
-    hosts = duckdb.execute(f"select page_id, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) from '{sf_dir}/pages.parquet'").fetchall()
-    assert sorted(map(tuple, QUERIES[name](spark, sf_dir).collect())) == sorted(hosts)
-
-
 def test_repeated_turns_stay(spark, tmp_path):
     rows = [("c", 1, "user", "b c"), ("c", 1, "user", "a d"), ("c", 0, "user", "e"), ("c", 1, "user", "a d")]
     spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = QUERIES["span_join_every_turn"](spark, str(tmp_path)).collect()
+    got = QUERIES["span_join"](spark, str(tmp_path)).collect()
     assert [(r.conv_id, r.page_text) for r in got] == [("c", "e\na d\na d\nb c")]
