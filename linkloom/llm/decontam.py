@@ -2,7 +2,8 @@
 
 A document and a test item that share a seed of min_match words are tiled: their longest common stretch of words that
 are still unmarked is marked, again and again, down to min_match words. Matches are found with Karp-Rabin hashes of
-min_match words, run on along their diagonals. The share of the item's words that tiles cover decides, so a passage
+min_match words where the words before differ, so each longest match is found once, at its start, and run on by halving.
+The share of the item's words that tiles cover decides, so a passage
 is caught when its parts come in another order.
 
 Test items are taken in blocks of bounded size. A block is joined to the documents where they are: every task holds the
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from functools import reduce
 from itertools import repeat
 
@@ -48,83 +48,130 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tile(doc: list, item: list, seeds: list[tuple[int, int]], min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, words), the longest first. seeds: places where min_match words are equal."""
-    runs: dict[int, list[int]] = defaultdict(list)
-    for p, q in seeds:
-        if doc[p : p + min_match] == item[q : q + min_match]:
-            runs[p - q].append(p)
-    heap = []
-    for diagonal, places in runs.items():
-        places.sort()
-        begin = last = places[0]
-        for p in [*places[1:], None]:
-            if p is None or p > last + 1:
-                heap.append((-(last - begin + min_match), begin, begin - diagonal))
-                begin = p
-            last = p
-    heapq.heapify(heap)
-    in_doc, in_item, tiles = set(), bytearray(len(item)), []
-    while heap:
-        n, p, q = heapq.heappop(heap)
-        free = [not in_item[q + j] and p + j not in in_doc for j in range(-n)]
-        if all(free):
-            tiles.append((p, q, -n))
-            in_item[q : q - n] = b"\x01" * -n
-            in_doc.update(range(p, p - n))
+def prefix_sums(codes: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Sums of codes times powers up to each place, modulo 2**64: stretches of two arrays are told apart by their differences."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers[: len(codes)], out=out[1:])
+    return out
+
+
+def tile(doc: np.ndarray, item: np.ndarray, matches: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in doc, place in item, words), the longest first. doc and item are word codes; matches has rows (place in doc, place in item, words) that cannot be made longer on either side."""
+    matches = matches[np.lexsort((matches[:, 1], matches[:, 0], -matches[:, 2]))]
+    in_doc, in_item, tiles, covered = bytearray(len(doc)), bytearray(len(item)), [], 0
+    pieces: list[tuple[int, int, int]] = []
+    rows = ((-n, p, q) for p, q, n in map(np.ndarray.tolist, matches))
+    at = next(rows, None)
+    while (at or pieces) and len(item) - covered >= min_match:
+        if at and (not pieces or at < pieces[0]):
+            (n, p, q), at = at, next(rows, None)
+        else:
+            n, p, q = heapq.heappop(pieces)
+        n = -n
+        if in_item.count(1, q, q + n) > n - min_match:
             continue
-        begin = None
-        for j, open_ in enumerate([*free, False]):
-            if open_ and begin is None:
-                begin = j
-            elif not open_ and begin is not None:
-                if j - begin >= min_match:
-                    heapq.heappush(heap, (begin - j, p + begin, q + begin))
-                begin = None
+        free = np.frombuffer(in_doc, np.uint8)[p : p + n] + np.frombuffer(in_item, np.uint8)[q : q + n] == 0
+        free &= doc[p : p + n] == item[q : q + n]
+        if free.all():
+            tiles.append((p, q, n))
+            in_item[q : q + n] = in_doc[p : p + n] = b"\x01" * n
+            covered += n
+        elif np.count_nonzero(free) >= min_match:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+            for begin, end in edges.reshape(-1, 2).tolist():
+                if end - begin >= min_match:
+                    heapq.heappush(pieces, (begin - end, p + begin, q + begin))
     return tiles
 
 
+class Seeds:
+    """The windows of so many words of test items, by hash and by the word before: sorted, with the item and place of each."""
+
+    def __init__(self, n: int, items: list[tuple[int, np.ndarray]]):
+        self.n = n
+        hashes = np.concatenate([rolling(codes, n) for _, codes in items])
+        left = np.concatenate([np.concatenate([[1], codes[: len(codes) - n].astype(np.int64) + 2]) for _, codes in items])
+        self.groups, group = np.unique(hashes, return_inverse=True)
+        keys = (group << 32) + left
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.item = np.concatenate([np.full(len(codes) - n + 1, k) for k, codes in items])[order]
+        self.place = np.concatenate([np.arange(len(codes) - n + 1) for _, codes in items])[order]
+
+    def pairs(self, ids: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document places, items and item places where a window is equal and the words before it are not.
+
+        A place deep in a longer match, or in a period that both have, has equal words before it and is never listed.
+        """
+        whole = np.flatnonzero(missing[self.n :] == missing[: -self.n])
+        hashes = rolling(ids.astype(np.uint64), self.n)[whole]
+        group = np.minimum(np.searchsorted(self.groups, hashes), len(self.groups) - 1)
+        known = self.groups[group] == hashes
+        at, group = whole[known], group[known]
+        if not len(at):
+            return at, at, at
+        left = np.where(at > 0, ids[at - 1] + 2, 0)
+        left[left == 1] = 0  # a word that no item has
+        first, last = np.searchsorted(self.keys, group << 32), np.searchsorted(self.keys, (group + 1) << 32)
+        same, after = np.searchsorted(self.keys, (group << 32) + left), np.searchsorted(self.keys, (group << 32) + left, "right")
+        starts, sizes = np.concatenate([first, after]), np.concatenate([same - first, last - after])
+        own = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return np.repeat(np.concatenate([at, at]), sizes), self.item[own], self.place[own]
+
+
 class Items:
     """A block of test items (item_id, text) with an index of their seeds."""
 
     def __init__(self, rows: list[tuple[int | None, str]], min_match: int, min_coverage: float):
         self.min_coverage = min_coverage
         words = [(i, words_of(t)) for i, t in rows]
-        self.items = [(i, w) for i, w in words if len(w) >= min_match or sum(map(len, w)) >= MIN_CHARS]
-        self.seed_words = [min(min_match, len(w)) for _, w in self.items]
-        self.codes = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
-        # by the number of words of a seed: sorted hashes, and the item and the place of each
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted(set(self.seed_words)):
-            own = [(k, rolling(np.array([self.codes[w] for w in ws], np.uint64), n)) for k, (_, ws) in enumerate(self.items) if self.seed_words[k] == n]
-            h = np.concatenate([x for _, x in own])
-            order = np.argsort(h, kind="stable")
-            item, place = np.repeat([k for k, _ in own], [len(x) for _, x in own]), np.concatenate([np.arange(len(x)) for _, x in own])
-            self.seeds[n] = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        words = [(i, w) for i, w in words if len(w) >= min_match or sum(map(len, w)) >= MIN_CHARS]
+        self.ids = [i for i, _ in words]
+        self.codes = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in words for w in ws))}
+        self.items = [np.array([self.codes[w] for w in ws], np.uint64) for _, ws in words]
+        self.seed_words = [min(min_match, len(w)) for w in self.items]
+        self.seeds = [Seeds(n, [(k, w) for k, w in enumerate(self.items) if self.seed_words[k] == n]) for n in sorted(set(self.seed_words))]
+        self.starts = np.cumsum([0, *map(len, self.items)])
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(self.starts[-1]) + 1, BASE)]))
+        self.sums = prefix_sums(np.concatenate([*self.items, np.zeros(1, np.uint64)]) + np.uint64(1), self.powers)
 
     def hits(self, text: str | None) -> list[dict]:
         words = words_of(text)
         ids = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
         missing = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(ids < 0, out=missing[1:])
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (seeds, item, place) in self.seeds.items():
-            whole = np.flatnonzero(missing[n:] == missing[:-n])
-            if not len(whole):
-                continue
-            hashes = rolling(ids.astype(np.uint64), n)[whole]
-            first, last = np.searchsorted(seeds, hashes), np.searchsorted(seeds, hashes, "right")
-            for j in np.flatnonzero(last > first).tolist():
-                p = int(whole[j])
-                for k, q in zip(item[first[j] : last[j]].tolist(), place[first[j] : last[j]].tolist(), strict=True):
-                    found[k].append((p, q))
-        return [hit for k in sorted(found) if (hit := self.judge(words, k, found[k]))]
-
-    def judge(self, words: list[str], k: int, seeds: list[tuple[int, int]]) -> dict | None:
-        i, item = self.items[k]
-        tiles = tile(words, item, seeds, self.seed_words[k])
+        found = [(seeds.n, *seeds.pairs(ids, missing)) for seeds in self.seeds if len(ids) >= seeds.n]
+        out = []
+        for n, p, item, q in found:
+            if len(p):
+                size = self.lengths(ids, p, item, q, n)
+                order = np.argsort(item, kind="stable")
+                bounds = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = order[lo:hi]
+                    out.append((int(item[own[0]]), np.stack([p[own], q[own], size[own]], axis=1)))
+        return [hit for k, matches in sorted(out, key=lambda x: x[0]) if (hit := self.judge(ids, k, matches))]
+
+    def lengths(self, ids: np.ndarray, p: np.ndarray, item: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """How far the words from p and q on are equal, n at least: by halving, each step one comparison of sums."""
+        if len(self.powers) <= len(ids):
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * len(ids), BASE)]))
+        sums, powers = prefix_sums((ids + 1).astype(np.uint64), self.powers), self.powers
+        at = self.starts[item] + q
+        low, high = np.full(len(p), n), np.minimum(len(ids) - p, self.starts[item + 1] - at)
+        while len(open_ := np.flatnonzero(low < high)):
+            half = (low[open_] + high[open_] + 1) // 2
+            a, b = p[open_], at[open_]
+            equal = (sums[a + half] - sums[a]) * powers[b] == (self.sums[b + half] - self.sums[b]) * powers[a]
+            low[open_] = np.where(equal, half, low[open_])
+            high[open_] = np.where(equal, high[open_], half - 1)
+        return low
+
+    def judge(self, ids: np.ndarray, k: int, matches: np.ndarray) -> dict | None:
+        i, item = self.ids[k], self.items[k].astype(np.int64)
+        tiles = tile(ids, item, matches, self.seed_words[k])
         covered = sum(n for _, _, n in tiles)
-        if covered < self.min_coverage * len(item):
+        if covered < self.min_coverage * len(item) or not tiles:
             return None
         return {"item_id": i, "n_item_words": len(item), "n_covered": covered, "n_tiles": len(tiles), "tiles": [{"doc_word": p, "item_word": q, "n_words": n} for p, q, n in tiles]}
 

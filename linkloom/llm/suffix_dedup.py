@@ -186,7 +186,8 @@ def equal_runs(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         if not len(index):
             break
         run = np.cumsum(begin) - 1
-        pivot = at[index[begin]][run]
+        # the middle one, so strings that come in order are halved as well
+        pivot = at[index[np.flatnonzero(begin) + (np.bincount(run) - 1) // 2]][run]
         own, parted, open_ = at[index], np.full(len(index), -1), np.arange(len(index))
         for k, step in enumerate(steps):
             differ = word[own[open_] + step] != word[pivot[open_] + step]

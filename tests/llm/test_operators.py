@@ -235,6 +235,25 @@ def test_tiles_are_those_of_the_definition():
         assert (hit[0]["n_covered"] if hit else 0) == brute_tiles(doc, item, 3)
 
 
+def test_tiles_of_repetitive_texts_take_bounded_work():
+    """Only the starts of longest matches are listed, so a page of one word or of one period does not hold a pair for each of its places and the item's."""
+    for period, tail in (["w"], []), (["w"], list("abcdefgh")), ("a b c d e f g".split(), ["q"] * 6):
+        item = (period * 1000)[:1000] + tail
+        found = decontam.Items([(1, " ".join(item))], 5, 0.5)
+        ids = np.array([found.codes[w] for w in (period * 200_000)[:200_000]])
+        p, _, _ = found.seeds[0].pairs(ids, np.zeros(len(ids) + 1, np.int64))
+        assert len(p) < 300_000
+        began = time.time()
+        (hit,) = found.hits(" ".join((period * 200_000)[:200_000]))
+        assert (hit["n_covered"], hit["n_tiles"]) == (1000, 1) and time.time() - began < 30
+    r = random.Random(5)
+    for _ in range(40):
+        letters = "ab"[: r.randint(1, 2)]
+        item, doc = ([r.choice(letters) for _ in range(r.randint(3, 25))] for _ in range(2))
+        hit = decontam.Items([(7, " ".join(item))], 3, 0.0).hits(" ".join(doc))
+        assert (hit[0]["n_covered"] if hit else 0) == brute_tiles(doc, item, 3)
+
+
 def test_tiles_catch_reordered_passages(spark):
     item, other = [f"w{k}" for k in range(24)], [f"v{k}" for k in range(12)]
     long = " ".join(["z"] * 200_000 + item)
