@@ -169,6 +169,18 @@ def uncovered(boxes: Column, share: float = 0.6) -> Column:
     return fold(boxes, lambda kept, b: meta.is_covered(b, kept, share), lambda kept, _: kept)
 
 
+#: How many of a page's or picture's things are looked at, by kind.
+CAPS = {"picture": 120, "decoded": 8, "chunk": 6, "finder": 4, "drawing": 4, "unique": 6}
+
+
+def first_of(things: DataFrame, page: list[str], kind: str = "kind", order: str = "ord") -> DataFrame:
+    """The first things (ord) of each kind of a page, as many as the kind allows (CAPS): rank counts them. Kinds without a cap are not looked at."""
+    most = F.create_map(*(F.lit(x) for k, n in CAPS.items() for x in (k, n)))[F.col(kind)]
+    ranked = things.withColumn("rank", F.row_number().over(Window.partitionBy(*page, kind).orderBy(order)))
+    # the largest cap as a number, so that rows beyond it go before the shuffle
+    return ranked.where((F.col("rank") <= max(CAPS.values())) & (F.col("rank") <= most))
+
+
 def top_pictures(pictures: DataFrame, page: list[str], page_area: float, most: int = TOP_PICTURES) -> DataFrame:
     """The pictures (ord, box) of each page to look into first: square ones of a code's size, the largest first, then others, the smallest first."""
     b = F.col("box")

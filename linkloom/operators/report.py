@@ -179,6 +179,13 @@ def escape_html(value: Column) -> Column:
     return value
 
 
+def user_message(error: Column, fallback: Column | str, away: str = "Cannot reach the server.") -> Column:
+    """What a client shows for an error's text: away where no server answers, the fallback where there is none or an empty one."""
+    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
+    raw = F.coalesce(F.nullif(error, F.lit("")), other)
+    return F.when(raw.rlike("(?i)failed to fetch|networkerror"), away).otherwise(raw)
+
+
 def format_bytes(n: Column) -> Column:
     """A size in B, KB, MB or GB, with one decimal below 10."""
     power = F.least(F.lit(3), F.when(n >= 1 << 30, 3).when(n >= 1 << 20, 2).when(n >= 1 << 10, 1).otherwise(0))

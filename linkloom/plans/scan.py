@@ -262,3 +262,22 @@ def page_zooms(spark, sf_dir):
     """How far pages of some sizes are enlarged before they are read."""
     wide, high = 100 + F.col("l_quantity") * 30, 400.0 + F.col("l_suppkey") % 900
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", meta.page_zoom(wide, high).alias("zoom"))
+
+
+KINDS = ("picture", "decoded", "chunk", "finder", "drawing", "unique", "other")
+
+
+@query("""WITH t AS (SELECT user_id, event_id AS ord, (['picture', 'decoded', 'chunk', 'finder', 'drawing', 'unique', 'other'])[(event_id % 7 + 1)::INT] AS kind FROM events)
+SELECT user_id, ord, kind, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ord) AS rank FROM t)
+WHERE rank <= CASE kind WHEN 'picture' THEN 120 WHEN 'decoded' THEN 8 WHEN 'chunk' THEN 6 WHEN 'finder' THEN 4 WHEN 'drawing' THEN 4 WHEN 'unique' THEN 6 ELSE 0 END""")
+def page_caps(spark, sf_dir):
+    """The first things of each kind on a page, as many as are looked at."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 7 + 1).cast("int"))
+    return boxes.first_of(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), kind.alias("kind")), ["user_id"])
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'Cannot reach the server.' WHEN 'click' THEN 'Upload failed' ELSE event_type || ' failed' END AS message FROM events""")
+def user_messages(spark, sf_dir):
+    kind = F.col("event_type")
+    error = F.when(kind == "error", "TypeError: Failed to fetch").when(kind == "click", "").otherwise(F.concat(kind, F.lit(" failed")))
+    return table(spark, sf_dir, "events").select("event_id", report.user_message(error, "Upload failed").alias("message"))
