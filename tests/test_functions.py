@@ -80,3 +80,28 @@ def test_default_ports_go(spark):
     cases = {"https://A.com:443/x": "https://a.com/x", "http://a.com:80": "http://a.com", "http://a.com:443/": "http://a.com:443/", "https://a.com:4433/": "https://a.com:4433/"}
     df = spark.createDataFrame([(k,) for k in cases], "u string")
     assert {r.u: r.s for r in df.select("u", urls.strip_default_port(F.col("u")).alias("s")).collect()} == cases
+
+
+def test_dots_are_decided_by_the_labels_beside_them(spark):
+    cases = {
+        "acme . com": "acme.com", "Visit acme.com. Then": "Visit acme.com. Then", "see acme. the end": "see acme. the end", "acme.com.The next": "acme.com. The next",
+        "the . acme": "the . acme", "a1 .\n b2": "a1.b2", "x" + " " * 60 + ".com": "x" + " " * 60 + ".com", ". com": ". com", "one. .two": "one. .two", "www . acme . co.uk": "www.acme.co.uk",
+        "a.": "a.", "...": "...", "": "", "my-com.in x": "my-com.in x", "l'été.com": "l'été.com".replace("'", ""),
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [(r.t, r.s) for r in df.select("t", "want", urls.sanitize(F.col("t")).alias("s")).collect() if r.s != r.want] == []
+
+
+def test_standing_links_equal_a_pattern():
+    import random
+    import re
+
+    from linkloom.operators.rows import standing
+
+    r = random.Random(2)
+    links = ["a.com", "a.com/x", "b.org", "a.com/x/y", "é.fr", "com"]
+    for _ in range(300):
+        text = "".join(r.choice([*links, " ", "/", ".", "é", "1", "-", ",", "²", "़"]) for _ in range(r.randint(0, 30)))
+        want = [sum(1 for m in re.finditer(re.escape(x), text) if not (m.start() and (text[m.start() - 1] in "./@_-" or text[m.start() - 1].isalnum())) and text[m.end() : m.end() + 1] != "/") for x in links]
+        assert standing(text, links) == want
+    assert standing(None, ["a"]) == [0] and standing("a", []) == [] and standing("a", [""]) == [0]
