@@ -19,11 +19,31 @@ RUN_SHARES, MIDDLE_SHARES, RING, SMALLEST = (0.4, 1.8), (0.55, 1.8), (8.0, 72.0)
 BLOCK = 64
 
 
+def _runs_of(mask: Column) -> Column:
+    """The runs of ones in a mask of 32 bits, held as a long, lowest first: array<struct<low, n>>."""
+    bit = lambda m: F.bit_count(m.bitwiseAND(-m) - 1)  # noqa: E731  # the place of the lowest one
+    less = lambda m: m.bitwiseAND(m - 1)  # noqa: E731  # without it
+    state = lambda first, last, runs: F.struct(first.alias("first"), last.alias("last"), runs.alias("runs"))
+    one = lambda x: F.array(let(bit(x["first"]), lambda low: F.struct(low.alias("low"), (bit(x["last"]) - low + 1).alias("n"))))
+    edges = state(mask.bitwiseAND(F.bitwise_not(F.shiftleft(mask, 1))), mask.bitwiseAND(F.bitwise_not(F.shiftright(mask, 1))), F.array().cast("array<struct<low:int,n:int>>"))
+    return let(edges, lambda x: F.aggregate(F.sequence(F.lit(1), F.bit_count(x["first"])), x, lambda x, _: state(less(x["first"]), less(x["last"]), F.concat(x["runs"], one(x))), lambda x: x["runs"]))
+
+
 def dark_runs(dark: DataFrame, line: list[str], along: str) -> DataFrame:
-    """Runs of dark places on each line: line, start, length. Rows of dark that repeat are one place."""
-    w = Window.partitionBy(*line).orderBy(along)
-    island = dark.select(*line, along).distinct().withColumn("__run", F.col(along) - F.row_number().over(w))
-    return island.groupBy(*line, "__run").agg(F.min(along).alias("start"), F.count("*").alias("length")).drop("__run")
+    """Runs of dark places on each line: line, start, length. Rows of dark that repeat are one place.
+
+    Places are put together as the bits of 32 before anything is shuffled; runs that meet where two such blocks do are one.
+    """
+    place = F.col(along).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int"))
+    blocks = dark.where(place.isNotNull()).groupBy(*line, F.shiftright(place, 5).alias("__block")).agg(F.bit_or(bit).alias("__mask"))
+    runs = blocks.select(*line, "__block", F.explode(_runs_of(F.col("__mask"))).alias("__r"))
+    start = F.col("__block") * 32 + F.col("__r.low")
+    w = Window.partitionBy(*line).orderBy("start")
+    met = runs.select(*line, start.alias("start"), (start + F.col("__r.n")).alias("stop")).withColumns({"__before": F.lag("stop").over(w), "__after": F.lead("start").over(w)})
+    begin = F.last(F.when(~F.col("__before").eqNullSafe(F.col("start")), F.col("start")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = met.withColumn("__begin", begin).where(~F.col("__after").eqNullSafe(F.col("stop")))
+    return whole.select(*line, F.col("__begin").alias("start"), (F.col("stop") - F.col("__begin")).alias("length"))
 
 
 def five_runs(runs: DataFrame, line: list[str]) -> DataFrame:
@@ -49,10 +69,11 @@ def confirmed(finders: DataFrame, dark: DataFrame, of: list[str]) -> DataFrame:
     """The finders (of, x, y, unit) whose middle is dark, with the pattern on the row and on the column through it.
 
     Both axes have an index of runs; a finder meets the patterns of its line that reach into the block of places that it
-    lies in, so no finder is compared with all patterns of a line.
+    lies in, so no finder is compared with all patterns of a line. The middle is dark where it lies in a dark run of the
+    row's pattern. The index is never broadcast: Spark takes it for as small as what it is made from, and it holds a row
+    for each run of a picture.
     """
     left = finders.withColumns({"__x": F.bround("x").cast("long"), "__y": F.bround("y").cast("long")})
-    left = left.join(dark.select(*of, F.col("x").cast("long").alias("__x"), F.col("y").cast("long").alias("__y")).distinct(), [*of, "__x", "__y"], "left_semi")
     for line, along in (("y", "x"), ("x", "y")):
         patterns = five_runs(dark_runs(dark, [*of, line], along), [*of, line]).where("n2 >= 3")
         blocks = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK)))
@@ -60,8 +81,10 @@ def confirmed(finders: DataFrame, dark: DataFrame, of: list[str]) -> DataFrame:
         place, unit = F.col(f"__{along}"), F.col("unit")
         outer = [F.col(f"__n{k}").between(RUN_SHARES[0] * unit, RUN_SHARES[1] * unit) for k in (0, 1, 3, 4)]
         inside = [place >= F.col("start"), place < F.col("stop"), (F.col("__n2") / 3.0).between(MIDDLE_SHARES[0] * unit, MIDDLE_SHARES[1] * unit), *outer]
+        ends = [F.col("start") + sum((F.col(f"__n{k}") for k in range(1, n)), F.col("__n0")) for n in (1, 2, 3, 4)]
+        inside.append((place < ends[0]) | place.between(ends[1], ends[2] - 1) | (place >= ends[3]))
         equal = [*(F.col(c) == F.col(f"__of{k}") for k, c in enumerate(of)), F.col(f"__{line}") == F.col("__line"), F.floor(place / BLOCK) == F.col("__block")]
-        left = left.join(index, reduce(and_, equal + inside), "left_semi")
+        left = left.join(index.hint("merge"), reduce(and_, equal + inside), "left_semi")
     return left.drop("__x", "__y")
 
 

@@ -83,3 +83,30 @@ def test_annotations_are_hyperlinks(spark):
     got = [(r.seq, r.source, r.url, r.location) for r in rows.locate(found, pages).orderBy("page_number", "seq").collect()]
     # the hyperlink stands twice, once for the page's own link and once for the note
     assert got == [(1, "hyperlink", "https://acme.com/a", "body"), (2, "text", "acme.com/a", "body"), (3, "hyperlink", "https://acme.com/a", "header"), (4, "hyperlink", "shop.org", "header"), (5, "hyperlink", "x.net/form", "body")]
+
+
+def test_runs_meet_across_blocks_of_bits(spark):
+    r = random.Random(3)
+    places = {(k, x) for k in range(6) for a in r.sample(range(-200, 400), 9) for x in range(a, a + r.choice([1, 2, 31, 32, 33, 64, 130]))}
+    want = sorted((k, x, next(n for n in range(1, 999) if (k, x + n) not in places)) for k, x in places if (k, x - 1) not in places)
+    dark = spark.createDataFrame([*places, *list(places)[:50], (0, None)], "y int, x int")
+    assert sorted((r.y, r.start, r.length) for r in finders.dark_runs(dark, ["y"], "x").collect()) == want
+
+
+def test_dark_places_are_never_broadcast(spark):
+    """Places are exploded from few rows, so Spark takes them for small; broadcast, they would fill the driver."""
+    drawn = spark.range(3).select(F.col("id").alias("pic"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    claim = spark.createDataFrame([(0, 7.0, 7.0, 2.0)], "pic long, x double, y double, unit double")
+    for df in (finders.confirmed(claim, drawn, ["pic"]), finders.locate(drawn, ["pic"], 50, 50)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_light_middle_is_no_finder(spark):
+    """Places inside a pattern of either axis that are not dark themselves."""
+    p = np.zeros((40, 40), int)
+    stamp(p, 8, 8, 2)
+    claims = spark.createDataFrame([(0, float(x), float(y), 2.0) for x in range(6, 24) for y in range(6, 24)], "pic int, x double, y double, unit double")
+    got = {(int(r.x), int(r.y)) for r in finders.confirmed(claims, dark_of(spark, [p]), ["pic"]).collect()}
+    both = [x for x in range(8, 22) if p[15, x]]
+    middle = range(12, 18)  # rows and columns through the middle square have the pattern
+    assert got == {(x, y) for x in middle for y in middle if p[y, x] and x in both}
