@@ -49,26 +49,31 @@ def probe_works(code: Column, error: Column, dns_ok: Column) -> Column:
     return F.coalesce(F.when(code.isNotNull(), response_works(code, resolved)).otherwise(reset | (e.rlike("sslerror|ssl error|certificate") & resolved)), F.lit(False))
 
 
-def fold_probes(probes: DataFrame) -> DataFrame:
-    """One row per url_key: status. The first working candidate decides; else the last code, else the last reason."""
+def fold_probes(probes: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """One row per url_key: status. The first working candidate decides; else the last code, else the last reason.
+
+    Probes of several runs are folded run by run with the columns that tell the runs apart as within, which come along.
+    Where a run has two results for one candidate, the larger code or reason counts.
+    """
     works = probe_works(F.col("http_code"), F.col("error_text"), F.col("dns_ok"))
-    folded = probes.groupBy("url_key").agg(
-        F.max(works).alias("works"), F.max_by("http_code", F.when(F.col("http_code").isNotNull(), F.col("pos"))).alias("code"),
-        F.max_by(short_reason(F.col("error_text")), F.when(F.col("error_text").isNotNull(), F.col("pos"))).alias("reason"), F.min_by("candidate", "pos").alias("first"),
+    last = lambda c, given: F.max(F.when(given.isNotNull() & F.col("pos").isNotNull(), F.struct("pos", c.alias("value"))))["value"]
+    folded = probes.groupBy(*(within or []), "url_key").agg(
+        F.max(works).alias("works"), last(F.col("http_code"), F.col("http_code")).alias("code"), last(short_reason(F.col("error_text")), F.col("error_text")).alias("reason"),
+        F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", "candidate")))["candidate"].alias("first"),
     )
-    return folded.select("url_key", F.when(F.col("works"), WORKING).otherwise(error_text(F.coalesce("reason", F.lit("Unknown Error")), F.col("first"), F.col("code"))).alias("status"))
+    return folded.select(*(within or []), "url_key", F.when(F.col("works"), WORKING).otherwise(error_text(F.coalesce("reason", F.lit("Unknown Error")), F.col("first"), F.col("code"))).alias("status"))
 
 
-def attach_status(rows: DataFrame, probes: DataFrame) -> DataFrame:
-    """rows with status: upi links work, ftp links are not checked, an empty link has none, others by their probes."""
-    found = fold_probes(probes)
+def attach_status(rows: DataFrame, probes: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """rows with status: upi links work, ftp links are not checked, an empty link has none, others by their probes, those of their own run with within."""
+    found = fold_probes(probes, within)
     found = F.broadcast(found) if probes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
     key, url = urls.link_key(F.col("url")), F.lower(F.trim("url"))
     status = (
         F.when(url == "", "").when(url.startswith("upi://"), WORKING).when(url.startswith("ftp://"), FAILED + "FTP URLs are not HTTP-checked")
         .otherwise(F.coalesce("status", F.lit(FAILED + "Empty URL")))
     )
-    return rows.drop("status").withColumn("url_key", key).join(found, "url_key", "left").withColumn("status", status).drop("url_key")
+    return rows.drop("status").withColumn("url_key", key).join(found, [*(within or []), "url_key"], "left").withColumn("status", status).drop("url_key")
 
 
 def candidate_table(rows: DataFrame) -> DataFrame:

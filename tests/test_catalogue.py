@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from linkloom.plans import catalogue
 from linkloom.plans.scan import ORACLE_SQL, QUERIES
 
 TABLES = "orders lineitem part events documents pages conversations".split()
@@ -54,3 +55,15 @@ def test_repeated_turns_stay(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["span_join"](spark, str(tmp_path)).collect()
     assert [(r.conv_id, r.page_text) for r in got] == [("c", "e\na d\na d\nb c")]
+
+
+def test_a_link_of_two_pages_has_two_results(spark, tmp_path):
+    """Equal links on pages that are probed by themselves: each page's results decide its own row."""
+    pages = [(k, f"https://acme{k % 3}.com/a", "") for k in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("status_fold", "status_join"):
+        want, got = con.execute(catalogue.ORACLE_SQL[name]).df(), catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert sorted(want.columns) == sorted(got.columns)
+        assert rows_of(want) == rows_of(got)
