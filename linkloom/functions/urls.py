@@ -193,7 +193,11 @@ def _judged(token: Column, tlds: tuple[str, ...]) -> Column:
     def good(x: Column) -> Column:
         return looks_like_url(x["url"], tlds) & ~F.coalesce(F.substr(x["match"], F.char_length(x["url"]) + 1).rlike(r"^/[A-Za-z0-9]"), F.lit(False))
 
-    cleaned = F.transform(F.regexp_extract_all(token, F.lit(ADDRESS), 0), lambda m, i: F.struct(clean(m, tlds).alias("url"), m.alias("match"), i.alias("i")))
+    # cleaning only takes off, so what has neither a scheme nor a whole label that is a top-level domain stays none; most sentences end here
+    last = lex.one_of({t.rpartition(".")[2] for t in (*lex.top_level_domains(tlds), *lex.MULTI_PART_TLDS)})
+    possible = lambda x: F.contains(x["match"], F.lit("://")) | x["match"].rlike(rf"(?iU)\.{last}(?![a-z0-9-])")
+    numbered = F.transform(F.regexp_extract_all(token, F.lit(ADDRESS), 0), lambda m, i: F.struct(m.alias("match"), i.alias("i")))
+    cleaned = F.transform(F.filter(numbered, possible), lambda x: F.struct(clean(x["match"], tlds).alias("url"), x["match"].alias("match"), x["i"].alias("i")))
     return F.filter(cleaned, good)
 
 

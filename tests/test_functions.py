@@ -105,3 +105,13 @@ def test_standing_links_equal_a_pattern():
         want = [sum(1 for m in re.finditer(re.escape(x), text) if not (m.start() and (text[m.start() - 1] in "./@_-" or text[m.start() - 1].isalnum())) and text[m.end() : m.end() + 1] != "/") for x in links]
         assert standing(text, links) == want
     assert standing(None, ["a"]) == [0] and standing("a", []) == [] and standing("a", [""]) == [0]
+
+
+def test_no_link_is_lost_before_it_is_cleaned(spark):
+    """Only matches without a scheme and without a whole label that is a top-level domain are left out before cleaning."""
+    tails = ["", ".Step", ".5", ".net.5", "/a.pdf", ":8080/x", ":x/y", ".The", ".co.uk.Now", "-x.example.net", "?q=1", "/Total", ".foo.bar", ".co.KR"]
+    tokens = [f"{h}{t}" for h in ("acme.com", "ACME.Com", "acme.corn", "foo.Bar", "https://1.2.3.4", "https://acme.zzz", "blog.acme.in", "shop.co.uk", "a.KIM") for t in tails]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    every = F.filter(F.transform(F.regexp_extract_all("t", F.lit(urls.ADDRESS), 0), lambda m: F.struct(m.alias("m"), urls.clean(m).alias("u"))), lambda x: urls.looks_like_url(x["u"]) & ~F.coalesce(F.substr(x["m"], F.char_length(x["u"]) + 1).rlike("^/[A-Za-z0-9]"), F.lit(False)))
+    got = df.select("t", F.transform(urls._judged(F.col("t"), ()), lambda x: x["url"]).alias("got"), F.transform(every, lambda x: x["u"]).alias("want")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got] and sum(len(r.got) for r in got) > 40
