@@ -34,6 +34,8 @@ SHINGLE, PERCENT = 5, 75
 #: Sets of groups up to this size are their own parts.
 TOKEN_GROUP = 16
 ENTRIES_PER_BUCKET = 1_000_000
+#: Bytes of a part that are shuffled.
+PART_BYTES = 6
 #: Shingles that a task meets in so many texts are counted; how common a shingle is, is told by so many cells.
 OFTEN, CELL_BITS = 3, 22
 #: Members of a run are compared in blocks of about this size.
@@ -124,6 +126,16 @@ def parts_of(tokens: np.ndarray, group: int, differ: int, levels: np.ndarray) ->
     return (sent & ~np.uint64(63)) | np.array([group], np.uint64)
 
 
+def cut(parts: np.ndarray) -> bytes:
+    """The last PART_BYTES bytes of each part: within a bucket the first ones tell little. Parts that are equal only there bring classes together that texts part again."""
+    return parts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PART_BYTES].tobytes()
+
+
+def uncut(parts: bytes) -> np.ndarray:
+    short = np.frombuffer(parts, np.uint8).reshape(-1, PART_BYTES)
+    return np.pad(short, ((0, 0), (0, 8 - PART_BYTES))).view("<u8").ravel()
+
+
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
     digest = xxh3_128_digest(tokens.tobytes())
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -190,7 +202,7 @@ def _sender(buckets: int, levels):
             s, k, bucket = s[order], k[order], bucket[order]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[starts[1:], len(s)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([s[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["bucket", "parts", "classes"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([cut(s[a:b]) for a, b in zip(starts, ends, strict=True)]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["bucket", "parts", "classes"])
 
         sent, keys, counts, held = [], [], [], 0
         seen: set[tuple[int, int]] = set()  # copies that a task meets send once
@@ -222,7 +234,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket, the different sets of classes that share parts: part (the set's own hash), members, and how many parts. Rows come sorted by bucket."""
 
     def shared(pieces: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        parts = np.concatenate([np.frombuffer(p, np.uint64) for p, _ in pieces])
+        parts = np.concatenate([uncut(p) for p, _ in pieces])
         classes = np.concatenate([np.frombuffer(c, np.int64) for _, c in pieces])
         order = np.lexsort((classes, parts))
         parts, classes = parts[order], classes[order]

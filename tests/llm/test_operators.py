@@ -608,3 +608,11 @@ def test_toxicity_of_rows_that_tie_and_of_clashing_columns(spark):
     assert len({x.score for x in found if x.text == rows[0][1]}) == 1
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in found)
     assert np.mean([(x.predicted == 1) == (x.text is not None and "vile" in x.text) for x in found]) > 0.95
+
+
+def test_parts_are_shuffled_without_their_first_bytes():
+    parts = np.array([0, 1, 2**63 + 77, 2**48 + 5, 2**48 - 1, 2**64 - 1], np.uint64)
+    short = ngram_join.cut(parts)
+    assert len(short) == 6 * len(parts)
+    assert ngram_join.uncut(short).tolist() == [int(p) % 2**48 for p in parts]
+    assert len(ngram_join.uncut(b"")) == 0
