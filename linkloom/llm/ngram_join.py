@@ -19,6 +19,7 @@ a large group of near copies takes one comparison for each member, not for each
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,16 @@ OFTEN, CELL_BITS = 3, 22
 RUN_BLOCK = 1500
 #: Rows of 24 bytes, pairs or nodes, that every task may hold.
 BROADCAST_PAIRS = 2_000_000
-MEMORY_WORDS, MEMORY_KEYS, MEMORY_SHINGLES = 300_000, 500_000, 2_000_000
+MEMORY_KEYS, MEMORY_SHINGLES = 500_000, 2_000_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_words: dict[bytes, int] = {}
+#: Texts are hashed in pieces of about so many bytes; longer words are hashed one by one.
+PIECE_BYTES, WORD_BYTES = 1 << 18, 64
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: What each byte counts: A-Z as much as a-z, and blanks, which part words, nothing.
+WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WEIGHTS[65:91] = WEIGHTS[97:123]
+WEIGHTS[[9, 10, 11, 12, 13, 32]] = 0
+UP, DOWN = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * PIECE_BYTES, b, np.uint64)])) for b in (int(BASE), pow(int(BASE), -1, 1 << 64)))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,24 +61,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def begins(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _codes(data: bytes) -> np.ndarray:
+    weight = WEIGHTS[np.frombuffer(data, np.uint8)]
+    inside = np.zeros(len(data) + 2, bool)
+    np.not_equal(weight, 0, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(weight * UP[: len(data)], out=total[1:])
+    codes = mix((total[end] - total[start]) * DOWN[start])
+    for k in np.flatnonzero(end - start > WORD_BYTES).tolist():
+        codes[k] = xxh3_64_intdigest(data[start[k] : end[k]].lower())
+    return codes
+
+
+def word_codes(data: bytes) -> np.ndarray:
+    """Hashes of the words of some UTF-8 bytes, in order: those of a piece all at once, by sums of what their bytes count."""
+    pieces, at = [], 0
+    while len(data) - at > PIECE_BYTES:
+        found = BLANK.search(data, at + PIECE_BYTES)
+        end = found.start() if found else len(data)
+        if end - at > 2 * PIECE_BYTES:  # its last word is longer than a piece
+            *short, long = data[at:end].split()
+            pieces += [*map(_codes, short), np.array([xxh3_64_intdigest(long.lower())], np.uint64)]
+        else:
+            pieces.append(_codes(data[at:end]))
+        at = end
+    return np.concatenate([*pieces, _codes(data[at:])])
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of size words; with fewer words, of the whole sequence."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > MEMORY_WORDS:
-        _words.clear()
-    codes = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        c = _words.get(w)
-        if c is None:
-            c = _words[w] = xxh3_64_intdigest(w)
-        codes[k] = c
-    n = min(size, len(words))
-    h = np.full(len(words) - n + 1, n, np.uint64)
+    codes = word_codes(text.encode()) if text else np.empty(0, np.uint64)
+    if not len(codes):
+        return codes
+    n = min(size, len(codes))
+    h = np.full(len(codes) - n + 1, n, np.uint64)
     for j in range(n):
-        h = h * BASE + codes[j : len(words) - n + 1 + j]
-    return np.unique(mix(h))
+        h *= BASE
+        h += codes[j : len(codes) - n + 1 + j]
+    h = np.sort(mix(h))
+    return h[begins(h)]
 
 
 def edges(up_to: int) -> np.ndarray:
@@ -117,11 +155,11 @@ def parts_of(tokens: np.ndarray, group: int, differ: int, levels: np.ndarray) ->
         sent = tokens[np.lexsort((tokens, level))[:sends]]
     else:
         part = ((tokens >> np.uint64(32)) * np.array([8 * top], np.uint64)) >> np.uint64(32)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        starts = np.flatnonzero(begins(part))
         sent = mix(np.bitwise_xor.reduceat(tokens, starts) + part[starts] * BASE)
-        # rare ones first, then those with most shingles
-        rank = np.minimum.reduceat(level, starts).astype(np.int64) * 4 - np.minimum(np.diff(np.r_[starts, len(part)]), 4)
-        sent = sent[np.lexsort((sent, rank))[:sends]]
+        # rare ones first, then those with most shingles: the rank, 0 to 243, in the first 8 bits, and 56 bits of the part
+        rank = np.minimum.reduceat(level, starts).astype(np.uint64) * np.uint64(4) + np.uint64(4) - np.minimum(np.append(starts[1:], len(part)) - starts, 4).astype(np.uint64)
+        sent = np.sort(rank << np.uint64(56) | sent >> np.uint64(8))[:sends] & np.uint64((1 << 56) - 1)
     sent = mix(sent + np.array([group], np.uint64) * BASE)
     return (sent & ~np.uint64(63)) | np.array([group], np.uint64)
 
@@ -162,21 +200,25 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def often() -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-        token, n = token[n >= OFTEN], n[n >= OFTEN]
+        token = np.concatenate([*held, np.empty(0, np.uint64)])
+        held.clear()
+        token.sort()
+        starts = np.flatnonzero(begins(token))
+        n = np.append(starts[1:], len(token)) - starts
+        token, n = token[starts[n >= OFTEN]], n[n >= OFTEN]
         none = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array(-n), pa.array(token.view(np.int64)), none], names=names)
 
     for batch in batches:
         rows = []
-        for text in batch.column(2).to_pylist():
-            tokens = shingles(text)
+        for text in batch.column(2):
+            tokens = shingles(text.as_py())
             rows.append((len(tokens), *set_key(tokens)))
             held.append(tokens)
             size += len(tokens)
             if size > MEMORY_SHINGLES:
                 yield often()
-                held, size = [], 0
+                size = 0
         n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=names)
     yield often()
@@ -196,19 +238,21 @@ def _sender(buckets: int, levels):
         """Parts and their classes, packed by bucket."""
 
         def packed() -> pa.RecordBatch:
-            s, k = np.concatenate(sent), np.repeat(np.array(keys, np.int64), counts)
-            bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            s, owner = np.concatenate(sent), np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+            sent.clear()
+            bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            s, k, bucket = s[order], k[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(s)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([cut(s[a:b]) for a, b in zip(starts, ends, strict=True)]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["bucket", "parts", "classes"])
+            bucket, s = bucket[order], s[order]
+            k = np.array(keys, np.int64)[owner[order]]
+            starts = np.flatnonzero(begins(bucket))
+            ends = np.append(starts[1:], len(s))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array([cut(s[a:b]) for a, b in zip(starts, ends, strict=True)]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])], names=["bucket", "parts", "classes"])
 
         sent, keys, counts, held = [], [], [], 0
         seen: set[tuple[int, int]] = set()  # copies that a task meets send once
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text)
+            for text in batch.column(0):
+                tokens = shingles(text.as_py())
                 key, other = set_key(tokens)
                 if not len(tokens) or (key, other) in seen:
                     continue
@@ -223,7 +267,7 @@ def _sender(buckets: int, levels):
                     held += len(p)
                 if held > 2_000_000:
                     yield packed()
-                    sent, keys, counts, held = [], [], [], 0
+                    keys, counts, held = [], [], 0
         if held:
             yield packed()
 

@@ -105,6 +105,23 @@ def test_jaccard_join(docs, texts):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(texts)
 
 
+def test_words_are_hashed_by_the_piece(monkeypatch):
+    """Short words are never hashed one by one, and a word's hash is the same wherever it stands, whatever the pieces."""
+    r = random.Random(4)
+    few = " ".join(r.choice([sentence(r, 1), "Àé", "\x1f", "W" * 64]) + r.choice(["", "\n\t", "\x0b\x0c\r"]) for _ in range(3000))
+    one_by_one = []
+    monkeypatch.setattr(ngram_join, "xxh3_64_intdigest", lambda w: one_by_one.append(w) or hash(w) % 2**64)
+    assert len(ngram_join.shingles(few)) and not one_by_one
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 300)
+    known = {}
+    for text in (few, few.upper(), "x" * 5000 + " " + few, few + " " + "y" * 5000, "q" * 400, "Q" * 400 + " ", " ", "a " * 150, "z" * 65):
+        data = text.encode()
+        words, codes = data.lower().split(), ngram_join.word_codes(data).tolist()
+        assert len(words) == len(codes)
+        assert all(known.setdefault(w, c) == c for w, c in zip(words, codes, strict=True))
+    assert len(set(known.values())) == len(known) and {b"x" * 5000, b"y" * 5000, b"q" * 400} <= set(one_by_one)
+
+
 def test_jaccard_join_tells_rows_apart(spark, monkeypatch):
     """Null and repeated ids, large sets near the threshold, a passage that most texts share; small blocks of runs."""
     r = random.Random(12)
