@@ -30,8 +30,8 @@ CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2000
 #: Sequences with a larger gap than this share of the capacity are packed again, in so many rounds at most.
 GAP, ROUNDS = 0.002, 8
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words that a worker remembers before it starts again.
-MEMORY_CHUNKS, MEMORY_WORDS = 450_000, 450_000
+#: Chunks and words that a worker remembers before it starts again. Most are met once; a worker keeps them for as long as it lives, whatever it runs next.
+MEMORY_CHUNKS, MEMORY_WORDS = 100_000, 100_000
 
 #: Words whose clean-up is done once they are in lower case, and the ASCII marks that may follow them as one token of the first split.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")

@@ -122,6 +122,24 @@ def test_words_are_hashed_by_the_piece(monkeypatch):
     assert len(set(known.values())) == len(known) and {b"x" * 5000, b"y" * 5000, b"q" * 400} <= set(one_by_one)
 
 
+def test_worker_memory_is_bounded():
+    """What a worker keeps between tasks: no words of the join, and a bounded part of those of the packing."""
+    r = random.Random(5)
+    texts = [" ".join(f"{r.getrandbits(60):x}" for _ in range(20_000)) for _ in range(6)]
+
+    def kept():
+        return sum(len(x) for k, x in vars(ngram_join).items() if isinstance(x, dict) and not k.startswith("__"))
+
+    before = kept()
+    for t in texts:
+        ngram_join.shingles(t)
+    assert kept() == before
+    coder = packing.coder(packing.TOKENIZER)
+    for t in texts:
+        coder.encode([t])
+        assert max(len(coder.known), len(coder.words)) <= 130_000
+
+
 def test_jaccard_join_tells_rows_apart(spark, monkeypatch):
     """Null and repeated ids, large sets near the threshold, a passage that most texts share; small blocks of runs."""
     r = random.Random(12)
