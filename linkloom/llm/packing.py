@@ -11,7 +11,6 @@ again with those of other groups, in rounds, until they are one group or a round
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -20,6 +19,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +30,58 @@ CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2000
 #: Sequences with a larger gap than this share of the capacity are packed again, in so many rounds at most.
 GAP, ROUNDS = 0.002, 8
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words that a worker remembers before it starts again. Most are met once; a worker keeps them for as long as it lives, whatever it runs next.
-MEMORY_CHUNKS, MEMORY_WORDS = 100_000, 100_000
+#: Bytes of text whose chunks are told apart at once; the more, the fewer are met again.
+PORTION_BYTES = 4_000_000
+#: Words, and other units, that a worker remembers, and as many again that are new in one portion of texts.
+MEMORY_WORDS, MEMORY_OTHERS = 100_000, 20_000
 
-#: Words whose clean-up is done once they are in lower case, and the ASCII marks that may follow them as one token of the first split.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Letters whose only clean-up is lower case, and the ASCII marks that may follow them as one token of the first split.
+LETTERS = "".join(c for c in map(chr, [*range(0x80), *range(0xC0, 0x100)]) if c.isalpha())
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, WordCoder] = {}
 
 
+class Recent:
+    """Ids of units as bytes. The units met last are kept, limit of them and those of the last call."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        self.encode, self.limit = encode, limit
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.now) + len(self.before)
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        if 2 * len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for unit in units:
+            ids = now.get(unit)
+            if ids is None:
+                ids = before.pop(unit, None)
+                now[unit] = ids = self.encode(unit) if ids is None else ids
+            out.append(ids)
+        return out
+
+
+def gathered(data: np.ndarray, lengths: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked ones of runs that lie end to end in data, end to end again, and their lengths."""
+    n = lengths[picks]
+    shift = (np.cumsum(lengths) - lengths)[picks] - (np.cumsum(n) - n)
+    return data[np.arange(n.sum()) + np.repeat(shift, n)], n
+
+
+def strings(column: pa.Array) -> list[str]:
+    """to_pylist of a column without nulls, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCoder:
-    """Encodes texts chunk by chunk between ASCII blanks, which this tokenizer never joins, remembering each chunk's ids as bytes.
+    """Encodes texts chunk by chunk between ASCII blanks, which this tokenizer never joins, each distinct chunk of a call once.
 
-    Chunks of plain Latin letters before ASCII marks, where the tokenizer's clean-up can only lower the case, are
-    handed to its model word by word; all others go through the whole tokenizer.
+    Chunks of plain Latin letters before ASCII marks, where the tokenizer's clean-up can only lower the case, are two
+    units: the word, which is handed to the tokenizer's model, and the marks. All others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,9 +93,7 @@ class WordCoder:
 
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Chunks(self.chunk)
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.words, self.known = Recent(self._word, MEMORY_WORDS), Recent(self._whole, MEMORY_OTHERS)
         # one character for each byte, as the byte-level step writes them
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {}
@@ -67,49 +103,27 @@ class WordCoder:
     def _whole(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes | None:
-        if not _PLAIN.fullmatch(word):
-            return None
+    def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
 
-    def chunk(self, chunk: str) -> bytes:
-        letters = chunk.rstrip(MARKS)
-        word = letters.lower()
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self._word(word)
-            if ids is None:
-                return self._whole(chunk)
-            self.words[word] = ids
-        if len(letters) == len(chunk):
-            return ids
-        marks = chunk[len(letters) :]
-        end = self.marks.get(marks)
-        if end is None:
-            end = self.marks[marks] = self._whole(marks)
-        return ids + end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMORY_CHUNKS:
-            self.known = Chunks(self.chunk)
-        if len(self.words) + len(self.marks) > MEMORY_WORDS:
-            self.words, self.marks = {}, {}
-        get = self.known.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
-
-
-class Chunks(dict):
-    """Chunks that are known; others are encoded as they are asked for."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__({"": b""})
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk)
-        return ids
+        lists = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary
+        letters = pc.utf8_rtrim(distinct, MARKS)
+        plain = pc.equal(pc.binary_length(pc.utf8_trim(letters, LETTERS)), 0)
+        # of plain chunks, all but the letters is marks; the others are one unit, the empty one stands where a word would
+        words = pc.if_else(plain, pc.utf8_lower(letters), "").dictionary_encode()
+        rest = pc.if_else(plain, pc.utf8_ltrim(distinct, LETTERS), distinct).dictionary_encode()
+        ids = [*self.words(strings(words.dictionary)), *self.known(strings(rest.dictionary))]
+        units = np.stack([words.indices.to_numpy(), rest.indices.to_numpy() + len(words.dictionary)], 1).ravel()
+        data, n = gathered(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), units)
+        data, n = gathered(data, n.reshape(-1, 2).sum(1), chunks.indices.to_numpy())
+        ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]] * 4
+        out = data.tobytes()
+        return [out[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def coder(path: str) -> WordCoder:
@@ -118,16 +132,16 @@ def coder(path: str) -> WordCoder:
     return _loaded[path]
 
 
-def portions(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many characters each; a longer text is a range of its own."""
+def portions(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so much size each; a larger row is a range of its own."""
     start = size = 0
-    for k, t in enumerate(texts):
-        if k > start and size + len(t) > chars:
+    for k, n in enumerate(sizes):
+        if k > start and size + n > most:
             yield start, k
             start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def match_and_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -175,9 +189,9 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capaci
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(tokenizer).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             rows, piece, start, length, crc = [], [], [], [], []
-            for lo, hi in portions(texts):
+            for lo, hi in portions(pc.binary_length(texts).to_pylist(), PORTION_BYTES):
                 for row, ids in enumerate(encode(texts[lo:hi]), lo):
                     ids += end
                     n = len(ids) // 4

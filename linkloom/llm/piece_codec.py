@@ -219,7 +219,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = codec(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in portions(texts):
+            for lo, hi in portions([len(t) for t in texts]):
                 found = own.encode(texts[lo:hi])
                 bounds = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(f[0]) for f in found], out=bounds[1:])

@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -325,6 +326,30 @@ def test_packing_round_trip(spark, docs, texts):
     assert max(ends.values()) <= 64
 
 
+def test_packing_encodes_frequent_words_once(monkeypatch):
+    """Words that every text holds stay remembered, however many others there are."""
+    r, asked, word_ids = random.Random(6), Counter(), packing.WordCoder._word
+    monkeypatch.setattr(packing.WordCoder, "_word", lambda self, word: asked.update([word]) or word_ids(self, word))
+    coder = packing.WordCoder(packing.TOKENIZER)
+    common = ["".join(r.choices("abcdefgh", k=5)) for _ in range(50)]
+    for _ in range(12):
+        coder.encode([" ".join([*common, *("".join(r.choices("ijklmnopqr", k=9)) for _ in range(20_000))])])
+    assert {asked[w] for w in common} == {1}
+
+
+def test_packing_encodes_odd_chunks_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    odd = ["", " ", "Foo, foo FOO... \n\tbar", "İstanbul \u212aelvin \u212bngstr STRAẞE Ÿ ÀÉß,", "don't we'll x's 's '' word'.", "e\u0301 \u0301e \u0301 a\u0308.", "a\x0bb\x0cc\x1cd\x85e\xa0f\u2028g",
+           "<|endoftext|> <|startoftext|>x <| endoftext|> <|EndOfText|>", "1234 a1 1a ½ x² ªº µm", "日本語 текст 👍🏽, 👍", "-a- _b_ c_d \"q,\" (r).", "x" * 3000 + ",", "\x00 \x7f a\x00b"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    coder = packing.WordCoder(packing.TOKENIZER)
+    assert coder.encode(odd) == want == [coder.encode([t])[0] for t in odd]
+    assert coder.encode(["", ""]) == [b"", b""]
+
+
 def test_gradients_are_those_of_the_loss():
     """Backpropagation through time against differences of the loss, on words of several lengths."""
     r = np.random.default_rng(2)
