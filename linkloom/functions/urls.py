@@ -14,7 +14,13 @@ from linkloom.functions import lexicon as lex
 
 QUOTES = "\"'`“”‘’«»′″"
 SCHEME = r"(?i)^(?:https?|ftp)://"
-ADDRESS = r"(?iU)(?:https?|ftp)://[^\s<>\[\]()\"']+|(?<![@\w./-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}(?::\d{2,5})?(?:/[^\s<>\[\]()\"']*)?"
+#: Groups that repeat are possessive throughout: Java keeps a frame of the stack for each turn of any other, and a text may have thousands of labels in one token.
+LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\."
+#: Labels that no last label can begin at, as two letters do not.
+SHORT = rf"(?:(?![a-z]{{2}}){LABEL})*+"
+#: A host goes on to the last place where one can end: a label is taken while there is such a place after it.
+HOST = rf"{LABEL}(?:{SHORT}(?=[a-z]{{2}}){LABEL}(?={SHORT}[a-z]{{2}}))*+{SHORT}[a-z]{{2,}}"
+ADDRESS = rf"(?iU)(?:https?|ftp)://[^\s<>\[\]()\"']+|(?<![@\w./-]){HOST}(?::\d{{2,5}})?(?:/[^\s<>\[\]()\"']*)?"
 #: What ends an address, and runs of other characters that may hold one: with a letter after a dot, or a scheme's end.
 EDGE = r"\s<>\[\]()\"'"
 TOKEN = rf"(?U)(?<![^{EDGE}])(?=[^{EDGE}]*?(?:\.\w|://))[^{EDGE}]++"
@@ -82,17 +88,19 @@ def clean(url: Column, tlds: tuple[str, ...] = ()) -> Column:
     camel = "(?:" + "|".join(f"{w[0].upper()}(?i:{w[1:]})" for w in lex.TAIL_WORDS if len(w) > 2) + ")"
     spoken = rf"(?:(?i:{lex.one_of(lex.TEXT_WORDS)})|(?!(?i:{tld})/?$)[A-Z][A-Za-z0-9-]*)"
     pairs = lex.one_of(lex.MULTI_PART_TLDS)
+    scheme, label, ends = r"(?:(?:https?|ftp)://)?+", "[^./?#:]++", rf"{tld}(?:[.:?#]|$)"
+    other, word = rf"\.(?!{ends}){label}", rf"(?<!(?=\.){pairs})\.(?!{exts}$){tail}(?=$|[:?#/])(?<!\.{pairs})"
 
     def once(u: Column) -> Column:
         # a port that is no number goes, and a query before the path comes after it
         u = F.regexp_replace(u, r"(?i)^(?!(?:mailto|javascript|tel|upi):)((?:(?:https?|ftp)://)?+[^/?#:]+):(?!\d+(?:[/?#]|$))[^/?#]*", "$1")
         u = F.regexp_replace(u, r"(?i)^((?:(?:https?|ftp)://)?+[^/?#]*)(\?[^/]*|#[^/?]*)(/.*)$", "$1$3$2")
-        u = F.regexp_replace(u, r"^([^?#]*?)(?:[.,]\d+%?)+$", "$1")
+        u = F.regexp_replace(u, r"^((?:[^?#.,]++|(?:[.,]\d++%?)++(?!$)|[.,](?!\d))*+)(?:[.,]\d++%?)++$", "$1")
         u = F.regexp_replace(u, r"[.,;:!?)\]}>\"']+$", "")
         u = F.regexp_replace(u, rf"\.+/{spoken}/?$", "")
         # hosts without a path: labels after the last top-level domain go, then words after one
-        u = F.regexp_replace(u, rf"(?i)^((?:(?:https?|ftp)://)?[^./?#:]+(?:\.[^./?#:]+)+?)(?:\.(?!{tld}(?:[.:?#]|$))[^./?#:]+)+(?=$|[:?#][^/]*$)", "$1")
-        u = F.regexp_replace(u, rf"(?i)^((?:(?:https?|ftp)://)?(?:[^./?#:]+\.)+{tld})(?<!(?=\.){pairs})\.(?!{exts}$){tail}(?=$|[:?#/])(?<!\.{pairs})", "$1")
+        u = F.regexp_replace(u, rf"(?i)^({scheme}{label}\.{label}(?:(?:{other})*+\.(?={ends}){label})*+)(?:{other})++(?=$|[:?#][^/]*$)", "$1")
+        u = F.regexp_replace(u, rf"(?i)^({scheme}(?:{label}\.(?!{tld}{word}))*+{label}\.{tld}){word}", "$1")
         u = F.regexp_replace(u, rf"(/[a-z0-9][a-z0-9-]*){camel}(?=$|[?#])", "$1")
         u = F.regexp_replace(u, rf"\.(?!(?i:{exts})$)(?:(?i:{tail})|{titled})$", "")
         return F.regexp_replace(u, r"(?i)^(?!(?:https?|ftp)://)([^/]+)/$", "$1")

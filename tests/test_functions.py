@@ -47,6 +47,14 @@ def test_ports_and_queries_before_the_path(spark):
     assert {r.u: r.c for r in df.select("u", urls.clean(F.col("u")).alias("c")).collect()} == cases
 
 
+def test_thousands_of_labels_in_one_token(spark):
+    """A frame of the stack for each label would end the executor."""
+    n = 5000
+    found = {"see " + "ab1.x2-y." * n + "com now": [], "foo.com" + ".zzz" * n: ["foo.com"], "see a" + ".1" * n + ".com now": [], "foo.com/x" + ".5%" * n: ["foo.com/x"], "acme.foo.7x.c1.d_": ["acme.foo"]}
+    df = spark.createDataFrame([(k,) for k in found], "t string")
+    assert {r.t: r.u for r in df.select("t", urls.urls_in(F.col("t")).alias("u")).collect()} == found
+
+
 def test_null_text_has_no_links(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(F.explode(urls.extract_urls(F.col("t")))).count() == 0
