@@ -17,6 +17,19 @@ from linkloom.operators.codes import DARK, LEAST, MOST, UNIT
 RUN_SHARES, MIDDLE_SHARES, RING, SMALLEST = (0.4, 1.8), (0.55, 1.8), (8.0, 72.0), 16
 #: Places of a line in one block of the run index.
 BLOCK = 64
+#: Drawn things in one partition of by_picture.
+DEALT = 10_000
+
+
+def by_picture(things: DataFrame, of: list[str]) -> DataFrame:
+    """What is drawn on pictures, all of a picture in one partition, and about DEALT things in each.
+
+    Dark places made of these lie with their picture, and no later step shuffles them: lines, blocks and joins are all
+    within a picture. So a table of things is shuffled once and not its places, of which there are hundreds for each, and
+    with as many partitions as there are things, a task's places stay in memory at any size. The things are counted first.
+    """
+    parts = max(things.sparkSession.sparkContext.defaultParallelism, -(-things.count() // DEALT))
+    return things.repartition(parts, *of)
 
 
 def _runs_of(mask: Column) -> Column:
@@ -65,26 +78,43 @@ def row_hits(dark: DataFrame, of: list[str], every: int = 2) -> DataFrame:
     return found.where(keep).select(*of, "y", "start", (F.col("start") + F.col("n0") + F.col("n1") + F.col("n2") / 2.0).alias("x"), "unit")
 
 
+def _of_some_unit() -> Column:
+    """Whether there is a unit at all for which five runs have a finder's shares, with a little room for rounding; of other runs the index need not know."""
+    outer, middle = [F.col(f"n{k}") for k in (0, 1, 3, 4)], F.col("n2") / 3.0
+    least = F.greatest(*(n / RUN_SHARES[1] for n in outer), middle / MIDDLE_SHARES[1])
+    most = F.least(*(n / RUN_SHARES[0] for n in outer), middle / MIDDLE_SHARES[0])
+    return least <= most * 1.000001
+
+
+def _confirms(runs: Column, place: Column, unit: Column) -> Column:
+    """Whether five runs have the shares of a finder of this unit, and a dark one of them holds the place."""
+    outer = [runs[f"n{k}"].between(RUN_SHARES[0] * unit, RUN_SHARES[1] * unit) for k in (0, 1, 3, 4)]
+    inside = [place >= runs["start"], place < runs["stop"], (runs["n2"] / 3.0).between(MIDDLE_SHARES[0] * unit, MIDDLE_SHARES[1] * unit), *outer]
+    ends = [runs["start"] + sum((runs[f"n{k}"] for k in range(1, n)), runs["n0"]) for n in (1, 2, 3, 4)]
+    return reduce(and_, [*inside, (place < ends[0]) | place.between(ends[1], ends[2] - 1) | (place >= ends[3])])
+
+
 def confirmed(finders: DataFrame, dark: DataFrame, of: list[str]) -> DataFrame:
     """The finders (of, x, y, unit) whose middle is dark, with the pattern on the row and on the column through it.
 
     Both axes have an index of runs; a finder meets the patterns of its line that reach into the block of places that it
     lies in, so no finder is compared with all patterns of a line. The middle is dark where it lies in a dark run of the
-    row's pattern. The index is never broadcast: Spark takes it for as small as what it is made from, and it holds a row
-    for each run of a picture.
+    row's pattern. Finders are put beside the index and meet it in a window of one block, as a union keeps places where
+    they are: finders and dark places that both come from one table of by_picture are not shuffled, and nothing is
+    broadcast. A block is reached by few patterns (at most three cover a place).
     """
     left = finders.withColumns({"__x": F.bround("x").cast("long"), "__y": F.bround("y").cast("long")})
+    left = left.where(reduce(and_, (F.col(c).isNotNull() for c in (*of, "__x", "__y"))))
     for line, along in (("y", "x"), ("x", "y")):
-        patterns = five_runs(dark_runs(dark, [*of, line], along), [*of, line]).where("n2 >= 3")
+        patterns = five_runs(dark_runs(dark.where(F.col(line).isNotNull()), [*of, line], along), [*of, line]).where((F.col("n2") >= 3) & _of_some_unit())
         blocks = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK)))
-        index = patterns.select(*(F.col(c).alias(f"__of{k}") for k, c in enumerate(of)), F.col(line).cast("long").alias("__line"), blocks.alias("__block"), "start", "stop", *(F.col(f"n{k}").alias(f"__n{k}") for k in range(5)))
+        reaching = patterns.select(*of, F.col(line).cast("long").alias("__line"), blocks.alias("__block"), F.struct("start", "stop", *(f"n{k}" for k in range(5))).alias("p"))
+        index = reaching.groupBy(*of, "__line", "__block").agg(F.collect_list("p").alias("__patterns"))
         place, unit = F.col(f"__{along}"), F.col("unit")
-        outer = [F.col(f"__n{k}").between(RUN_SHARES[0] * unit, RUN_SHARES[1] * unit) for k in (0, 1, 3, 4)]
-        inside = [place >= F.col("start"), place < F.col("stop"), (F.col("__n2") / 3.0).between(MIDDLE_SHARES[0] * unit, MIDDLE_SHARES[1] * unit), *outer]
-        ends = [F.col("start") + sum((F.col(f"__n{k}") for k in range(1, n)), F.col("__n0")) for n in (1, 2, 3, 4)]
-        inside.append((place < ends[0]) | place.between(ends[1], ends[2] - 1) | (place >= ends[3]))
-        equal = [*(F.col(c) == F.col(f"__of{k}") for k, c in enumerate(of)), F.col(f"__{line}") == F.col("__line"), F.floor(place / BLOCK) == F.col("__block")]
-        left = left.join(index.hint("merge"), reduce(and_, equal + inside), "left_semi")
+        asked = left.withColumns({"__line": F.col(f"__{line}"), "__block": F.floor(place / BLOCK), "__asked": F.lit(True)})
+        near = F.first("__patterns", ignorenulls=True).over(Window.partitionBy(*of, "__line", "__block"))
+        met = asked.unionByName(index, allowMissingColumns=True).withColumn("__patterns", near)
+        left = met.where(F.col("__asked") & F.exists("__patterns", lambda p: _confirms(p, place, unit))).drop("__line", "__block", "__asked", "__patterns")
     return left.drop("__x", "__y")
 
 

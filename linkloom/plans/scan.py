@@ -43,14 +43,14 @@ def _drawn(events):
     side = lambda: F.explode(F.sequence(F.lit(0), (7 * F.col("u") - 1).cast("int")))
     places = events.withColumn("i", side()).withColumn("j", side())
     ring = lambda c: F.abs(F.floor(F.col(c) / F.col("u")) - 3)
-    return places.where(F.greatest(ring("i"), ring("j")) != 2).select("pic", (F.col("cx") + F.col("i")).alias("x"), (F.col("cy") + F.col("j")).alias("y")).distinct()
+    return places.where(F.greatest(ring("i"), ring("j")) != 2).select("pic", (F.col("cx") + F.col("i")).alias("x"), (F.col("cy") + F.col("j")).alias("y"))
 
 
 @query(f"""WITH {EVENTS}, {DRAWN}, c AS (SELECT event_id, pic, cx + 3.5 * u + event_id % 3 AS x, cy + 3.5 * u - event_id % 5 AS y, u::DOUBLE AS unit FROM e)
 SELECT event_id, pic, x::DOUBLE AS x, y::DOUBLE AS y FROM c WHERE {CONFIRMED}""")
 def finder_confirmed(spark, sf_dir):
     """Every event claims a finder where it has drawn one, or a little beside it; those stay that both axes confirm."""
-    own = _events(spark, sf_dir)
+    own = finders.by_picture(_events(spark, sf_dir), ["pic"])
     claims = own.select("event_id", "pic", (F.col("cx") + 3.5 * F.col("u") + F.col("event_id") % 3).alias("x"), (F.col("cy") + 3.5 * F.col("u") - F.col("event_id") % 5).alias("y"), F.col("u").cast("double").alias("unit"))
     return finders.confirmed(claims, _drawn(own), ["pic"]).select("event_id", "pic", "x", "y")
 

@@ -101,6 +101,27 @@ def test_dark_places_are_never_broadcast(spark):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pictures_that_are_dealt_out_are_shuffled_once(spark):
+    """Of what is drawn, not of its places: hundreds of these for each thing would fill the disks."""
+    r = random.Random(8)
+    things = [(k, r.randint(0, 90), r.randint(0, 90), r.choice([2, 3])) for k in range(4) for _ in range(5)]
+    drawn = finders.by_picture(spark.createDataFrame(things, "pic long, x0 int, y0 int, u int"), ["pic"])
+    side = lambda: F.explode(F.sequence(F.lit(0), F.col("u") * 7 - 1))
+    ring = lambda c: F.abs(F.floor(F.col(c) / F.col("u")) - 3)
+    dark = drawn.withColumn("i", side()).withColumn("j", side()).where(F.greatest(ring("i"), ring("j")) != 2).select("pic", (F.col("x0") + F.col("i")).alias("x"), (F.col("y0") + F.col("j")).alias("y"))
+    claims = drawn.select("pic", (F.col("x0") + 3.5 * F.col("u")).alias("x"), (F.col("y0") + 3.5 * F.col("u")).alias("y"), F.col("u").cast("double").alias("unit"))
+    for found in (finders.confirmed(claims, dark, ["pic"]), finders.locate(dark, ["pic"], 120, 120)):
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+    # the same as of places that come in no order, some without a row or a column, and of claims some of which have no place
+    holes = spark.createDataFrame([(0, None, 9), (0, 9, None), (None, 9, 9)], "pic long, x int, y int")
+    loose = spark.createDataFrame([*map(tuple, dark.collect())], "pic long, x int, y int").unionByName(holes)
+    asked = spark.createDataFrame([*map(tuple, claims.collect()), (0, None, 9.0, 2.0), (0, 9.0, None, 2.0), (None, 9.0, 9.0, 2.0), (0, 9.0, 9.0, None)], claims.schema)
+    want = sorted(map(tuple, finders.confirmed(claims, dark, ["pic"]).collect()))
+    assert want and want == sorted(map(tuple, finders.confirmed(asked, loose, ["pic"]).collect()))
+    assert sorted(finders.locate(dark, ["pic"], 120, 120).collect()) == sorted(finders.locate(loose.where("pic is not null"), ["pic"], 120, 120).collect())
+
+
 def test_a_light_middle_is_no_finder(spark):
     """Places inside a pattern of either axis that are not dark themselves."""
     p = np.zeros((40, 40), int)
