@@ -92,7 +92,7 @@ c AS (SELECT pic, ord, c.x AS x, c.y AS y, c.unit AS unit FROM (SELECT pic, unne
 f AS (SELECT pic, row_number() OVER (PARTITION BY pic ORDER BY ord) AS n, x, y, unit FROM c WHERE {CONFIRMED}), {_grouped("f", SIDE, SIDE)}""")
 def finder_boxes(spark, sf_dir):
     """From the dark places of pictures to the boxes of their codes: hits, clusters, confirmation, groups."""
-    return finders.locate(_drawn(_events(spark, sf_dir)), ["pic"], SIDE, SIDE).select("pic", "rank", *(F.col(f"box.{c}").alias(c) for c in CORNERS))
+    return finders.locate(_drawn(finders.by_picture(_events(spark, sf_dir), ["pic"])), ["pic"], SIDE, SIDE).select("pic", "rank", *(F.col(f"box.{c}").alias(c) for c in CORNERS))
 
 
 #: Rectangles drawn on pages of four orders: squares where the quantity is large, small marks else.

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from linkloom.operators import finders, regions, rows
+from linkloom.plans import scan
 
 
 def stamp(picture, x, y, u):
@@ -122,6 +123,12 @@ def test_pictures_that_are_dealt_out_are_shuffled_once(spark):
     assert sorted(finders.locate(dark, ["pic"], 120, 120).collect()) == sorted(finders.locate(loose.where("pic is not null"), ["pic"], 120, 120).collect())
 
 
+def test_the_queries_on_events_shuffle_only_events(spark, sf_dir):
+    for name in ("finder_confirmed", "finder_boxes"):
+        plan = scan.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
 def test_a_light_middle_is_no_finder(spark):
     """Places inside a pattern of either axis that are not dark themselves."""
     p = np.zeros((40, 40), int)
