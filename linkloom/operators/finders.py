@@ -108,13 +108,12 @@ def confirmed(finders: DataFrame, dark: DataFrame, of: list[str]) -> DataFrame:
     for line, along in (("y", "x"), ("x", "y")):
         patterns = five_runs(dark_runs(dark.where(F.col(line).isNotNull()), [*of, line], along), [*of, line]).where((F.col("n2") >= 3) & _of_some_unit())
         blocks = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK)))
-        reaching = patterns.select(*of, F.col(line).cast("long").alias("__line"), blocks.alias("__block"), F.struct("start", "stop", *(f"n{k}" for k in range(5))).alias("p"))
-        index = reaching.groupBy(*of, "__line", "__block").agg(F.collect_list("p").alias("__patterns"))
+        index = patterns.select(*of, F.col(line).cast("long").alias("__line"), blocks.alias("__block"), F.struct("start", "stop", *(f"n{k}" for k in range(5))).alias("__p"))
         place, unit = F.col(f"__{along}"), F.col("unit")
         asked = left.withColumns({"__line": F.col(f"__{line}"), "__block": F.floor(place / BLOCK), "__asked": F.lit(True)})
-        near = F.first("__patterns", ignorenulls=True).over(Window.partitionBy(*of, "__line", "__block"))
-        met = asked.unionByName(index, allowMissingColumns=True).withColumn("__patterns", near)
-        left = met.where(F.col("__asked") & F.exists("__patterns", lambda p: _confirms(p, place, unit))).drop("__line", "__block", "__asked", "__patterns")
+        near = F.collect_list("__p").over(Window.partitionBy(*of, "__line", "__block"))
+        met = asked.unionByName(index, allowMissingColumns=True).withColumn("__near", near)
+        left = met.where(F.col("__asked") & F.exists("__near", lambda p: _confirms(p, place, unit))).drop("__line", "__block", "__asked", "__p", "__near")
     return left.drop("__x", "__y")
 
 
